@@ -26,3 +26,18 @@ def plus_days(as_of: dt.date, days: Column) -> Column:
         days.between(-_CALENDAR_DAYS, _CALENDAR_DAYS),
         F.date_add(F.lit(as_of), days.cast("int")),
     )
+
+
+def utc_instant(wall_clock: Column) -> Column:
+    """A time without zone taken as UTC, whatever the session's zone.
+
+    Event-time windows are aligned to UTC days, and watermarks need an instant.
+    """
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall_clock).cast("timestamp")
+
+
+def utc_date(instant: Column) -> Column:
+    """The UTC day of an instant."""
+    return F.to_date(
+        F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    )

@@ -181,7 +181,7 @@ def location_risk_matrix(health: DataFrame) -> DataFrame:
     return (
         health.groupBy("location_name")
         .pivot(RISK, list(stock.RISK_CLASSES))
-        .agg(F.count("*"))
+        .agg(F.count("risk_color"))
         .select(
             "location_name",
             *[

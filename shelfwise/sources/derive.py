@@ -57,11 +57,11 @@ def _pick(values, index: Column) -> Column:
     return chain.otherwise(F.lit(None))
 
 
-def _location_code(nation: Column) -> Column:
+def location_code(nation: Column) -> Column:
     return F.concat(F.lit("LOC"), F.lpad(nation.cast("string"), 3, "0"))
 
 
-def _item_code(brand: Column) -> Column:
+def item_code(brand: Column) -> Column:
     return F.concat(F.lit("Brand#"), brand.cast("string"))
 
 
@@ -117,8 +117,8 @@ def daily_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_day = (
         daily_movements(shipments(spark, sf_dir), "nation", "brand")
         .join(nations, "nation", "left")
-        .withColumn("location_code", _location_code(nation))
-        .withColumn("item_code", _item_code(brand))
+        .withColumn("location_code", location_code(nation))
+        .withColumn("item_code", item_code(brand))
         .withColumn(
             "initial_stock",
             F.sum(F.col("issues") - F.col("receipts")).over(whole_pair) + offset,
@@ -151,7 +151,7 @@ def item_master(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg((F.min("p_retailprice") / 100).alias("unit_cost"))
         .filter(brand != 23)
         .select(
-            _item_code(brand).alias("item_code"),
+            item_code(brand).alias("item_code"),
             _item_name(brand).alias("item_name"),
             _pick(CATEGORIES, brand).alias("item_category"),
             _pick(UNITS, brand).alias("unit_of_measure"),
@@ -177,7 +177,7 @@ def location_master(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "nation")
         .join(regions, "n_regionkey", "left")
         .select(
-            _location_code(nation).alias("location_code"),
+            location_code(nation).alias("location_code"),
             F.col("n_name").alias("location_name"),
             _pick(LOCATION_TYPES, nation).alias("location_type"),
             _pick(REGIONS, F.col("n_regionkey")).alias("region"),

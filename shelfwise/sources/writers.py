@@ -14,15 +14,21 @@ from shelfwise.operators import rollups
 EXPOSED = ("CRITICAL", "OUT_OF_STOCK")
 
 
-def append_daily_stock(daily: DataFrame, path: str) -> None:
-    """Bulk load into the fact table, stored by record date.
+def append_daily_stock(daily: DataFrame, path: str, by_date: bool = True) -> None:
+    """Bulk load into the fact table.
 
-    Rows are brought together by date and a slice of the pairs first, so a day is written
-    by a few tasks as a few large files and a day far larger than the others stays split.
+    Stored by record date: rows are brought together by date and a slice of the pairs
+    first, so a day becomes a few large files and a day far larger than the others stays
+    split. ``by_date=False`` suits tables too small for a folder per day: files then hold
+    ranges of dates, which their statistics prune.
     """
-    pair_slice = F.pmod(F.xxhash64("location_code", "item_code"), F.lit(8))
+    pair_hash = F.xxhash64("location_code", "item_code")
+    if not by_date:
+        ranged = daily.repartitionByRange("record_date", pair_hash)
+        ranged.sortWithinPartitions("record_date").write.mode("append").parquet(path)
+        return
     (
-        daily.repartition("record_date", pair_slice)
+        daily.repartition("record_date", F.pmod(pair_hash, F.lit(8)))
         .write.mode("append")
         .partitionBy("record_date")
         .parquet(path)
