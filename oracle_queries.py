@@ -13,7 +13,7 @@ from shelfwise.sources import derive, seed
 
 
 def _literal(value) -> str:
-    if value is None:
+    if value is None or value == "":
         return "NULL"
     if isinstance(value, (int, float)):
         return str(value)
@@ -112,7 +112,7 @@ WITH shipments AS (
     unit_cost, brand % 3 = 0 AS is_critical,
     CAST((brand % 5) * 20 AS DOUBLE) AS safety_stock,
     CASE WHEN brand % 2 = 1 THEN CAST((brand % 5) * 30 + 10 AS DOUBLE) END AS reorder_point,
-    CASE WHEN brand % 11 <> 0 THEN {_pick(derive.LEAD_TIMES, "brand")} END
+    CASE WHEN brand % 11 <> 0 THEN CAST({_pick(derive.LEAD_TIMES, "brand")} AS INTEGER) END
       AS default_lead_time_days,
     'Supplier ' || CAST(brand % 5 + 1 AS VARCHAR) AS supplier_name,
     'SUP00' || CAST(brand % 5 + 1 AS VARCHAR) AS supplier_code

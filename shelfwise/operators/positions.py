@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.schemas import as_double
 
+_RECORDS_PER_DAY = Decimal(10) ** 19  # above any BIGINT id
 PAIR = ("location_code", "item_code")
 DESCRIPTION = ("location_name", "item_name", "item_category", "unit_of_measure")
 
@@ -22,9 +24,8 @@ def _recency(daily: DataFrame) -> Column:
     day = F.col("record_date")
     if "stock_record_id" not in daily.columns:
         return day
-    return F.unix_date(day).cast("decimal(8,0)") * F.lit(10**19).cast("decimal(20,0)") + F.coalesce(
-        F.col("stock_record_id"), F.lit(0)
-    ).cast("decimal(19,0)")
+    record = F.coalesce(F.col("stock_record_id"), F.lit(0)).cast("decimal(19,0)")
+    return F.unix_date(day).cast("decimal(8,0)") * F.lit(_RECORDS_PER_DAY) + record
 
 
 POSITION_COLUMNS = (

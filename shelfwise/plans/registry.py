@@ -653,8 +653,9 @@ def stream_alerts(stock: Stock) -> DataFrame:
 def stream_consumption(stock: Stock) -> DataFrame:
     """Weekly consumption of the event stream: user = location, event type = item."""
     spark = stock.spark
-    schema = derive.read_table(spark, stock.sf_dir, "events").schema
-    events = readers.stream_folder(spark, stock.sf_dir, schema, glob="events.parquet")
+    events = readers.stream_folder(
+        spark, stock.sf_dir, derive.INPUT_SCHEMAS["events"], glob="events.parquet"
+    )
     movements = events.select(
         utc_instant(F.col("ts")).alias("ts"),
         F.col("user_id").cast("string").alias("location_code"),

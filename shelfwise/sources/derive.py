@@ -31,10 +31,21 @@ CATEGORIES = (
     "EQUIPMENT",
 )
 UNITS = ("TABLETS", "BOXES", "KG", "UNITS")
-LEAD_TIMES = (5, 7, 10, 14)
+LEAD_TIMES = ("5", "7", "10", "14")
 REGIONS = ("North", "South", "East", "West", "Central")
 LOCATION_TYPES = ("HOSPITAL", "WAREHOUSE", "DISTRIBUTION_CENTER", "NGO_CENTER")
-PRIORITIES = ("HIGH", "HIGH", "MEDIUM", "MEDIUM", "LOW", "LOW", None)
+PRIORITIES = ("HIGH", "HIGH", "MEDIUM", "MEDIUM", "LOW", "LOW", "")
+
+# Columns read from the order tables.
+INPUT_SCHEMAS = {
+    "lineitem": "l_partkey bigint, l_suppkey bigint, l_quantity double, l_returnflag string, "
+    "l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_brand string, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
 
 
 @dataclass(frozen=True)
@@ -46,15 +57,14 @@ class StockTables:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One order table by its declared schema, so that no job runs to infer it."""
+    return spark.read.schema(INPUT_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values, index: Column) -> Column:
-    """The index-th of a few literals, counted modulo their number."""
-    chain = F
-    for position, value in enumerate(values):
-        chain = chain.when(index % len(values) == position, F.lit(value))
-    return chain.otherwise(F.lit(None))
+def _pick(values: tuple[str, ...], index: Column) -> Column:
+    """The index-th of a few texts, counted modulo their number; "" stands for NULL."""
+    texts = F.split(F.lit(",".join(values)), ",")
+    return F.nullif(F.element_at(texts, (index % len(values) + 1).cast("int")), F.lit(""))
 
 
 def location_code(nation: Column) -> Column:
@@ -159,7 +169,7 @@ def item_master(spark: SparkSession, sf_dir: str) -> DataFrame:
             (brand % 3 == 0).alias("is_critical"),
             F.when(brand % 2 == 1, safety * 1.5 + 10).alias("reorder_point"),
             safety.alias("safety_stock"),
-            F.when(brand % 11 != 0, _pick(LEAD_TIMES, brand)).alias("default_lead_time_days"),
+            F.when(brand % 11 != 0, _pick(LEAD_TIMES, brand).cast("int")).alias("default_lead_time_days"),
             F.concat(F.lit("Supplier "), supplier).alias("supplier_name"),
             F.concat(F.lit("SUP00"), supplier).alias("supplier_code"),
             F.lit(True).alias("is_active"),

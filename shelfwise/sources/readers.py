@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,7 +69,7 @@ def read_folder(
 def stream_folder(
     spark: SparkSession,
     path: str,
-    schema: T.StructType,
+    schema: T.StructType | str,
     file_format: str = "parquet",
     glob: str = "*",
     files_per_batch: int | None = None,
@@ -83,5 +85,12 @@ def stream_folder(
 
 def literal_rows(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
     """INSERT ... VALUES: a few rows by column name; columns left out are NULL."""
-    values = [tuple(row.get(name) for name in schema.names) for row in rows]
+
+    def value(row: dict, field: T.StructField):
+        given = row.get(field.name)
+        if given is not None and isinstance(field.dataType, T.DecimalType):
+            return Decimal(str(given))
+        return given
+
+    values = [tuple(value(row, field) for field in schema) for row in rows]
     return spark.createDataFrame(values, schema)
