@@ -561,7 +561,7 @@ FROM health GROUP BY location_name, risk_classification"""
 SELECT location_name, {class_columns} FROM health GROUP BY location_name"""
     item_columns = ", ".join(
         f"max(risk_color) FILTER (WHERE item_name = '{name}') AS \"{name}\""
-        for name in ("Item 01", "Item 09", "Item 23")
+        for name in registry.MATRIX_ITEMS
     )
     sql["location_item_matrix"] = f"""
 SELECT location_name, {item_columns} FROM health GROUP BY location_name"""
@@ -571,6 +571,15 @@ SELECT location_name, {item_columns} FROM health GROUP BY location_name"""
     sql["location_performance"] = _performance(
         "location_name", "round_even(avg(stock_health_score), 2)"
     )
+    rounded = ", ".join(
+        f"round_even({name}, 2) AS {name}"
+        for name in ("closing_stock", "safety_stock", "reorder_point", "max_stock_level",
+                     "avg_daily_issue", "total_issues_7d", "total_issues_14d",
+                     "total_issues_30d", "days_of_cover", "stock_health_score")
+    )
+    sql["critical_items_report"] = f"""
+SELECT * REPLACE ({rounded}) FROM health
+WHERE risk_classification IN ('CRITICAL', 'OUT_OF_STOCK')"""
     sql["health_histogram"] = """
 SELECT CAST(floor(stock_health_score / 5) * 5 AS BIGINT) AS score_from, count(*) AS items
 FROM health GROUP BY 1"""

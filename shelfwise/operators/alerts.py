@@ -23,8 +23,28 @@ def _rank() -> Column:
     return first_match([(risk == name, n) for n, name in enumerate(URGENT, 1)], len(URGENT) + 1)
 
 
+ALERT_COLUMNS = (
+    "alert_type",
+    "severity",
+    "location_code",
+    "location_name",
+    "item_code",
+    "item_name",
+    "item_category",
+    "current_stock",
+    "days_until_stockout",
+    "recommended_action",
+    "alert_message",
+)
+
+
 def alerts_without_id(health: DataFrame) -> DataFrame:
     """Actionable rows with type, severity, recommended action and message."""
+    return _actionable(health).select(*ALERT_COLUMNS)
+
+
+def _actionable(health: DataFrame) -> DataFrame:
+    """The alert columns with class rank, score and cover."""
     risk, closing = F.col("risk_classification"), F.col("closing_stock")
     item, place = F.col("item_name"), F.col("location_name")
     days = F.col("days_until_stockout").cast("string")
@@ -86,6 +106,8 @@ def alerts_without_id(health: DataFrame) -> DataFrame:
         "days_until_stockout",
         action.alias("recommended_action"),
         message.alias("alert_message"),
+        "stock_health_score",
+        "days_of_cover",
     )
 
 
@@ -101,7 +123,7 @@ def stock_alerts(health: DataFrame) -> DataFrame:
     order = ("_rank", "days_until_stockout", "_slice")
     pair_hash = F.md5(F.concat_ws("|", *PAIR))
     alerts = (
-        alerts_without_id(health)
+        _actionable(health)
         .withColumn("_hash", pair_hash)
         .withColumn("_slice", F.substring("_hash", 1, 2))
     )
@@ -123,17 +145,7 @@ def stock_alerts(health: DataFrame) -> DataFrame:
         .select(
             (F.col("_offset") + F.col("_number")).alias("alert_id"),
             F.current_timestamp().alias("alert_timestamp"),
-            "alert_type",
-            "severity",
-            "location_code",
-            "location_name",
-            "item_code",
-            "item_name",
-            "item_category",
-            "current_stock",
-            "days_until_stockout",
-            "recommended_action",
-            "alert_message",
+            *ALERT_COLUMNS,
         )
     )
 
@@ -282,18 +294,12 @@ def custom_item_alerts(
 
 def alert_history(health: DataFrame, as_of: dt.date) -> DataFrame:
     """History rows of today's alerts, ready to append."""
-    scores = health.select(*PAIR, "stock_health_score", "days_of_cover").dropDuplicates(list(PAIR))
-    return (
-        alerts_without_id(health)
-        .select(*PAIR, "alert_type", "severity")
-        .join(scores, list(PAIR), "left")
-        .select(
-            F.lit(as_of).alias("alert_date"),
-            *PAIR,
-            "alert_type",
-            "severity",
-            "stock_health_score",
-            "days_of_cover",
-            F.current_timestamp().cast("timestamp_ntz").alias("created_timestamp"),
-        )
+    return _actionable(health).select(
+        F.lit(as_of).alias("alert_date"),
+        *PAIR,
+        "alert_type",
+        "severity",
+        "stock_health_score",
+        "days_of_cover",
+        F.current_timestamp().cast("timestamp_ntz").alias("created_timestamp"),
     )

@@ -23,9 +23,9 @@ def join_metrics(
 ) -> DataFrame:
     """Latest position with its consumption, master data and per-pair overrides.
 
-    No join is hinted: every input is one row per pair or less, masters below the
-    broadcast threshold are broadcast by their measured size, and larger ones take a
-    sort-merge join that adaptive execution can split where one key is hot.
+    No join is hinted: masters below the broadcast threshold are broadcast by their
+    measured size, larger ones take a sort-merge join that adaptive execution splits where
+    one item or location is hot. The joins per pair come first and share one shuffle.
     """
     usage = consumption.select(
         *PAIR,
@@ -59,9 +59,9 @@ def join_metrics(
     closing, use = F.col("closing_stock"), F.col("avg_daily_issue")
     return (
         position.join(usage, list(PAIR), "left")
+        .join(overrides, list(PAIR), "left")
         .join(item_facts, "item_code", "left")
         .join(location_facts, "location_code", "left")
-        .join(overrides, list(PAIR), "left")
         .withColumn("avg_daily_issue", F.coalesce(F.col("_daily_issue"), F.lit(0.0)))
         .select(
             "location_code",

@@ -21,27 +21,23 @@ def daily_movements(movements: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def stock_ledger(movements: DataFrame) -> DataFrame:
+def stock_ledger(movements: DataFrame, *keys: str) -> DataFrame:
     """Opening and closing balances of daily movements carrying ``initial_stock``.
 
-    closing = initial + running sum of (receipts - issues); opening = the closing stock
-    before, or the initial stock on the first day. Both windows share one partitioning
-    and one sort. Expects one row per pair and day (see ``daily_movements``).
+    closing = initial + running sum of (receipts - issues); opening = the same up to the
+    day before, which is the closing stock before or, on the first day, the initial
+    stock. One sort and one window pass. Expects one row per key and day (see
+    ``daily_movements``).
     """
-    by_day = Window.partitionBy(*PAIR).orderBy("record_date")
-    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        movements.withColumn("day_num", F.row_number().over(by_day))
-        .withColumn(
-            "closing_stock",
-            F.col("initial_stock") + F.sum(F.col("receipts") - F.col("issues")).over(so_far),
-        )
-        .withColumn(
-            "opening_stock",
-            F.when(F.col("day_num") == 1, F.col("initial_stock")).otherwise(
-                F.lag("closing_stock").over(by_day)
-            ),
-        )
+    by_day = Window.partitionBy(*(keys or PAIR)).orderBy("record_date")
+    change = F.sum(F.col("receipts") - F.col("issues"))
+    until_today = change.over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    until_before = change.over(by_day.rowsBetween(Window.unboundedPreceding, -1))
+    return movements.select(
+        "*",
+        F.row_number().over(by_day).alias("day_num"),
+        (F.col("initial_stock") + until_today).alias("closing_stock"),
+        (F.col("initial_stock") + F.coalesce(until_before, F.lit(0.0))).alias("opening_stock"),
     )
 
 

@@ -46,6 +46,7 @@ RETENTION_DAYS = 365
 COMPARED_LOCATIONS = ("NATION_1", "NATION_5", "NATION_12", "NATION_20")
 SCENARIOS = ((0, 0, 100), (25, 0, 100), (-50, 50, 80), (100, 100, 200), (33, -25, 150))
 SEARCH_TEXT = "Food_Gr"
+MATRIX_ITEMS = tuple(f"Item {number:02}" for number in range(1, 26))  # all there are
 CUSTOM_THRESHOLDS = (("Item 03", 14), ("Item 08", 30), ("Item 17", 2))
 
 
@@ -309,7 +310,7 @@ def location_risk_matrix(stock: Stock) -> DataFrame:
 
 @query
 def location_item_matrix(stock: Stock) -> DataFrame:
-    return rollups.location_item_matrix(stock.health, ["Item 01", "Item 09", "Item 23"])
+    return rollups.location_item_matrix(stock.health, MATRIX_ITEMS)
 
 
 @query
@@ -317,6 +318,12 @@ def category_performance(stock: Stock) -> DataFrame:
     return _rounded(rollups.category_performance(stock.health), 6, "avg_health_score")
 
 
+@query
+def critical_items_report(stock: Stock) -> DataFrame:
+    report = writers.named_reports(stock.health)["critical_items"]
+    return writers.rounded(report.drop("calculated_timestamp"))
+
+
 @query
 def location_performance(stock: Stock) -> DataFrame:
     return rollups.location_performance(stock.health)

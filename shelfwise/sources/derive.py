@@ -117,37 +117,41 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table: a ledger row per location, item and day."""
+    """The fact table: a ledger row per location, item and day.
+
+    Balances are computed on the bare numbers; codes and names are added to the result.
+    """
     nation, brand = F.col("nation"), F.col("brand")
     nations = read_table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("nation"), F.col("n_name").alias("location_name")
     )
-    whole_pair = Window.partitionBy("location_code", "item_code")
+    whole_pair = (
+        Window.partitionBy("nation", "brand")
+        .orderBy("record_date")
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     offset = ((nation * 7 + brand * 3) % 41) * 30.0
-    by_day = (
-        daily_movements(shipments(spark, sf_dir), "nation", "brand")
+    started = daily_movements(shipments(spark, sf_dir), "nation", "brand").withColumn(
+        "initial_stock", F.sum(F.col("issues") - F.col("receipts")).over(whole_pair) + offset
+    )
+    return (
+        stock_ledger(started, "nation", "brand")
         .join(nations, "nation", "left")
-        .withColumn("location_code", location_code(nation))
-        .withColumn("item_code", item_code(brand))
-        .withColumn(
-            "initial_stock",
-            F.sum(F.col("issues") - F.col("receipts")).over(whole_pair) + offset,
+        .select(
+            "record_date",
+            location_code(nation).alias("location_code"),
+            "location_name",
+            item_code(brand).alias("item_code"),
+            _item_name(brand).alias("item_name"),
+            _pick(CATEGORIES, brand).alias("item_category"),
+            "opening_stock",
+            "receipts",
+            "issues",
+            "closing_stock",
+            _pick(UNITS, brand).alias("unit_of_measure"),
+            F.when(nation != 24, 6 + nation % 3).alias("lead_time_days"),
         )
     )
-    return stock_ledger(by_day).select(
-        "record_date",
-        "location_code",
-        "location_name",
-        "item_code",
-        _item_name(brand).alias("item_name"),
-        _pick(CATEGORIES, brand).alias("item_category"),
-        "opening_stock",
-        "receipts",
-        "issues",
-        "closing_stock",
-        _pick(UNITS, brand).alias("unit_of_measure"),
-        F.when(nation != 24, 6 + nation % 3).alias("lead_time_days"),
-    )
 
 
 def item_master(spark: SparkSession, sf_dir: str) -> DataFrame:

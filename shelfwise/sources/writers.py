@@ -17,22 +17,20 @@ EXPOSED = ("CRITICAL", "OUT_OF_STOCK")
 def append_daily_stock(daily: DataFrame, path: str, by_date: bool = True) -> None:
     """Bulk load into the fact table.
 
-    Stored by record date: rows are brought together by date and a slice of the pairs
-    first, so a day becomes a few large files and a day far larger than the others stays
-    split. ``by_date=False`` suits tables too small for a folder per day: files then hold
-    ranges of dates, which their statistics prune.
+    Stored by record date: rows are rebalanced by date first, so that a day becomes a few
+    large files and adaptive execution splits a day far larger than the others.
+    ``by_date=False`` suits tables too small for a folder per day: files then hold ranges
+    of dates, which their statistics prune.
     """
-    pair_hash = F.xxhash64("location_code", "item_code")
-    if not by_date:
-        ranged = daily.repartitionByRange("record_date", pair_hash)
-        ranged.sortWithinPartitions("record_date").write.mode("append").parquet(path)
+    if by_date:
+        daily.hint("rebalance", "record_date").write.mode("append").partitionBy(
+            "record_date"
+        ).parquet(path)
         return
-    (
-        daily.repartition("record_date", F.pmod(pair_hash, F.lit(8)))
-        .write.mode("append")
-        .partitionBy("record_date")
-        .parquet(path)
-    )
+    pair_hash = F.xxhash64("location_code", "item_code")
+    daily.repartitionByRange("record_date", pair_hash).sortWithinPartitions(
+        "record_date"
+    ).write.mode("append").parquet(path)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

@@ -9,6 +9,9 @@ rewrites only the buckets of its pairs:
 * consumption of the touched buckets is recomputed from the last 90 days of the fact
   table, which its storage by date prunes.
 
+Rows are rebalanced by bucket before a write: a bucket becomes few files, and one far
+larger than the others is split.
+
 Each step writes a folder it does not read, or one named after the batch, so repeating a
 batch after a failure gives the same result. Classes also age without new records: start
 each day with ``rebuild`` into a new root.
@@ -67,6 +70,7 @@ class StockRefresh:
         (
             position_candidates(daily)
             .select("*", self._bucket())
+            .hint("rebalance", "bucket")
             .write.mode("overwrite")
             .partitionBy("bucket")
             .parquet(f"{self._path('positions')}/batch_id={batch_id}")
@@ -88,7 +92,8 @@ class StockRefresh:
 
     def _write_health(self, rows: DataFrame) -> None:
         (
-            rows.write.mode("overwrite")
+            rows.hint("rebalance", "bucket")
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket")
             .parquet(self._path("health"))
@@ -117,7 +122,6 @@ class StockRefresh:
         )
         (
             alerts_without_id(current.join(pairs, list(PAIR), "left_semi"))
-            .drop("_rank")
             .withColumn("alert_date", F.lit(self.as_of))
             .write.mode("overwrite")
             .parquet(f"{self._path('alerts')}/batch_id={batch_id}")

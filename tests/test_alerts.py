@@ -31,7 +31,7 @@ def test_numbers_equal_one_global_row_number(spark):
     order = Window.orderBy(
         "_rank", "days_until_stockout", F.md5(F.concat_ws("|", "location_code", "item_code"))
     )
-    expected = alerts.alerts_without_id(frame).withColumn("alert_id", F.row_number().over(order))
+    expected = alerts._actionable(frame).withColumn("alert_id", F.row_number().over(order))
     columns = ["alert_id", "location_code", "item_code", "alert_type", "severity"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(
         map(tuple, expected.select(columns).collect())
