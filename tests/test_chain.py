@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import alerts, consumption, health, positions, rollups, transfers
-from shelfwise.plans import pipeline, registry
+from shelfwise.plans import chain, registry
 from shelfwise.sources import derive
 
 SF = "/root/testdata/sf0.001"
@@ -16,16 +16,16 @@ def stock(spark):
 
 
 def test_views_answer_sql(spark, stock):
-    names = pipeline.register_views(stock.tables, stock.as_of)
+    names = chain.register_views(stock.tables, stock.as_of)
     assert {"v_executive_summary", "stock_alerts", "daily_stock_raw"} <= set(names)
     row = spark.sql("SELECT TOTAL_LOCATIONS, TOTAL_ITEMS FROM V_EXECUTIVE_SUMMARY LIMIT 1").first()
     assert tuple(row) == (10, 25)
 
 
 def test_written_tables_answer_sql(spark, stock, tmp_path):
-    paths = pipeline.write_tables(stock.tables, stock.as_of, str(tmp_path))
+    paths = chain.write_tables(stock.tables, stock.as_of, str(tmp_path))
     assert "as_of=2001-11-04" in paths["executive_summary"]
-    pipeline.register_written(spark, paths)
+    chain.register_written(spark, paths)
     counts = spark.sql(
         "SELECT (SELECT count(*) FROM DT_STOCK_HEALTH_CLASSIFICATION),"
         " (SELECT sum(total_items) FROM DT_LOCATION_RISK_SUMMARY),"
