@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.schemas import as_double
 
-_RECORDS_PER_DAY = Decimal(10) ** 19  # above any BIGINT id
+_ID_RANGE = 2**40  # with 23 bits for dates of the years 1 to 9999
 PAIR = ("location_code", "item_code")
 DESCRIPTION = ("location_name", "item_name", "item_category", "unit_of_measure")
 
@@ -18,14 +17,16 @@ DESCRIPTION = ("location_name", "item_name", "item_category", "unit_of_measure")
 def _recency(daily: DataFrame) -> Column:
     """Sort value of a record: its date, then (where present) its surrogate id.
 
-    Date and id go into one DECIMAL so that the MAX_BY buffers keep a fixed width and the
-    aggregation stays a code-generated hash aggregate instead of a sort.
+    Both go into one BIGINT, so that the MAX_BY buffers keep a fixed width and the
+    aggregation stays a code-generated hash aggregate instead of a sort. The date always
+    decides first; among copies of one day the highest id wins, where ids of 2^40 and
+    more compare by their low 40 bits.
     """
     day = F.col("record_date")
     if "stock_record_id" not in daily.columns:
         return day
-    record = F.coalesce(F.col("stock_record_id"), F.lit(0)).cast("decimal(19,0)")
-    return F.unix_date(day).cast("decimal(8,0)") * F.lit(_RECORDS_PER_DAY) + record
+    record = F.pmod(F.coalesce(F.col("stock_record_id"), F.lit(0)), F.lit(_ID_RANGE))
+    return F.unix_date(day).cast("bigint") * F.lit(_ID_RANGE) + record
 
 
 POSITION_COLUMNS = (

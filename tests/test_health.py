@@ -67,6 +67,14 @@ def test_latest_position_breaks_ties_by_record_id_and_keeps_null_stock(spark):
     assert got["I2"]["closing_stock"] is None
 
 
+def test_extreme_dates_keep_their_order(spark):
+    days = [dt.date(1, 1, 1), dt.date(1969, 12, 31), dt.date(9999, 12, 30), dt.date(9999, 12, 31)]
+    for count in range(1, 5):
+        rows = [{"record_date": day, "stock_record_id": 2**40 - 1 - n}
+                for n, day in enumerate(days[:count])]
+        assert latest_stock_position(daily(spark, rows)).first()["latest_date"] == days[count - 1]
+
+
 def test_position_without_record_ids(spark):
     rows = records([4, 2, 3])
     got = latest_stock_position(daily(spark, rows).drop("stock_record_id")).first()
