@@ -6,8 +6,10 @@ stock; each query adds its own SELECT. Unreferenced expressions cost nothing.
 
 from __future__ import annotations
 
+from string import Formatter
+
 from shelfwise.functions import labels, stock
-from shelfwise.operators import costs
+from shelfwise.operators import alerts, costs, rollups
 from shelfwise.plans import registry
 from shelfwise.sources import derive, seed
 
@@ -68,6 +70,39 @@ NEEDS_REORDER = """(days_until_stockout <= 1.5 * lead_time_days
       OR risk_classification IN ('OUT_OF_STOCK', 'CRITICAL', 'HIGH_RISK'))"""
 LEAD_URGENCY = "100 - days_until_stockout / lead_time_days * 30"
 
+_SOURCES = {
+    "item": "item_name",
+    "place": "location_name",
+    "days": "days_until_stockout",
+    "stock": "CAST(closing_stock AS DECIMAL(18, 2))",
+    "unit": "unit_of_measure",
+    "idle": "days_since_last_movement",
+    "category": "item_category",
+    "critical_pct": "format('{:.1f}', rate * 100)",
+    "overstock_pct": "format('{:.1f}', rate * 100)",
+    "slow": "n",
+    "worst": "location_name",
+    "best": "location_name",
+    "worst_score": "format('{:.1f}', stock_health_score)",
+    "best_score": "format('{:.1f}', stock_health_score)",
+}
+
+
+def _text(template: str) -> str:
+    """A text template as a chain of literals and columns."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        if text:
+            parts.append(_literal(text))
+        if name is not None:
+            parts.append(_SOURCES[name])
+    return " || ".join(parts)
+
+
+_ALERT_MESSAGES = " ".join(
+    f"WHEN '{name}' THEN {_text(text)}" for name, text in alerts.MESSAGES.items()
+)
+
 PRELUDE = f"""
 WITH shipments AS (
   SELECT s_nationkey AS nation, CAST(substr(p_brand, 7) AS INTEGER) AS brand,
@@ -259,20 +294,10 @@ WITH shipments AS (
       WHEN class_rank = 3 THEN 'HIGH' ELSE 'LOW' END AS severity,
     location_code, location_name, item_code, item_name, item_category,
     closing_stock AS current_stock, days_until_stockout,
-    CASE WHEN class_rank = 1 THEN 'URGENT: Place emergency order immediately'
-      WHEN days_until_stockout <= lead_time_days THEN
-        'Place order today - stock-out expected in ' || days_until_stockout || ' days'
-      ELSE 'Review for redistribution or reduced ordering' END AS recommended_action,
-    CASE class_rank
-      WHEN 1 THEN item_name || ' is OUT OF STOCK at ' || location_name
-        || '. Immediate action required.'
-      WHEN 2 THEN item_name || ' at ' || location_name || ' will run out in '
-        || days_until_stockout || ' days. Current stock: '
-        || CAST(closing_stock AS DECIMAL(18, 2)) || ' ' || unit_of_measure
-      WHEN 3 THEN item_name || ' at ' || location_name || ' requires reorder. '
-        || days_until_stockout || ' days of supply remaining.'
-      ELSE item_name || ' at ' || location_name || ' has not moved in '
-        || days_since_last_movement || ' days. Consider redistribution.' END AS alert_message,
+    CASE WHEN class_rank = 1 THEN {_literal(alerts.ACTION_OUT)}
+      WHEN days_until_stockout <= lead_time_days THEN {_text(alerts.ACTION_SOON)}
+      ELSE {_literal(alerts.ACTION_OVER)} END AS recommended_action,
+    CASE risk_classification {_ALERT_MESSAGES} END AS alert_message,
     stock_health_score, days_of_cover
   FROM ranked
   WHERE class_rank < 4
@@ -473,8 +498,7 @@ FROM return_on_cost WHERE roi_pct > 10 AND roi_pct <= 20
 UNION ALL SELECT 3, {_literal(costs.POOR_ROI)} FROM return_on_cost WHERE roi_pct <= 10
 UNION ALL SELECT 4, {_literal(costs.HIGH_CRITICAL_SPEND)}
 FROM return_on_cost WHERE critical_value > 0.3 * total_reorder_value
-UNION ALL SELECT 5, '📦 **Top Category**: ' || item_category
-  || ' requires the highest reorder investment.'
+UNION ALL SELECT 5, {_text(costs.TOP_CATEGORY)}
 FROM (SELECT item_category FROM queue GROUP BY item_category
   ORDER BY sum(estimated_order_value) DESC, item_category LIMIT 1)"""
     sql["stock_projection"] = """
@@ -596,33 +620,24 @@ SELECT round({_class_count("HEALTHY")} / count(*) * 100, 6) AS healthy_pct,
 SELECT DISTINCT 'location' AS filter, location_name AS value FROM health
 UNION ALL SELECT DISTINCT 'category', item_category FROM health
 UNION ALL SELECT DISTINCT 'risk', risk_classification FROM health"""
-    sql["smart_recommendations"] = f"""
-SELECT * FROM (
-  SELECT '1' AS rule_no, '🔴 High' AS priority, 'Increase Safety Stock' AS action,
-    format('{{:.1f}}', rate * 100) || '% items at risk' AS reason,
-    'Reduce stockout risk by 40%' AS impact
-  FROM (SELECT {_class_count("CRITICAL", "OUT_OF_STOCK")} / count(*) AS rate FROM health)
-  WHERE rate > 0.15
-  UNION ALL SELECT '2', '🟡 Medium', 'Optimize Reorder Quantities',
-    format('{{:.1f}}', rate * 100) || '% items overstocked',
-    'Free up $5K-10K in working capital'
-  FROM (SELECT {_class_count("OVERSTOCK")} / count(*) AS rate FROM health) WHERE rate > 0.2
-  UNION ALL SELECT '3', '🟠 Low', 'Review Slow-Moving Items',
-    n || ' slow movers identified', 'Reduce holding costs by 15%'
-  FROM (SELECT count(*) AS n FROM health WHERE avg_daily_issue < 0.5) WHERE n > 10
-  UNION ALL SELECT '4', '🔴 High', 'Priority Support for ' || location_name,
-    'Health score: ' || format('{{:.1f}}', stock_health_score) || '/100',
-    'Improve overall system health by 8%'
-  FROM (SELECT * FROM ({_MEANS}) ORDER BY stock_health_score, location_name LIMIT 1)
-  WHERE stock_health_score < 60
-  UNION ALL SELECT '5', '⭐ Strategic', 'Replicate Best Practices from ' || location_name,
-    'Health score: ' || format('{{:.1f}}', stock_health_score) || '/100',
-    'System-wide efficiency improvement'
-  FROM (SELECT * FROM ({_MEANS}) ORDER BY stock_health_score DESC, location_name LIMIT 1))"""
-    sql["smart_recommendations"] = sql["smart_recommendations"].replace(
-        "SELECT * FROM (\n  SELECT '1' AS rule_no",
-        "SELECT CAST(rule_no AS INTEGER) AS rule_no, priority, action, reason, impact FROM (\n"
-        "  SELECT '1' AS rule_no",
+    advice_sources = {
+        "critical": f"SELECT {_class_count('CRITICAL', 'OUT_OF_STOCK')} / count(*) AS rate "
+        "FROM health HAVING rate > 0.15",
+        "overstock": f"SELECT {_class_count('OVERSTOCK')} / count(*) AS rate "
+        "FROM health HAVING rate > 0.2",
+        "slow": "SELECT count(*) AS n FROM health WHERE avg_daily_issue < 0.5 HAVING n > 10",
+        "worst": f"SELECT * FROM (SELECT * FROM ({_MEANS}) ORDER BY stock_health_score, "
+        "location_name LIMIT 1) WHERE stock_health_score < 60",
+        "best": f"SELECT * FROM ({_MEANS}) ORDER BY stock_health_score DESC, location_name "
+        "LIMIT 1",
+    }
+    sql["smart_recommendations"] = "\nUNION ALL\n".join(
+        f"SELECT CAST({number} AS INTEGER) AS rule_no, {_text(priority)} AS priority, "
+        f"{_text(action)} AS action, {_text(reason)} AS reason, {_text(impact)} AS impact "
+        f"FROM ({advice_sources[rule]})"
+        for number, (rule, (priority, action, reason, impact)) in enumerate(
+            rollups.ADVICE.items(), 1
+        )
     )
     share = "e.critical_items_at_risk / e.total_items"
     sql["summary_kpis"] = f"""

@@ -9,12 +9,32 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.nulls import count_if
 from shelfwise.functions.stock import first_match
+from shelfwise.functions.text import fill
 from shelfwise.operators.frames import one_row
 from shelfwise.operators.positions import PAIR
 
+# Classes by urgency, limits, and the texts per risk class.
 URGENT = ("OUT_OF_STOCK", "CRITICAL", "HIGH_RISK")
 ACTIVE_LIMIT = 100
 DEFAULT_THRESHOLD_DAYS = 7
+ALERT_TYPES = {
+    "OUT_OF_STOCK": "STOCK_OUT",
+    "CRITICAL": "CRITICAL_LOW",
+    "HIGH_RISK": "HIGH_RISK",
+    "OVERSTOCK": "OVERSTOCK",
+}
+OTHER_ALERT_TYPE = "LOW_STOCK"
+ACTION_OUT = "URGENT: Place emergency order immediately"
+ACTION_SOON = "Place order today - stock-out expected in {days} days"
+ACTION_OVER = "Review for redistribution or reduced ordering"
+ACTION_OTHER = "Monitor stock levels and plan replenishment"
+MESSAGES = {
+    "OUT_OF_STOCK": "{item} is OUT OF STOCK at {place}. Immediate action required.",
+    "CRITICAL": "{item} at {place} will run out in {days} days. Current stock: {stock} {unit}",
+    "HIGH_RISK": "{item} at {place} requires reorder. {days} days of supply remaining.",
+    "OVERSTOCK": "{item} at {place} has not moved in {idle} days. Consider redistribution.",
+}
+OTHER_MESSAGE = "{item} at {place} approaching reorder point."
 
 
 def _rank() -> Column:
@@ -46,14 +66,12 @@ def alerts_without_id(health: DataFrame) -> DataFrame:
 def _actionable(health: DataFrame) -> DataFrame:
     """The alert columns with class rank, score and cover."""
     risk, closing = F.col("risk_classification"), F.col("closing_stock")
-    item, place = F.col("item_name"), F.col("location_name")
-    days = F.col("days_until_stockout").cast("string")
+    days = F.col("days_until_stockout")
     out, critical, high, over = (
         risk == name for name in ("OUT_OF_STOCK", "CRITICAL", "HIGH_RISK", "OVERSTOCK")
     )
     alert_type = first_match(
-        [(out, "STOCK_OUT"), (critical, "CRITICAL_LOW"), (high, "HIGH_RISK"), (over, "OVERSTOCK")],
-        "LOW_STOCK",
+        [(risk == name, kind) for name, kind in ALERT_TYPES.items()], OTHER_ALERT_TYPE
     )
     severity = first_match(
         [
@@ -63,33 +81,25 @@ def _actionable(health: DataFrame) -> DataFrame:
         ],
         "LOW",
     )
-    order_today = F.concat(
-        F.lit("Place order today - stock-out expected in "), days, F.lit(" days")
-    )
     action = first_match(
         [
-            (out, F.lit("URGENT: Place emergency order immediately")),
-            (F.col("days_until_stockout") <= F.col("lead_time_days"), order_today),
-            (over, F.lit("Review for redistribution or reduced ordering")),
+            (out, F.lit(ACTION_OUT)),
+            (days <= F.col("lead_time_days"), fill(ACTION_SOON, days=days)),
+            (over, F.lit(ACTION_OVER)),
         ],
-        F.lit("Monitor stock levels and plan replenishment"),
+        F.lit(ACTION_OTHER),
     )
-    at_place = F.concat(item, F.lit(" at "), place)
-    amount = F.concat(closing.cast("decimal(18,2)").cast("string"), F.lit(" "),
-                      F.col("unit_of_measure"))
+    values = {
+        "item": F.col("item_name"),
+        "place": F.col("location_name"),
+        "days": days,
+        "stock": closing.cast("decimal(18,2)"),
+        "unit": F.col("unit_of_measure"),
+        "idle": F.col("days_since_last_movement"),
+    }
     message = first_match(
-        [
-            (out, F.concat(item, F.lit(" is OUT OF STOCK at "), place,
-                           F.lit(". Immediate action required."))),
-            (critical, F.concat(at_place, F.lit(" will run out in "), days,
-                                F.lit(" days. Current stock: "), amount)),
-            (high, F.concat(at_place, F.lit(" requires reorder. "), days,
-                            F.lit(" days of supply remaining."))),
-            (over, F.concat(at_place, F.lit(" has not moved in "),
-                            F.col("days_since_last_movement").cast("string"),
-                            F.lit(" days. Consider redistribution."))),
-        ],
-        F.concat(at_place, F.lit(" approaching reorder point.")),
+        [(risk == name, fill(text, **values)) for name, text in MESSAGES.items()],
+        fill(OTHER_MESSAGE, **values),
     )
     return health.filter(
         risk.isin(*URGENT) | (over & (closing > F.col("avg_daily_issue") * 90))

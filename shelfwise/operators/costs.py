@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.nulls import count_if
+from shelfwise.functions.text import fill
 from shelfwise.operators.frames import emit_rules, one_row
 
 # Fixed values.
@@ -22,6 +23,7 @@ HIGH_CRITICAL_SPEND = (
     "🔴 **High Critical Spend**: Over 30% of reorder budget is for critical items. "
     "Consider increasing safety stock."
 )
+TOP_CATEGORY = "📦 **Top Category**: {category} requires the highest reorder investment."
 
 
 def _value_total(condition: Column | None = None) -> Column:
@@ -120,11 +122,7 @@ def cost_insights(queue: DataFrame) -> DataFrame:
     total = F.col("total_reorder_value")
     roi = F.col("roi_pct")
     facts = _with_savings(facts).withColumn("roi_pct", _ratio(F.col("net_benefit"), total) * 100)
-    top = F.concat(
-        F.lit("📦 **Top Category**: "),
-        F.col("top_category"),
-        F.lit(" requires the highest reorder investment."),
-    )
+    top = fill(TOP_CATEGORY, category=F.col("top_category"))
     return emit_rules(
         facts,
         [

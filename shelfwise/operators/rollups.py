@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import labels, stock
 from shelfwise.functions.nulls import count_if
+from shelfwise.functions.text import fill
 from shelfwise.operators.frames import emit_rules, one_row
 from shelfwise.operators.positions import PAIR
 from shelfwise.operators.reorder import estimated_order_value, needs_reorder
@@ -20,6 +21,45 @@ from shelfwise.operators.reorder import estimated_order_value, needs_reorder
 RISK = "risk_classification"
 EXPOSED = ("CRITICAL", "OUT_OF_STOCK")
 
+# Priority, action, reason and impact of each piece of advice.
+ADVICE = {
+    "critical": (
+        "🔴 High",
+        "Increase Safety Stock",
+        "{critical_pct}% items at risk",
+        "Reduce stockout risk by 40%",
+    ),
+    "overstock": (
+        "🟡 Medium",
+        "Optimize Reorder Quantities",
+        "{overstock_pct}% items overstocked",
+        "Free up $5K-10K in working capital",
+    ),
+    "slow": (
+        "🟠 Low",
+        "Review Slow-Moving Items",
+        "{slow} slow movers identified",
+        "Reduce holding costs by 15%",
+    ),
+    "worst": (
+        "🔴 High",
+        "Priority Support for {worst}",
+        "Health score: {worst_score}/100",
+        "Improve overall system health by 8%",
+    ),
+    "best": (
+        "⭐ Strategic",
+        "Replicate Best Practices from {best}",
+        "Health score: {best_score}/100",
+        "System-wide efficiency improvement",
+    ),
+}
+CRITICAL_RATE_LIMIT = 0.15
+OVERSTOCK_RATE_LIMIT = 0.20
+SLOW_ITEM_LIMIT = 10
+SLOW_USE = 0.5
+WORST_SCORE_LIMIT = 60
+
 
 def _in_class(*names: str) -> Column:
     return count_if(F.col(RISK).isin(*names))
@@ -274,7 +314,7 @@ def smart_recommendations(health: DataFrame) -> DataFrame:
         F.count("*").alias("rows"),
         _in_class(*EXPOSED).alias("critical"),
         _in_class("OVERSTOCK").alias("overstock"),
-        count_if(F.col("avg_daily_issue") < 0.5).alias("slow"),
+        count_if(F.col("avg_daily_issue") < SLOW_USE).alias("slow"),
         F.avg(F.coalesce(F.col("stock_health_score"), F.lit(0.0))).alias("mean"),
     )
     named = F.col("location_name").isNotNull()
@@ -299,68 +339,31 @@ def smart_recommendations(health: DataFrame) -> DataFrame:
         )
     )
 
-    def share(rate: str, text: str) -> Column:
-        return F.concat(labels.fixed(F.col(rate) * 100, 1), F.lit(text))
-
-    def score(column: str) -> Column:
-        return F.concat(F.lit("Health score: "), labels.fixed(F.col(column), 1), F.lit("/100"))
-
-    def advice(priority: str, action: Column, reason: Column, impact: str) -> dict[str, Column]:
-        return {
-            "priority": F.lit(priority),
-            "action": action,
-            "reason": reason,
-            "impact": F.lit(impact),
-        }
-
+    values = {
+        "critical_pct": labels.fixed(F.col("critical_rate") * 100, 1),
+        "overstock_pct": labels.fixed(F.col("overstock_rate") * 100, 1),
+        "slow": F.col("slow"),
+        "worst": F.col("worst"),
+        "worst_score": labels.fixed(F.col("worst_score"), 1),
+        "best": F.col("best"),
+        "best_score": labels.fixed(F.col("best_score"), 1),
+    }
+    conditions = {
+        "critical": F.col("critical_rate") > CRITICAL_RATE_LIMIT,
+        "overstock": F.col("overstock_rate") > OVERSTOCK_RATE_LIMIT,
+        "slow": F.col("slow") > SLOW_ITEM_LIMIT,
+        "worst": F.col("worst_score") < WORST_SCORE_LIMIT,
+        "best": F.col("best").isNotNull(),
+    }
+    names = ("priority", "action", "reason", "impact")
     return emit_rules(
         facts,
         [
             (
-                F.col("critical_rate") > 0.15,
-                advice(
-                    "🔴 High",
-                    F.lit("Increase Safety Stock"),
-                    share("critical_rate", "% items at risk"),
-                    "Reduce stockout risk by 40%",
-                ),
-            ),
-            (
-                F.col("overstock_rate") > 0.20,
-                advice(
-                    "🟡 Medium",
-                    F.lit("Optimize Reorder Quantities"),
-                    share("overstock_rate", "% items overstocked"),
-                    "Free up $5K-10K in working capital",
-                ),
-            ),
-            (
-                F.col("slow") > 10,
-                advice(
-                    "🟠 Low",
-                    F.lit("Review Slow-Moving Items"),
-                    F.concat(F.col("slow").cast("string"), F.lit(" slow movers identified")),
-                    "Reduce holding costs by 15%",
-                ),
-            ),
-            (
-                F.col("worst_score") < 60,
-                advice(
-                    "🔴 High",
-                    F.concat(F.lit("Priority Support for "), F.col("worst")),
-                    score("worst_score"),
-                    "Improve overall system health by 8%",
-                ),
-            ),
-            (
-                F.col("best").isNotNull(),
-                advice(
-                    "⭐ Strategic",
-                    F.concat(F.lit("Replicate Best Practices from "), F.col("best")),
-                    score("best_score"),
-                    "System-wide efficiency improvement",
-                ),
-            ),
+                conditions[rule],
+                {name: fill(text, **values) for name, text in zip(names, ADVICE[rule])},
+            )
+            for rule in ADVICE
         ],
     )
 
