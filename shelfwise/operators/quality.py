@@ -92,10 +92,10 @@ def violating_rows(daily: DataFrame, as_of: dt.date, rule: QualityRule) -> DataF
     return daily.filter(F.expr(rule.predicate.format(as_of=as_of.isoformat())))
 
 
-def duplicate_records(daily: DataFrame) -> DataFrame:
-    """Keys (date, location, item) that occur more than once, with their copies."""
+def duplicate_records(daily: DataFrame, *keys: str) -> DataFrame:
+    """Keys (date, location, item unless given) that occur more than once, with their copies."""
     return (
-        daily.groupBy("record_date", *PAIR)
+        daily.groupBy(*(keys or ("record_date", *PAIR)))
         .agg(F.count("*").alias("copies"))
         .filter(F.col("copies") > 1)
     )

@@ -540,12 +540,13 @@ def date_gaps(stock: Stock) -> DataFrame:
 @query
 def duplicate_records(stock: Stock) -> DataFrame:
     """Order lines of one day, location and item are the copies here."""
-    lines = derive.shipments(stock.spark, stock.sf_dir).select(
+    lines = derive.shipments(stock.spark, stock.sf_dir)
+    return quality.duplicate_records(lines, "record_date", "nation", "brand").select(
         "record_date",
         derive.location_code(F.col("nation")).alias("location_code"),
         derive.item_code(F.col("brand")).alias("item_code"),
+        "copies",
     )
-    return quality.duplicate_records(lines)
 
 
 @query

@@ -25,8 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, used by this run only."""
-    return f"{shared_folder(spark).rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, in this application's own part of it.
+
+    What an application wrote can be removed as one folder once it has ended.
+    """
+    own = f"{shared_folder(spark).rstrip('/')}/shelfwise/{spark.sparkContext.applicationId}"
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
