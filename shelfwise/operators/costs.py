@@ -85,19 +85,22 @@ def cost_metrics(queue: DataFrame, health: DataFrame) -> DataFrame:
     )
 
 
-def cost_by_category(queue: DataFrame) -> DataFrame:
-    return queue.groupBy("item_category").agg(
-        F.sum("estimated_order_value").alias("estimated_order_value")
+def _cost_by(queue: DataFrame, key: str) -> DataFrame:
+    """Order value per key; rows without the key are left out."""
+    return (
+        queue.filter(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.sum("estimated_order_value").alias("estimated_order_value"))
     )
 
 
+def cost_by_category(queue: DataFrame) -> DataFrame:
+    return _cost_by(queue, "item_category")
+
+
 def cost_by_location(queue: DataFrame) -> DataFrame:
     """Order value per location, cheapest first."""
-    return (
-        queue.groupBy("location_name")
-        .agg(F.sum("estimated_order_value").alias("estimated_order_value"))
-        .orderBy("estimated_order_value", "location_name")
-    )
+    return _cost_by(queue, "location_name").orderBy("estimated_order_value", "location_name")
 
 
 def cost_insights(queue: DataFrame) -> DataFrame:

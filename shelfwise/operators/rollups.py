@@ -212,14 +212,24 @@ def risk_counts(health: DataFrame) -> DataFrame:
     return health.groupBy(RISK).agg(F.count("*").alias("items"))
 
 
+def _named(health: DataFrame, key: str) -> DataFrame:
+    """Rows with a key: the display groupings leave out those without."""
+    return health.filter(F.col(key).isNotNull())
+
+
 def location_risk_counts(health: DataFrame) -> DataFrame:
-    return health.groupBy("location_name", RISK).agg(F.count("*").alias("items"))
+    return (
+        _named(health, "location_name")
+        .groupBy("location_name", RISK)
+        .agg(F.count("*").alias("items"))
+    )
 
 
 def location_risk_matrix(health: DataFrame) -> DataFrame:
     """One row per location, one count column per risk class."""
     return (
-        health.groupBy("location_name")
+        _named(health, "location_name")
+        .groupBy("location_name")
         .pivot(RISK, list(stock.RISK_CLASSES))
         .agg(F.count("risk_color"))
         .select(
@@ -235,14 +245,15 @@ def location_risk_matrix(health: DataFrame) -> DataFrame:
 def location_item_matrix(health: DataFrame, item_names: Sequence[str]) -> DataFrame:
     """Heat-map matrix: risk colour per location (rows) and chosen item (columns)."""
     return (
-        health.groupBy("location_name").pivot("item_name", list(item_names)).agg(
-            F.max("risk_color")
-        )
+        _named(health, "location_name")
+        .groupBy("location_name")
+        .pivot("item_name", list(item_names))
+        .agg(F.max("risk_color"))
     )
 
 
 def _performance(health: DataFrame, key: str) -> DataFrame:
-    return health.groupBy(key).agg(
+    return _named(health, key).groupBy(key).agg(
         F.avg("stock_health_score").alias("avg_health_score"),
         F.count("item_name").alias("total_items"),
         count_if(F.col("requires_attention")).alias("items_at_risk"),

@@ -86,7 +86,7 @@ def _brand_number() -> Column:
 def as_of_date(spark: SparkSession, sf_dir: str) -> dt.date:
     """The last ship date: one aggregate over one column, one value to the driver."""
     row = read_table(spark, sf_dir, "lineitem").agg(
-        F.max(F.to_date("l_shipdate")).alias("as_of")
+        F.to_date(F.max("l_shipdate")).alias("as_of")
     ).first()
     return row["as_of"]
 

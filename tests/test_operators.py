@@ -292,6 +292,14 @@ def test_roll_ups_of_nothing(spark):
     assert rollups.overall_performance(empty).first()["healthy_pct"] is None
 
 
+def test_display_groupings_leave_out_unnamed_rows(spark):
+    frame = health(spark, [{"location_name": None, "item_category": None}, {}])
+    for build in (rollups.location_risk_counts, rollups.location_risk_matrix,
+                  rollups.category_performance, rollups.location_performance):
+        assert build(frame).count() == 1
+    assert rollups.location_risk_summary(frame).count() == 2
+
+
 def test_smart_recommendations(spark):
     rows = [
         {"location_name": "good", "item_code": f"I{n}", "stock_health_score": 95.0} for n in range(8)

@@ -63,7 +63,7 @@ def test_refresh_equals_batch_after_every_arrival(spark, tmp_path):
     refresh = _refresh(spark, tmp_path, schema)
     seen = []
     for wave in waves:
-        writers.append_daily_stock(daily(spark, wave), refresh.fact_path, by_date=False)
+        writers.append_daily_stock(daily(spark, wave), refresh.fact_path)
         seen += wave
         refresh.start(every=None, with_rollups=True).awaitTermination()
         _same_rows(refresh.health(), classified(spark, seen))
