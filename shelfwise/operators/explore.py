@@ -32,7 +32,6 @@ SORT_KEYS = {
     "days": "days_until_stockout",
 }
 SHOW = {"all": None, "top_50": 50, "top_100": 100, "bottom_50": 50}
-SEARCH_MODES = ("contains", "exact", "starts_with")
 
 
 def health_list(
@@ -95,7 +94,10 @@ def advanced_search(
     mode: str = "contains",
     show_healthy: bool = True,
 ) -> DataFrame:
-    """Stock range, least score, and text in the item or location name."""
+    """Stock range, least score, and text in the item or location name.
+
+    ``mode`` is contains, exact or starts_with, all ignoring case.
+    """
     conditions = [
         F.col("current_stock").between(min_stock, max_stock),
         F.col("stock_health_score") >= min_health,
@@ -158,7 +160,10 @@ def _top(listed: DataFrame, name: str, value: str, order: Column, k: int) -> Dat
             )
         ).alias("rows")
     )
-    return ranked.select(F.lit(name).alias("list"), F.posexplode("rows").alias("pos", "row")).select(
+    numbered = ranked.select(
+        F.lit(name).alias("list"), F.posexplode("rows").alias("pos", "row")
+    )
+    return numbered.select(
         "list",
         (F.col("pos") + 1).alias("rank"),
         F.col("row.location_name").alias("location_name"),

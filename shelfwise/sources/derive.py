@@ -173,7 +173,9 @@ def item_master(spark: SparkSession, sf_dir: str) -> DataFrame:
             (brand % 3 == 0).alias("is_critical"),
             F.when(brand % 2 == 1, safety * 1.5 + 10).alias("reorder_point"),
             safety.alias("safety_stock"),
-            F.when(brand % 11 != 0, _pick(LEAD_TIMES, brand).cast("int")).alias("default_lead_time_days"),
+            F.when(brand % 11 != 0, _pick(LEAD_TIMES, brand).cast("int")).alias(
+                "default_lead_time_days"
+            ),
             F.concat(F.lit("Supplier "), supplier).alias("supplier_name"),
             F.concat(F.lit("SUP00"), supplier).alias("supplier_code"),
             F.lit(True).alias("is_active"),

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from shelfwise.functions.dates import days_before
 from shelfwise.operators import rollups
 
-EXPOSED = ("CRITICAL", "OUT_OF_STOCK")
-
 
 def append_daily_stock(daily: DataFrame, path: str, by_date: bool = True) -> None:
     """Bulk load into the fact table.
@@ -41,7 +39,9 @@ def append_rows(rows: DataFrame, path: str) -> None:
 def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
     """Numeric columns rounded for display, half-even like the usual spreadsheet export."""
     numeric = [
-        name for name, kind in df.dtypes if kind in ("double", "float") or kind.startswith("decimal")
+        name
+        for name, kind in df.dtypes
+        if kind in ("double", "float") or kind.startswith("decimal")
     ]
     return df.withColumns({name: F.bround(name, digits) for name in numeric})
 
@@ -58,7 +58,7 @@ def named_reports(health: DataFrame) -> dict[str, DataFrame]:
     """The three reports offered for export."""
     return {
         "executive_summary": rollups.executive_summary(health),
-        "critical_items": health.filter(F.col("risk_classification").isin(*EXPOSED)),
+        "critical_items": health.filter(F.col("risk_classification").isin(*rollups.EXPOSED)),
         "location_performance": rollups.location_performance(health),
     }
 

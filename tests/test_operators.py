@@ -173,7 +173,8 @@ def test_transfers_equal_the_full_pairing(spark):
                                  "High" if high else "Medium"))
     assert len(expected) > 60
     for limit in (10, 55):
-        got = [tuple(r) for r in transfers.transfer_suggestions(health(spark, rows), limit).collect()]
+        found = transfers.transfer_suggestions(health(spark, rows), limit).collect()
+        got = [tuple(r) for r in found]
         assert sorted(got) == sorted(expected[:limit])
 
 
@@ -302,7 +303,8 @@ def test_display_groupings_leave_out_unnamed_rows(spark):
 
 def test_smart_recommendations(spark):
     rows = [
-        {"location_name": "good", "item_code": f"I{n}", "stock_health_score": 95.0} for n in range(8)
+        {"location_name": "good", "item_code": f"I{n}", "stock_health_score": 95.0}
+        for n in range(8)
     ] + [
         {"location_name": "bad", "item_code": f"I{n}", "stock_health_score": 20.0,
          "risk_classification": "CRITICAL"} for n in range(2)
@@ -351,7 +353,8 @@ def test_sorted_heads_and_tail(spark):
 
 def test_filters_and_searches(spark):
     listed = _scored(spark)
-    assert explore.health_list(health(spark, [{"location_name": "X"}, {}]), location="X").count() == 1
+    two = health(spark, [{"location_name": "X"}, {}])
+    assert explore.health_list(two, location="X").count() == 1
     assert explore.text_search(listed, "ITEM 01").count() == 10
     assert explore.text_search(listed, "i01").count() == 0  # codes are not shown
     assert explore.advanced_search(listed, min_health=100).count() == 20

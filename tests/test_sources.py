@@ -137,6 +137,20 @@ def test_materialised_frame_reads_back_equal(spark):
     assert workspace.work_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_cluster_sessions_need_a_shared_folder():
+    class Cluster:
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return None
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        workspace.shared_folder(Cluster)
+
+
 def test_streaming_reader_takes_new_files(spark, tmp_path):
     frame = daily(spark, records([0, 1]))
     path = str(tmp_path / "in")

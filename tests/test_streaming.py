@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from shelfwise.sources import writers
 from shelfwise.streaming.changes import change_capture
 from shelfwise.streaming.consumption import running_consumption
