@@ -5,14 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwise.llm import chunk_encode, digest_cache, simhash
+from shelfwise.llm import (
+    chunk_encode,
+    digest_cache,
+    langid,
+    materialise,
+    packing,
+    quality,
+    simhash,
+    spans,
+)
+from shelfwise.llm.common import words_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bin and place of every document by its number of words."""
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", F.size(words_of(F.col("text"))).alias("n_tokens")))
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under SimHash links of 2 bits."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -25,6 +42,28 @@ def op4_chunk_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document."""
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality.OWN)
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that repeat an earlier span."""
+    return spans.dedup_spans(_table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot, file and offset of every sequence of the training-order files it writes."""
+    return materialise.sequence_slots(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document through a new digest cache."""
     return digest_cache.token_counts(_table(spark, sf_dir, "documents"))
@@ -32,10 +71,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
-    own = (op2_simhash_near_duplicates, op4_chunk_encode, op10_token_counts)
+    own = (
+        op1_best_fit_packing,
+        op2_simhash_near_duplicates,
+        op4_chunk_encode,
+        op5_quality_rules,
+        op7_sentence_spans,
+        op8_language,
+        op9_training_order,
+        op10_token_counts,
+    )
     return {query.__name__: query for query in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """The twins of the queries that SQL can express."""
-    return {}
+    return {"op5_quality_rules": quality.TWIN}
