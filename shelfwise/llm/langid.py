@@ -248,7 +248,7 @@ def train(
             net.fit(words, np.array(target))
         return pd.DataFrame({"raw": [net.to_bytes()]})
 
-    found = sample.groupBy(F.lit(0)).applyInPandas(one_task, "raw binary").collect()
+    found = sample.groupBy().applyInPandas(one_task, "raw binary").collect()
     return bytes(found[0]["raw"]) if found else None
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import (
+    bm25,
     chunk_encode,
     digest_cache,
     langid,
@@ -16,6 +17,7 @@ from shelfwise.llm import (
     quality,
     simhash,
     spans,
+    wrapper,
 )
 from shelfwise.llm.common import words_of
 
@@ -35,6 +37,11 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrapper.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_chunk_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -48,6 +55,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.OWN)
 
 
+def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 50."""
+    docs = _table(spark, sf_dir, "documents")
+    asked = docs.where(F.col("doc_id") % 50 == 0).select(
+        F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")
+    )
+    return bm25.search(docs, asked)
+
+
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences that repeat an earlier span."""
     return spans.dedup_spans(_table(spark, sf_dir, "documents"))
@@ -74,8 +90,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_best_fit_packing,
         op2_simhash_near_duplicates,
+        op3_main_text,
         op4_chunk_encode,
         op5_quality_rules,
+        op6_bm25_search,
         op7_sentence_spans,
         op8_language,
         op9_training_order,
@@ -86,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The twins of the queries that SQL can express."""
-    return {"op5_quality_rules": quality.TWIN}
+    return {"op5_quality_rules": quality.TWIN, "op6_bm25_search": bm25.TWIN}
