@@ -532,7 +532,7 @@ ORDER BY location_code, item_code LIMIT 50"""
 SELECT location_code, item_code, {AS_OF} + CAST(ahead AS INTEGER) AS forecast_date,
   round(mean, 6) AS forecast_daily_issue, round(mean * ahead, 6) AS forecast_cumulative_issue
 FROM (SELECT location_code, item_code, avg(issues) AS mean
-    FROM (SELECT * FROM daily WHERE record_date >= {AS_OF} - 90
+    FROM (SELECT * FROM daily WHERE record_date <= {AS_OF}
       QUALIFY row_number() OVER (PARTITION BY location_code, item_code
         ORDER BY record_date DESC) <= 14)
     GROUP BY location_code, item_code),
@@ -583,12 +583,9 @@ FROM health GROUP BY location_name, risk_classification"""
     )
     sql["location_risk_matrix"] = f"""
 SELECT location_name, {class_columns} FROM health GROUP BY location_name"""
-    item_columns = ", ".join(
-        f"max(risk_color) FILTER (WHERE item_name = '{name}') AS \"{name}\""
-        for name in registry.MATRIX_ITEMS
-    )
-    sql["location_item_matrix"] = f"""
-SELECT location_name, {item_columns} FROM health GROUP BY location_name"""
+    sql["location_item_matrix"] = """
+SELECT location_name, item_name, max(risk_color) AS risk_color FROM health
+WHERE item_name IS NOT NULL GROUP BY 1, 2"""
     sql["category_performance"] = _performance(
         "item_category", "round(avg(stock_health_score), 6)"
     )
@@ -840,8 +837,6 @@ SELECT day - CAST(back AS INTEGER) AS window_start, day - CAST(back AS INTEGER)
 FROM (SELECT CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS location_code,
     event_type AS item_code, sum(value) AS issues, count(*) AS movements
   FROM events GROUP BY 1, 2, 3), range(0, 7) AS days(back)
-WHERE day - CAST(back AS INTEGER) + 7
-  <= (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM events)
 GROUP BY 1, 2, 3, 4"""
     return {name: PRELUDE + text for name, text in sql.items()}
 

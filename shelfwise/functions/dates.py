@@ -7,8 +7,6 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CALENDAR_DAYS = 2_900_000  # beyond this a date leaves the calendar (year 9999)
-
 
 def days_before(as_of: dt.date, days: int) -> Column:
     """Literal ``as_of - days``, folded here so that filters on it prune partitions."""
@@ -22,8 +20,9 @@ def within(date: Column, as_of: dt.date, days: int) -> Column:
 
 def plus_days(as_of: dt.date, days: Column) -> Column:
     """``as_of + days``, NULL where the sum would leave the calendar."""
+    first, last = (dt.date.min - as_of).days, (dt.date.max - as_of).days
     return F.when(
-        days.between(-_CALENDAR_DAYS, _CALENDAR_DAYS),
+        days.between(first, last),
         F.date_add(F.lit(as_of), days.cast("int")),
     )
 

@@ -215,9 +215,13 @@ def alert_counts(open_alerts: DataFrame, acknowledged: DataFrame) -> DataFrame:
 
 
 def _listed(filter_text: Column, value: Column) -> Column:
-    """An empty filter admits everything, otherwise the value must be in its comma list."""
-    return filter_text.isNull() | F.array_contains(
-        F.split(filter_text, r"\s*,\s*"), value
+    """An empty or blank filter admits everything, otherwise the value must be listed.
+
+    Blanks around the entries of the comma list do not count.
+    """
+    listed = F.trim(filter_text)
+    return filter_text.isNull() | (listed == "") | F.array_contains(
+        F.split(listed, r"\s*,\s*"), value
     )
 
 

@@ -82,18 +82,24 @@ def consumption_metrics(
 
 
 def demand_forecast(
-    daily: DataFrame, as_of: dt.date, window: int = 14, horizon: int = 7
+    daily: DataFrame,
+    as_of: dt.date,
+    window: int = 14,
+    horizon: int = 7,
+    history_days: int | None = None,
 ) -> DataFrame:
     """Moving average of the last ``window`` record days, carried over the next days.
 
-    Only the last 90 days are read. Records of one day are summed first, which bounds a
-    pair to one row per day before anything is ranked.
+    The record days may lie any time before ``as_of``; ``history_days`` limits how far back
+    records are read, at the price of pairs with fewer record days in that time. Records
+    of one day are summed first, which bounds a pair to one row per day, and the ranks are
+    cut map-side.
     """
+    known = F.col("record_date") <= F.lit(as_of)
+    if history_days is not None:
+        known &= F.col("record_date") >= days_before(as_of, history_days)
     by_day = (
-        daily.filter(
-            (F.col("record_date") >= days_before(as_of, HISTORY_DAYS))
-            & (F.col("record_date") <= F.lit(as_of))
-        )
+        daily.filter(known)
         .withColumns(as_double("issues"))
         .groupBy(*PAIR, "record_date")
         .agg(F.sum("issues").alias("issues"))

@@ -3,30 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.schemas import as_double
 
-_ID_RANGE = 2**40  # with 23 bits for dates of the years 1 to 9999
 PAIR = ("location_code", "item_code")
 DESCRIPTION = ("location_name", "item_name", "item_category", "unit_of_measure")
 
 
 def _recency(daily: DataFrame) -> Column:
-    """Sort value of a record: its date, then (where present) its surrogate id.
+    """Sort value of a record: date, then record id, then stock and lead time.
 
-    Both go into one BIGINT, so that the MAX_BY buffers keep a fixed width and the
-    aggregation stays a code-generated hash aggregate instead of a sort. The date always
-    decides first; among copies of one day the highest id wins, where ids of 2^40 and
-    more compare by their low 40 bits.
+    All go into one DECIMAL, so that the MAX_BY buffers keep a fixed width and the
+    aggregation stays a hash aggregate instead of a sort. The date decides first; among
+    copies of a day the highest id wins over the whole BIGINT range and any id over NULL.
+    Without an id column the copy with the most stock wins, then the longest lead time.
     """
-    day = F.col("record_date")
-    if "stock_record_id" not in daily.columns:
-        return day
-    record = F.pmod(F.coalesce(F.col("stock_record_id"), F.lit(0)), F.lit(_ID_RANGE))
-    return F.unix_date(day).cast("bigint") * F.lit(_ID_RANGE) + record
+    whole = "decimal(38,0)"
+    if "stock_record_id" in daily.columns:
+        second = F.col("stock_record_id").cast("bigint").cast(whole)
+    else:
+        second = (F.col("closing_stock").try_cast("decimal(18,2)") * 100).cast(whole)
+    lead = F.greatest(F.col("lead_time_days").cast("int"), F.lit(0)).cast(whole)
+    day = F.unix_date("record_date").cast(whole)
+    step = lambda bits: F.lit(Decimal(2**bits)).cast(whole)
+    lowest = F.lit(Decimal(-(2**63) - 1)).cast(whole)
+    value = day * step(65) + F.coalesce(second, lowest)
+    return (value.cast(whole) * step(31) + F.coalesce(lead, F.lit(0))).cast(whole)
 
 
 POSITION_COLUMNS = (
@@ -63,11 +69,14 @@ def position_candidates(daily: DataFrame) -> DataFrame:
 
 
 def choose_positions(candidates: DataFrame) -> DataFrame:
-    """One position per pair: a renamed item or location leaves several candidates."""
-    details = F.struct(*[name for name in POSITION_COLUMNS if name not in PAIR])
+    """One position per pair: a renamed item or location leaves several candidates.
+
+    Candidates of equal recency compare by their details, so that the choice repeats.
+    """
+    details = [name for name in POSITION_COLUMNS if name not in PAIR]
     return (
         candidates.groupBy(*PAIR)
-        .agg(F.max_by(details, "recency").alias("_latest"))
+        .agg(F.max(F.struct("recency", *details)).alias("_latest"))
         .select(
             *[
                 F.col(name if name in PAIR else f"_latest.{name}")

@@ -242,11 +242,23 @@ def location_risk_matrix(health: DataFrame) -> DataFrame:
     )
 
 
-def location_item_matrix(health: DataFrame, item_names: Sequence[str]) -> DataFrame:
-    """Heat-map matrix: risk colour per location (rows) and chosen item (columns)."""
+def location_item_matrix(
+    health: DataFrame, item_names: Sequence[str] | None = None
+) -> DataFrame:
+    """Heat-map matrix: risk colour per location and item.
+
+    One row per cell, however many items there are; with ``item_names`` one row per
+    location and a column for each of these items.
+    """
+    named = _named(health, "location_name")
+    if item_names is None:
+        return (
+            named.filter(F.col("item_name").isNotNull())
+            .groupBy("location_name", "item_name")
+            .agg(F.max("risk_color").alias("risk_color"))
+        )
     return (
-        _named(health, "location_name")
-        .groupBy("location_name")
+        named.groupBy("location_name")
         .pivot("item_name", list(item_names))
         .agg(F.max("risk_color"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SHARE_OF_SOURCE = 0.3
 DAYS_FOR_TARGET = 14
 MAX_SUGGESTIONS = 10
+LARGEST_LIMIT = 1_000  # up to here Spark cuts ranks before it shuffles
 
 
 def transfer_suggestions(health: DataFrame, limit: int = MAX_SUGGESTIONS) -> DataFrame:
@@ -21,6 +22,8 @@ def transfer_suggestions(health: DataFrame, limit: int = MAX_SUGGESTIONS) -> Dat
     is exact, keeps an item's pairs below ``limit`` squared, and the rank filter is
     applied map-side, so a hot item never gathers in one task.
     """
+    if not 0 < limit <= LARGEST_LIMIT:
+        raise ValueError(f"limit must be between 1 and {LARGEST_LIMIT}")
     by_item = Window.partitionBy("item_name").orderBy(
         F.col("stock_health_score").asc_nulls_last(),
         F.col("location_name").asc_nulls_last(),

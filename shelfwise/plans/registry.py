@@ -34,7 +34,7 @@ from shelfwise.operators import (
 from shelfwise.plans.workspace import materialise, work_path
 from shelfwise.sources import derive, readers, seed, writers
 from shelfwise.streaming.changes import change_capture
-from shelfwise.streaming.consumption import running_consumption
+from shelfwise.streaming.consumption import open_windows, running_consumption
 from shelfwise.streaming.refresh import StockRefresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,6 @@ RETENTION_DAYS = 365
 COMPARED_LOCATIONS = ("NATION_1", "NATION_5", "NATION_12", "NATION_20")
 SCENARIOS = ((0, 0, 100), (25, 0, 100), (-50, 50, 80), (100, 100, 200), (33, -25, 150))
 SEARCH_TEXT = "Food_Gr"
-MATRIX_ITEMS = tuple(f"Item {number:02}" for number in range(1, 26))  # all there are
 CUSTOM_THRESHOLDS = (("Item 03", 14), ("Item 08", 30), ("Item 17", 2))
 
 
@@ -310,7 +309,7 @@ def location_risk_matrix(stock: Stock) -> DataFrame:
 
 @query
 def location_item_matrix(stock: Stock) -> DataFrame:
-    return rollups.location_item_matrix(stock.health, MATRIX_ITEMS)
+    return rollups.location_item_matrix(stock.health)
 
 
 @query
@@ -664,17 +663,25 @@ def stream_consumption(stock: Stock) -> DataFrame:
     events = readers.stream_folder(
         spark, stock.sf_dir, derive.INPUT_SCHEMAS["events"], glob="events.parquet"
     )
-    movements = events.select(
-        utc_instant(F.col("ts")).alias("ts"),
-        F.col("user_id").cast("string").alias("location_code"),
-        F.col("event_type").alias("item_code"),
-        F.col("value").alias("issues"),
-    )
+
+    def movements(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            utc_instant(F.col("ts")).alias("ts"),
+            F.col("user_id").cast("string").alias("location_code"),
+            F.col("event_type").alias("item_code"),
+            F.col("value").alias("issues"),
+        )
+
     out = work_path(spark, "consumption")
-    running_consumption(movements).writeStream.format("parquet").outputMode("append").option(
+    running_consumption(movements(events)).writeStream.format("parquet").outputMode("append").option(
         "checkpointLocation", f"{out}-checkpoint"
     ).trigger(availableNow=True).start(out).awaitTermination()
-    return _rounded(spark.read.parquet(out), 4, "issues").withColumns(
+    finished = spark.read.schema(derive.INPUT_SCHEMAS["events"]).parquet(
+        f"{stock.sf_dir}/events.parquet"
+    )
+    emitted = spark.read.parquet(out)
+    windows = emitted.unionByName(open_windows(movements(finished), emitted))
+    return _rounded(windows, 4, "issues").withColumns(
         {
             "window_start": utc_date(F.col("window_start")),
             "window_end": utc_date(F.col("window_end")),

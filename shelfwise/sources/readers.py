@@ -24,10 +24,24 @@ CSV_OPTIONS = {
 }
 
 
-def _typed(field: T.StructField) -> Column:
-    text = F.col(field.name)
-    known = F.when(~text.isin(*NULL_MARKERS), text)
-    return known.try_cast(field.dataType).alias(field.name)
+def _known(name: str) -> Column:
+    """A field's text, NULL for the markers of a missing field."""
+    text = F.col(name)
+    return F.when(~text.isin(*NULL_MARKERS), text)
+
+
+def _unfit(field: T.StructField) -> Column:
+    """True if a field has a text that its type cannot hold."""
+    known = _known(field.name)
+    return known.isNotNull() & known.try_cast(field.dataType).isNull()
+
+
+def _texts(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool
+) -> DataFrame:
+    text = T.StructType([T.StructField(field.name, T.StringType()) for field in schema])
+    options = CSV_OPTIONS | {"multiLine": multi_line}
+    return spark.read.options(**options).schema(text).csv(path)
 
 
 def read_stock_csv(
@@ -35,16 +49,52 @@ def read_stock_csv(
     path: str | list[str],
     schema: T.StructType,
     defaults: dict[str, object] | None = None,
+    bad_values: str = "raise",
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV files, a folder or a glob, as the declared schema.
 
-    Fields arrive as text first because five different markers mean NULL; text that does
-    not fit its type becomes NULL too. ``defaults`` then fills the declared values in.
+    Fields arrive as text first because five different markers mean NULL. A text that
+    does not fit its type stops the load, as long as ``bad_values`` is ``"raise"``;
+    ``"skip"`` leaves its row out, which ``rejected_rows`` then returns, and ``"null"``
+    loads NULL. ``defaults`` fill the columns that the files do not have; a column that a
+    file has may be NULL. ``multi_line`` admits line breaks in quoted fields, at one task
+    a file.
     """
-    text = T.StructType([T.StructField(field.name, T.StringType()) for field in schema])
-    raw = spark.read.options(**CSV_OPTIONS).schema(text).csv(path)
-    typed = raw.select(*[_typed(field) for field in schema])
-    return with_defaults(typed, defaults or {})
+    if bad_values not in ("raise", "skip", "null"):
+        raise ValueError("bad_values must be raise, skip or null")
+    raw = _texts(spark, path, schema, multi_line)
+    columns = []
+    for field in schema:
+        value = _known(field.name).try_cast(field.dataType)
+        if bad_values == "raise":
+            message = F.concat(F.lit(f"bad value in {field.name}: "), F.col(field.name))
+            value = F.when(_unfit(field), F.raise_error(message)).otherwise(value)
+        columns.append(value.alias(field.name))
+    if bad_values == "skip":
+        raw = raw.filter(~_any_unfit(schema))
+    typed = raw.select(*columns)
+    if not defaults:
+        return typed
+    header = spark.read.options(sep=CSV_OPTIONS["sep"], quote='"', escape='"', header=True).csv(path)
+    absent = {field.name for field in schema.fields[len(header.columns) :]}
+    return with_defaults(typed, {k: v for k, v in defaults.items() if k in absent})
+
+
+def _any_unfit(schema: T.StructType) -> Column:
+    bad = F.lit(False)
+    for field in schema:
+        bad |= _unfit(field)
+    return bad
+
+
+def rejected_rows(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
+    """The rows with a text that its type cannot hold: all fields as text and their names."""
+    raw = _texts(spark, path, schema, multi_line)
+    names = F.array_compact(F.array(*[F.when(_unfit(f), F.lit(f.name)) for f in schema]))
+    return raw.withColumn("bad_fields", names).filter(F.size("bad_fields") > 0)
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:

@@ -36,3 +36,18 @@ def running_consumption(
             "movements",
         )
     )
+
+
+def open_windows(
+    movements: DataFrame, emitted: DataFrame, window: str = "7 days", slide: str = "1 day"
+) -> DataFrame:
+    """The windows that a stream over a finished input has left open.
+
+    A watermark closes windows in the order of their ends, so the open ones end after
+    every window in ``emitted``; they are computed anew from the movements that reach them.
+    """
+    closed = emitted.agg(F.max("window_end").alias("closed_to")).first()["closed_to"]
+    if closed is not None:
+        movements = movements.filter(F.col("ts") >= F.lit(closed) - F.expr(f"INTERVAL '{window}'"))
+    windows = running_consumption(movements, window, slide)
+    return windows if closed is None else windows.filter(F.col("window_end") > F.lit(closed))

@@ -196,6 +196,36 @@ def test_forecast_averages_the_last_record_days(spark):
     assert got[ago(-3)]["forecast_cumulative_issue"] == pytest.approx(3 * expected)
 
 
+def test_forecast_reaches_back_to_any_record_day(spark):
+    rows = [r for n in range(20) for r in records([30 * n], issues=float(n + 1))]
+    got = by(demand_forecast(daily(spark, rows), TODAY, horizon=1), "forecast_date")
+    assert got[ago(-1)]["forecast_daily_issue"] == pytest.approx(sum(range(1, 15)) / 14)
+    short = demand_forecast(daily(spark, rows), TODAY, horizon=1, history_days=90).first()
+    assert short["forecast_daily_issue"] == pytest.approx(2.5)
+
+
+@pytest.mark.parametrize(
+    ("older", "newer"), [(2**40 - 1, 2**40 + 3), (-5, -4), (None, -(2**63)), (2**62, 2**63 - 1)]
+)
+def test_highest_record_id_of_a_day_wins(spark, older, newer):
+    rows = records([0], stock_record_id=newer, closing_stock=9.0)
+    rows += records([0], stock_record_id=older, closing_stock=50.0)
+    rows += records([1], stock_record_id=2**63 - 1, closing_stock=70.0)
+    for given in (rows, rows[::-1]):
+        got = latest_stock_position(daily(spark, given)).collect()
+        assert [r["closing_stock"] for r in got] == [9.0]
+
+
+def test_copies_without_ids_and_renames_give_one_order(spark):
+    rows = records([0], closing_stock=9.0) + records([0], closing_stock=50.0)
+    for given in (rows, rows[::-1]):
+        frame = daily(spark, given).drop("stock_record_id")
+        assert latest_stock_position(frame).first()["closing_stock"] == 50.0
+    tied = records([0], stock_record_id=4, item_name="A") + records([0], stock_record_id=4, item_name="B")
+    for given in (tied, tied[::-1]):
+        assert latest_stock_position(daily(spark, given)).first()["item_name"] == "B"
+
+
 def test_conditional_update_reads_old_values(spark):
     from pyspark.sql import functions as F
 

@@ -26,16 +26,36 @@ def test_csv_markers_quotes_trimming_and_ragged_rows(spark, tmp_path):
     schema = _subset(
         "record_date", "location_code", "item_name", "issues", "closing_stock", "lead_time_days"
     )
-    got = readers.read_stock_csv(spark, str(tmp_path), schema).orderBy("record_date").collect()
+    rows = readers.read_stock_csv(spark, str(tmp_path), schema, bad_values="null")
+    got = rows.orderBy("record_date").collect()
     assert [tuple(r) for r in got] == [
         (dt.date(2024, 6, 28), "L3", None, None, Decimal("8.25"), 9),
         (dt.date(2024, 6, 29), None, "Oil", None, Decimal("7.00"), None),
         (dt.date(2024, 6, 30), "L1", 'Rice, "fine"', Decimal("1.50"), None, None),
     ]
-    filled = readers.read_stock_csv(
-        spark, str(tmp_path), schema, schemas.DAILY_STOCK_DEFAULTS
-    ).filter("location_code = 'L1'").first()
-    assert (filled["closing_stock"], filled["lead_time_days"]) == (0, 7)
+    loaded = readers.read_stock_csv(
+        spark, str(tmp_path), schema, schemas.DAILY_STOCK_DEFAULTS, bad_values="skip"
+    ).collect()
+    assert sorted((r["location_code"] or "", r["closing_stock"]) for r in loaded) == [
+        ("", Decimal("7.00")), ("L1", None),
+    ]
+    rejected = readers.rejected_rows(spark, str(tmp_path), schema).collect()
+    assert [(r["issues"], r["bad_fields"]) for r in rejected] == [("abc", ["issues"])]
+    with pytest.raises(Exception, match="bad value in issues: abc"):
+        readers.read_stock_csv(spark, str(tmp_path), schema).collect()
+
+
+def test_csv_absent_columns_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        'record_date,item_name\n2024-06-30,"two\nlines"\n2024-06-29,Oil\n'
+    )
+    schema = _subset("record_date", "item_name", "closing_stock", "lead_time_days")
+    got = readers.read_stock_csv(
+        spark, str(tmp_path), schema, schemas.DAILY_STOCK_DEFAULTS, multi_line=True
+    ).orderBy("record_date").collect()
+    assert [(r["item_name"], r["closing_stock"], r["lead_time_days"]) for r in got] == [
+        ("Oil", 0, 7), ("two\nlines", 0, 7),
+    ]
 
 
 def test_json_outer_array(spark, tmp_path):
