@@ -8,9 +8,9 @@ again, in a window that widens until the ids of its outermost words agree with t
 on both sides. From there on outwards the ids are the library's, because no token of these
 vocabularies spans white space.
 
-Plan: documents are prepared (compressed text, cuts, digests) and dealt by row once, and that
-layout is checkpointed; both joins by row use it. Shuffled besides are the digests and the
-ids of shared chunks. A passage in a third of all documents is one digest: its count is
+Plan: the chunks' digests are counted without the texts; then the compressed texts are dealt
+by row in one exchange, which both joins by row read. Shuffled besides are the ids of shared
+chunks. Cuts follow from a text, so they are set anew where they are needed. A passage in a third of all documents is one digest: its count is
 combined map-side, and the join that hands out its ids is on the side that Spark can split.
 
 Null texts count as empty and have no tokens; repeated rows each get their result; extra
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import settled, ship
+from shelfwise.llm.common import same_row, settled, ship
 from shelfwise.llm.tokens import WordEncoder, encoder, slices, splits_on_space
 
 WINDOW = 32
@@ -124,29 +124,41 @@ def repaired(
     return b"".join(out)
 
 
-def _prepare(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+def _begins(cuts: np.ndarray) -> list[int]:
+    return [0, *cuts[:-1].tolist()]
+
+
+def _digests(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(row_id, row_hash, digests): the digest of each chunk of a text."""
     import xxhash
-    import zstandard
 
-    pack = zstandard.ZstdCompressor(1)
+    digest = xxhash.xxh3_128_digest
     for batch in batches:
-        packed, cuts, digests = [], [], []
+        found = []
         for text in batch.column("body").cast(pa.binary()):
             text = text.as_py() or b""
-            ends = cut_points(text, chunk_bytes)
-            begins = [0, *ends[:-1].tolist()]
-            packed.append(pack.compress(text))
-            cuts.append(ends.astype(np.int32))
-            digests.append([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(begins, ends.tolist())])
+            cuts = cut_points(text, chunk_bytes)
+            found.append([digest(text[a:b]) for a, b in zip(_begins(cuts), cuts.tolist())])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row_id"), batch.column("row_hash"), pa.array(found, pa.list_(pa.binary()))],
+            names=["row_id", "row_hash", "digests"],
+        )
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with compressed texts."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(1)
+    for batch in batches:
+        texts = batch.column("body").cast(pa.binary())
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("id"),
-                batch.column("row"),
-                pa.array(packed, pa.binary()),
-                pa.array(cuts, pa.list_(pa.int32())),
-                pa.array(digests, pa.list_(pa.binary())),
+                batch.column("row_id"),
+                batch.column("row_hash"),
+                pa.array([pack.compress(t.as_py() or b"") for t in texts], pa.binary()),
             ],
-            names=["id", "row", "packed", "cuts", "digests"],
+            names=["row_id", "row_hash", "packed"],
         )
 
 
@@ -157,19 +169,24 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [unpack.decompress(x.as_py()) for x in batch.column("packed")]
 
 
-def _encode_shared(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+def _encode_shared(
+    batches: Iterator[pa.RecordBatch], vocabulary: str, chunk_bytes: int
+) -> Iterator[pa.RecordBatch]:
     """(digest, ids, counts) of the chunks at the positions named."""
+    import xxhash
+
     own = encoder(vocabulary)
     for batch in batches:
         out = [], [], []
-        for text, cuts, digests, at in zip(
-            _texts(batch), *(batch.column(c).to_pylist() for c in ("cuts", "digests", "at"))
-        ):
-            chunks = [(digests[i], text[cuts[i - 1] if i else 0 : cuts[i]]) for i in at]
-            table = own.table({w for _, chunk in chunks for w in chunk.split()})
-            for digest, chunk in chunks:
+        batch = batch.filter(batch.column("at").is_valid())
+        for text, at in zip(_texts(batch), batch.column("at").to_pylist()):
+            cuts = cut_points(text, chunk_bytes)
+            begins = _begins(cuts)
+            chunks = [text[begins[i] : cuts[i]] for i in at]
+            table = own.table({w for chunk in chunks for w in chunk.split()})
+            for chunk in chunks:
                 ids, counts = chunk_ids(chunk, table)
-                out[0].append(digest)
+                out[0].append(xxhash.xxh3_128_digest(chunk))
                 out[1].append(np.frombuffer(ids, "<u4").astype("<u2").tobytes())
                 out[2].append(counts.astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays(
@@ -177,18 +194,26 @@ def _encode_shared(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterat
         )
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], vocabulary: str, full: bool) -> Iterator[pa.RecordBatch]:
+def _assemble(
+    batches: Iterator[pa.RecordBatch], vocabulary: str, full: bool, chunk_bytes: int
+) -> Iterator[pa.RecordBatch]:
+    """(id, n_tokens, ids, decoded): the chunks given and the others, joined and repaired."""
     own = encoder(vocabulary)
     for batch in batches:
         texts = _texts(batch)
-        cuts, given = (batch.column(c).to_pylist() for c in ("cuts", "given"))
+        cuts = [cut_points(t, chunk_bytes) for t in texts]
+        given = batch.column("given").to_pylist()
         rows = []
         for a, b in slices(texts):
             fresh: list[dict[int, bytes]] = []
             for text, ends, got in zip(texts[a:b], cuts[a:b], given[a:b]):
                 have = {x["pos"] for x in got or ()}
                 fresh.append(
-                    {i: text[ends[i - 1] if i else 0 : e] for i, e in enumerate(ends) if i not in have}
+                    {
+                        i: text[a:b]
+                        for i, (a, b) in enumerate(zip(_begins(ends), ends.tolist()))
+                        if i not in have
+                    }
                 )
             table = own.table({w for x in fresh for chunk in x.values() for w in chunk.split()})
             for text, ends, got, new in zip(texts[a:b], cuts[a:b], given[a:b], fresh):
@@ -198,7 +223,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], vocabulary: str, full: bool) ->
                     coded[x["pos"]] = ids, np.frombuffer(x["counts"], "<u2").astype(np.int64)
                 for i, chunk in new.items():
                     coded[i] = chunk_ids(chunk, table)
-                rows.append(repaired(text, np.array(ends, np.int64), coded, own))
+                rows.append(repaired(text, ends, coded, own))
         decoded = [own.decoded(np.frombuffer(x, "<u4")) for x in rows]
         if full:
             values = [pa.array(rows, pa.binary()), pa.array(decoded, pa.string())]
@@ -207,7 +232,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], vocabulary: str, full: bool) ->
             values = [pa.array(map(sha, rows), pa.string()), pa.array(map(sha, decoded), pa.string())]
         counts = pa.array([len(x) >> 2 for x in rows], pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), counts, *values], names=["id", "n_tokens", "ids", "decoded"]
+            [batch.column("row_id"), counts, *values], names=["id", "n_tokens", "ids", "decoded"]
         )
 
 
@@ -230,46 +255,46 @@ def encode_documents(
     spark = docs.sparkSession
     ship(spark)
     kind = dict(docs.dtypes)[id_col]
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(F.col(id_col), body, F.monotonically_increasing_id()).alias("row"),
-        body.alias("body"),
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prepared = settled(
-        rows.mapInArrow(
-            lambda batches: _prepare(batches, chunk_bytes),
-            f"id {kind}, row bigint, packed binary, cuts array<int>, digests array<binary>",
-        ).repartition(parts, "row")
+    body = docs.select(
+        F.col(id_col).alias("row_id"),
+        F.xxhash64(F.col(text_col)).alias("row_hash"),
+        F.col(text_col).alias("body"),
     )
-    found = prepared.select("row", F.posexplode("digests").alias("pos", "digest"))
+    key = f"row_id {kind}, row_hash bigint"
+    found = body.mapInArrow(
+        lambda batches: _digests(batches, chunk_bytes), f"{key}, digests array<binary>"
+    ).select("row_id", "row_hash", F.posexplode("digests").alias("pos", "digest"))
     shared = (
         found.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "row_hash", "pos")).alias("first"))
         .where(F.col("n") > 1)
     )
-    shared = settled(shared.select("digest", "first.row", "first.pos"))
-    at = shared.groupBy("row").agg(F.collect_list("pos").alias("at"))
+    shared = settled(shared.select("digest", "first.*"))
+    at = shared.groupBy("row_id", "row_hash").agg(F.collect_set("pos").alias("at"))
+    packed = body.mapInArrow(_packed, f"{key}, packed binary")
+    # Both joins are left joins, so that they read the texts through the same exchange.
     coded = (
-        prepared.join(at, "row")
-        .select("packed", "cuts", "digests", "at")
+        packed.join(at, same_row(packed, at), "left")
+        .select("packed", "at")
         .mapInArrow(
-            lambda batches: _encode_shared(batches, vocabulary),
+            lambda batches: _encode_shared(batches, vocabulary, chunk_bytes),
             "digest binary, ids binary, counts binary",
         )
+        .dropDuplicates(["digest"])
     )
     given = (
-        found.join(coded, "digest")
-        .groupBy("row")
+        found.join(shared.select("digest"), "digest", "left_semi")
+        .distinct()
+        .join(coded, "digest")
+        .groupBy("row_id", "row_hash")
         .agg(F.collect_list(F.struct("pos", "ids", "counts")).alias("given"))
     )
     kinds = "ids string, decoded string" if digests_only else "ids binary, decoded string"
     out = (
-        prepared.join(given, "row", "left")
-        .select("id", "packed", "cuts", "given")
+        packed.join(given, same_row(packed, given), "left")
+        .select(packed["row_id"], packed["packed"], "given")
         .mapInArrow(
-            lambda batches: _assemble(batches, vocabulary, not digests_only),
+            lambda batches: _assemble(batches, vocabulary, not digests_only, chunk_bytes),
             f"id {kind}, n_tokens bigint, {kinds}",
         )
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +34,20 @@ def version_digest(name: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
+#: A word of letters with closing punctuation, which is a token run of its own.
+_CLOSED = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?]+)", re.S)
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies use for each byte.
+
+    Printable Latin-1 characters stand for themselves, the others follow from U+0100 on.
+    """
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
 class WordEncoder:
     """Encodes words of one ``tokenizers`` vocabulary that drops or splits at white space.
 
@@ -54,14 +69,47 @@ class WordEncoder:
             if token.special and not (token.lstrip or token.rstrip or token.normalized)
         ]
         self.mark, self.mark_id = special[-1] if special else (None, None)
+        self.letters = _byte_letters()
+        self.tokenize = self.library.model.tokenize
+        self.closing: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _letters_ids(self, word: bytes) -> bytes | None:
+        """The ids of a word of Latin letters below U+0130, straight from the model's merges.
+
+        Normalising only lower-cases such a word, and it is one piece; None for other words.
+        """
+        text = word.decode()
+        if not text.isalpha() or max(text) >= "\u0130":
+            return None
+        if text.isascii():
+            piece = text.lower()
+        else:
+            letters = self.letters
+            piece = "".join([letters[b] for b in text.lower().encode()])
+        return np.array([t.id for t in self.tokenize(piece)], "<u4").tobytes()
+
+    def _fast_ids(self, word: bytes) -> bytes | None:
+        """The ids of letters with or without closing punctuation; None for other words."""
+        closed = _CLOSED.fullmatch(word)
+        if closed is None:
+            return self._letters_ids(word)
+        stem, stop = closed.groups()
+        head = self.young.get(stem) or self.old.get(stem) or self._letters_ids(stem)
+        if head is None:
+            return None
+        if stop not in self.closing:
+            got = self.library.encode(stop.decode(), add_special_tokens=False).ids
+            self.closing[stop] = np.array(got, "<u4").tobytes()
+        return head + self.closing[stop]
+
     def _library_ids(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids by the library; plain words share a call, parted by a special token."""
-        out: list[bytes | None] = [None] * len(words)
-        odd = b"<|" if self.mark else b""
-        plain = [i for i, w in enumerate(words) if odd not in w] if self.mark else []
+        out = [self._fast_ids(w) for w in words]
+        plain = [i for i, w in enumerate(words) if out[i] is None and b"<|" not in w]
+        if not self.mark:
+            plain = []
         for low in range(0, len(plain), ENCODE_AT_ONCE):
             some = plain[low : low + ENCODE_AT_ONCE]
             text = self.mark.join(words[i].decode() for i in some)
