@@ -336,7 +336,8 @@ WITH shipments AS (
   SELECT location_code, item_code, count(*) AS gaps, max(step) AS longest_gap_days
   FROM (SELECT location_code, item_code, record_date - lag(record_date) OVER (
       PARTITION BY location_code, item_code ORDER BY record_date) AS step FROM daily)
-  WHERE step > 1 GROUP BY location_code, item_code
+  WHERE step > 1 AND location_code IS NOT NULL AND item_code IS NOT NULL
+  GROUP BY location_code, item_code
 ), checked AS (
   SELECT *, abs(closing_stock - (opening_stock + receipts - issues)) AS difference FROM daily
 )
@@ -838,7 +839,95 @@ FROM (SELECT CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS location_code,
     event_type AS item_code, sum(value) AS issues, count(*) AS movements
   FROM events GROUP BY 1, 2, 3), range(0, 7) AS days(back)
 GROUP BY 1, 2, 3, 4"""
-    return {name: PRELUDE + text for name, text in sql.items()}
+    sql["json_round_trip"] = sql["folder_round_trip"] = sql["csv_round_trip"]
+    sql["low_stock_wide"] = sql["low_stock_today"].replace("< 100", "< 1000")
+    sql["filtered_health_list"] = f"""
+SELECT * FROM listed WHERE location_name = 'NATION_9' AND risk_classification = 'HEALTHY'
+  AND item_category = 'MEDICINE_ANTIBIOTIC'"""
+    sql["text_numbers"] = """
+SELECT p_partkey, coalesce(try_cast(p_brand AS DOUBLE), 0) AS of_brand,
+  coalesce(try_cast(substr(p_brand, 7) AS DOUBLE), 0) AS of_number FROM part"""
+    sql["archive_written"] = f"""
+SELECT 'archived' AS part, count(*) AS records FROM daily WHERE record_date < {AS_OF} - 365
+UNION ALL SELECT 'kept', count(*) FROM daily WHERE record_date >= {AS_OF} - 365"""
+    sql["audit_log"] = """
+SELECT 'STATUS' AS event_type, 'class' AS event_description, 'job' AS user_name,
+  location_code, item_code, '{"item_name":"' || item_name || '"}' AS old_value,
+  '{"risk_classification":"' || risk_classification || '"}' AS new_value
+FROM health WHERE requires_attention"""
+    sql["acknowledged_alerts"] = "SELECT alert_id FROM active WHERE is_critical_item"
+    sql["action_status"] = """
+SELECT 'L' || CAST(l_suppkey % 10 AS VARCHAR) AS location_code,
+  'I' || CAST(l_partkey % 20 AS VARCHAR) AS item_code,
+  CASE WHEN l_orderkey % 3 > 0 THEN 'PO' || CAST(l_orderkey % 50 AS VARCHAR) END
+    AS order_reference,
+  CAST(l_shipdate AS DATE) AS action_date, l_orderkey * 8 + l_linenumber AS action_id,
+  l_linestatus AS status
+FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY 1, 2, 3
+  ORDER BY CAST(l_shipdate AS DATE) DESC, l_orderkey * 8 + l_linenumber DESC) = 1"""
+    sql["action_status"] = sql["action_status"].replace(
+        "PARTITION BY 1, 2, 3", "PARTITION BY l_suppkey % 10, l_partkey % 20, order_reference"
+    )
+    sql["latest_of_tied_records"] = """
+SELECT 'LOC' || lpad(CAST(nation AS VARCHAR), 3, '0') AS location_code,
+  'Brand#' || CAST(brand AS VARCHAR) AS item_code, record_date AS latest_date,
+  max(issues) AS closing_stock
+FROM shipments
+WHERE (nation, brand, record_date) IN
+  (SELECT (nation, brand, max(record_date)) FROM shipments GROUP BY nation, brand)
+GROUP BY 1, 2, 3"""
+    messy = {
+        f"messy_{name}": _messy(sql[name])
+        for name in ("quality_verdict", "data_profile", "rule_violations", "master_checks")
+    }
+    messy["messy_duplicate_rows"] = _messy("""
+SELECT record_date, location_code, item_code, closing_stock FROM daily
+QUALIFY count(*) OVER (PARTITION BY record_date, location_code, item_code) > 1""")
+    messy["messy_verdict_flag"] = _messy("SELECT false AS is_valid")
+    return {name: PRELUDE + text for name, text in sql.items()} | messy
+
+
+_MESSY_DAILY = """), daily AS (
+  SELECT record_date,
+    CASE WHEN k % 67 = 8 THEN NULL WHEN k % 61 = 9 THEN '' ELSE location_code END
+      AS location_code,
+    CASE WHEN k % 47 <> 12 THEN location_name END AS location_name,
+    CASE WHEN k % 59 = 10 THEN NULL WHEN k % 53 = 11 THEN '' ELSE item_code END AS item_code,
+    CASE WHEN k % 43 = 13 THEN '' ELSE item_name END AS item_name,
+    item_category,
+    CASE WHEN k % 79 = 3 THEN NULL WHEN k % 101 = 4 THEN 2000000 ELSE opening_stock END
+      AS opening_stock,
+    CASE WHEN k % 73 <> 5 THEN receipts END AS receipts,
+    CASE WHEN k % 71 = 6 THEN NULL WHEN k % 103 = 7 THEN 20000 ELSE issues END AS issues,
+    CASE WHEN k % 97 = 0 THEN -5 WHEN k % 89 = 1 THEN closing_stock + 1
+      WHEN k % 83 = 2 THEN NULL ELSE closing_stock END AS closing_stock,
+    unit_of_measure, lead_time_days
+  FROM (SELECT *, record_date - DATE '1970-01-01' + 5 * CAST(substr(location_code, 4) AS INTEGER)
+      + 3 * CAST(substr(item_code, 7) AS INTEGER) AS k FROM clean),
+    LATERAL (SELECT unnest(range(CASE WHEN k % 41 = 14 THEN 2 ELSE 1 END)) AS copy)
+), brands AS ("""
+_MESSY_MASTERS = """), items AS (
+  SELECT * REPLACE (CASE WHEN brand % 6 <> 0 THEN item_name END AS item_name,
+    CASE WHEN brand % 8 = 1 THEN 0 WHEN brand % 8 = 2 THEN 91 ELSE default_lead_time_days END
+      AS default_lead_time_days,
+    CASE WHEN brand % 9 = 1 THEN 'Brand#1' ELSE item_code END AS item_code)
+  FROM clean_items
+), locations AS (
+  SELECT * REPLACE (CASE WHEN nation % 5 <> 0 THEN location_name END AS location_name,
+    CASE WHEN nation % 7 = 1 THEN 'LOC001' ELSE location_code END AS location_code)
+  FROM clean_locations
+), params AS ("""
+
+
+def _messy(text: str) -> str:
+    """A query over the flawed records and masters, as of ten days before the last record."""
+    prelude = PRELUDE.replace("), daily AS (", "), clean AS (")
+    prelude = prelude.replace("), brands AS (", _MESSY_DAILY)
+    prelude = prelude.replace("), items AS (", "), clean_items AS (")
+    prelude = prelude.replace("), locations AS (", "), clean_locations AS (")
+    prelude = prelude.replace("), params AS (", _MESSY_MASTERS)
+    return prelude + text.replace(f"record_date > {AS_OF}", f"record_date > {AS_OF} - 10")
 
 
 def oracle_queries() -> dict[str, str]:

@@ -53,8 +53,15 @@ def dense_calendar(daily: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     )
     moved = daily_movements(daily.filter(F.col("record_date").between(F.lit(start), F.lit(end))))
     by_day = Window.partitionBy(*PAIR).orderBy("record_date")
+    # A pair may have a NULL code; its movements are its own all the same.
+    keys = [*PAIR, "record_date"]
+    renamed = moved.withColumnsRenamed({name: f"_{name}" for name in keys})
+    same = F.lit(True)
+    for name in keys:
+        same &= F.col(name).eqNullSafe(F.col(f"_{name}"))
     return (
-        calendar.join(moved, [*PAIR, "record_date"], "left")
+        calendar.join(renamed, same, "left")
+        .drop(*[f"_{name}" for name in keys])
         .withColumns(
             {
                 "has_record": F.col("issues").isNotNull() | F.col("receipts").isNotNull(),

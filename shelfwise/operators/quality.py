@@ -62,10 +62,23 @@ DEFAULT_RULES = (
 )
 
 
+def rules_of(table: DataFrame) -> list[QualityRule]:
+    """The rules of a rule table (rule_name, rule_type, rule_sql, severity, is_active).
+
+    A rule table is configuration: its rows are read to build the expressions from them.
+    """
+    rows = table.select("rule_name", "rule_type", "rule_sql", "severity", "is_active").collect()
+    return [QualityRule(*row[:4], is_active=row[4] is not False) for row in rows]
+
+
 def rule_violations(
-    daily: DataFrame, as_of: dt.date, rules: Sequence[QualityRule] = DEFAULT_RULES
+    daily: DataFrame,
+    as_of: dt.date,
+    rules: Sequence[QualityRule] | DataFrame = DEFAULT_RULES,
 ) -> DataFrame:
     """Violations per active rule, all rules in one pass over the records."""
+    if isinstance(rules, DataFrame):
+        rules = rules_of(rules)
     active = [rule for rule in rules if rule.is_active]
     counts = daily.agg(
         *[

@@ -14,9 +14,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfwise import schemas
 from shelfwise.functions.dates import utc_date, utc_instant
+from shelfwise.functions.nulls import number_or_zero
 from shelfwise.operators import (
     alerts,
     consumption,
@@ -31,8 +33,8 @@ from shelfwise.operators import (
     scenarios,
     transfers,
 )
-from shelfwise.plans.workspace import materialise, work_path
-from shelfwise.sources import derive, readers, seed, writers
+from shelfwise.plans.workspace import materialise, own_folder, work_path
+from shelfwise.sources import derive, messy, readers, seed, writers
 from shelfwise.streaming.changes import change_capture
 from shelfwise.streaming.consumption import open_windows, running_consumption
 from shelfwise.streaming.refresh import StockRefresh
@@ -46,6 +48,7 @@ RETENTION_DAYS = 365
 COMPARED_LOCATIONS = ("NATION_1", "NATION_5", "NATION_12", "NATION_20")
 SCENARIOS = ((0, 0, 100), (25, 0, 100), (-50, 50, 80), (100, 100, 200), (33, -25, 150))
 SEARCH_TEXT = "Food_Gr"
+EARLIER_DAYS = 10
 CUSTOM_THRESHOLDS = (("Item 03", 14), ("Item 08", 30), ("Item 17", 2))
 
 
@@ -104,7 +107,13 @@ class Stock:
 
 def query(build: Callable[[Stock], DataFrame]) -> Callable[[Stock], DataFrame]:
     """Registers a query under its function name."""
-    _QUERIES[build.__name__] = lambda spark, sf_dir: build(Stock(spark, sf_dir))
+
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own_folder(spark)
+        return build(Stock(spark, sf_dir))
+
+    _QUERIES[build.__name__] = run
     return build
 
 
@@ -384,8 +393,8 @@ def parent_category_rollup(stock: Stock) -> DataFrame:
 
 @query
 def location_ranking(stock: Stock) -> DataFrame:
-    classified = stock.written_health
-    return rollups.location_ranking(rollups.location_risk_summary(classified))
+    summary = materialise(rollups.location_risk_summary(stock.health), "locations")
+    return rollups.location_ranking(summary)
 
 
 # --- ledger ---------------------------------------------------------------------------
@@ -512,15 +521,17 @@ def configured_alerts(stock: Stock) -> DataFrame:
 
 @query
 def custom_item_alerts(stock: Stock) -> DataFrame:
-    thresholds = stock.spark.createDataFrame(
-        list(CUSTOM_THRESHOLDS), "item_name string, threshold_days int"
+    thresholds = readers.literal_rows(
+        stock.spark,
+        [{"item_name": name, "threshold_days": days} for name, days in CUSTOM_THRESHOLDS],
+        StructType.fromDDL("item_name string, threshold_days int"),
     )
     return alerts.custom_item_alerts(stock.health, thresholds)
 
 
 @query
 def alert_history(stock: Stock) -> DataFrame:
-    return alerts.alert_history(stock.written_health, stock.as_of).drop("created_timestamp")
+    return alerts.alert_history(stock.health, stock.as_of).drop("created_timestamp")
 
 
 # --- quality --------------------------------------------------------------------------
@@ -563,6 +574,102 @@ def rule_violations(stock: Stock) -> DataFrame:
     return quality.rule_violations(stock.daily, stock.as_of)
 
 
+def _earlier(stock: Stock) -> dt.date:
+    """A date before the newest records, which are then future records."""
+    return stock.as_of - dt.timedelta(days=EARLIER_DAYS)
+
+
+def _rule_table(stock: Stock) -> DataFrame:
+    rows = [
+        {"rule_name": rule.name, "rule_type": rule.kind, "rule_sql": rule.predicate,
+         "severity": rule.severity, "is_active": True}
+        for rule in quality.DEFAULT_RULES
+    ]
+    rows.append({"rule_name": "Switched off", "rule_type": "ANOMALY", "rule_sql": "true",
+                 "severity": "LOW", "is_active": False})
+    schema = "rule_name string, rule_type string, rule_sql string, severity string, is_active boolean"
+    return readers.literal_rows(stock.spark, rows, StructType.fromDDL(schema))
+
+
+@query
+def messy_quality_verdict(stock: Stock) -> DataFrame:
+    return quality.quality_verdict(messy.messy_records(stock.daily), _earlier(stock))
+
+
+@query
+def messy_data_profile(stock: Stock) -> DataFrame:
+    return quality.data_profile(messy.messy_records(stock.daily), _earlier(stock))
+
+
+@query
+def messy_rule_violations(stock: Stock) -> DataFrame:
+    """Rules from a rule table, over records that break every one of them."""
+    records = messy.messy_records(stock.daily)
+    return quality.rule_violations(records, _earlier(stock), _rule_table(stock))
+
+
+@query
+def messy_duplicate_rows(stock: Stock) -> DataFrame:
+    rows = quality.duplicate_rows(messy.messy_records(stock.daily))
+    return rows.select("record_date", "location_code", "item_code", "closing_stock")
+
+
+@query
+def messy_verdict_flag(stock: Stock) -> DataFrame:
+    return quality.is_valid(
+        quality.quality_verdict(messy.messy_records(stock.daily), _earlier(stock))
+    )
+
+
+@query
+def messy_master_checks(stock: Stock) -> DataFrame:
+    return quality.master_checks(
+        messy.messy_locations(stock.locations), messy.messy_items(stock.items)
+    )
+
+
+@query
+def latest_of_tied_records(stock: Stock) -> DataFrame:
+    """Latest order line per location and item; lines of one day tie and ids pass 2^40."""
+    lines = derive.shipments(stock.spark, stock.sf_dir)
+    records = lines.select(
+        "record_date",
+        derive.location_code(F.col("nation")).alias("location_code"),
+        derive.item_code(F.col("brand")).alias("item_code"),
+        *[F.lit("x").alias(name) for name in positions.DESCRIPTION],
+        F.col("issues").alias("closing_stock"),
+        F.lit(7).alias("lead_time_days"),
+        (F.col("issues").cast("bigint") * F.lit(2**36) - F.lit(2**40)).alias("stock_record_id"),
+    )
+    return positions.latest_stock_position(records).select(
+        "location_code", "item_code", "latest_date", "closing_stock"
+    )
+
+
+@query
+def text_numbers(stock: Stock) -> DataFrame:
+    """Text to number, where some of the texts are none."""
+    part = stock.spark.read.parquet(f"{stock.sf_dir}/part.parquet")
+    return part.select(
+        "p_partkey",
+        number_or_zero(F.col("p_brand")).alias("of_brand"),
+        number_or_zero(F.substring("p_brand", 7, 9)).alias("of_number"),
+    )
+
+
+@query
+def filtered_health_list(stock: Stock) -> DataFrame:
+    return explore.health_list(
+        stock.health, location="NATION_9", category="MEDICINE_ANTIBIOTIC", risk="HEALTHY"
+    )
+
+
+@query
+def low_stock_wide(stock: Stock) -> DataFrame:
+    """The lowest stocks of the last day below a threshold that some are below."""
+    return explore.low_stock_today(stock.daily, stock.as_of, threshold=1_000)
+
+
 @query
 def table_summary(stock: Stock) -> DataFrame:
     return writers.table_summary(
@@ -608,6 +715,75 @@ def archived_records(stock: Stock) -> DataFrame:
     return old.select("record_date", "location_code", "item_code", "issues", "closing_stock")
 
 
+@query
+def json_round_trip(stock: Stock) -> DataFrame:
+    """Writes the daily records as JSON and reads them back by the declared schema."""
+    path = work_path(stock.spark, "json")
+    fields = schemas.DAILY_STOCK
+    stock.daily.select(*_EXPORTED).write.json(path)
+    back = readers.read_json(stock.spark, path, StructType([fields[n] for n in _EXPORTED]), multi_line=False)
+    return back.withColumns(schemas.as_double(*schemas.MEASURES))
+
+
+@query
+def folder_round_trip(stock: Stock) -> DataFrame:
+    """Loads the daily records by date and reads the folder."""
+    path = work_path(stock.spark, "folder")
+    writers.append_daily_stock(stock.daily.select(*_EXPORTED), path, by_date=False)
+    back = readers.read_folder(stock.spark, path, stock.daily.select(*_EXPORTED).schema)
+    return back.withColumns(schemas.as_double(*schemas.MEASURES))
+
+
+@query
+def archive_written(stock: Stock) -> DataFrame:
+    """Records per part after archiving twice."""
+    archived, kept = work_path(stock.spark, "archive"), work_path(stock.spark, "kept")
+    for _ in range(2):
+        writers.archive(stock.daily, stock.as_of, RETENTION_DAYS, archived, kept)
+    parts = [
+        stock.spark.read.parquet(path).agg(F.count("*").alias("records")).withColumn("part", F.lit(name))
+        for name, path in (("archived", archived), ("kept", kept))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def audit_log(stock: Stock) -> DataFrame:
+    """Audit rows of the pairs whose class the record date's change would note."""
+    changes = stock.health.filter(F.col("requires_attention")).select(
+        "location_code",
+        "item_code",
+        F.struct("item_name").alias("old_value"),
+        F.struct("risk_classification").alias("new_value"),
+    )
+    path = work_path(stock.spark, "audit")
+    writers.append_rows(writers.audit_events(changes, "STATUS", "class", "job"), path)
+    return stock.spark.read.parquet(path).drop("event_timestamp")
+
+
+@query
+def acknowledged_alerts(stock: Stock) -> DataFrame:
+    active = alerts.active_alerts(stock.health).filter(F.col("is_critical_item"))
+    return alerts.acknowledge(active).select("alert_id")
+
+
+@query
+def action_status(stock: Stock) -> DataFrame:
+    """The newest action per location, item and order reference, orders as actions."""
+    lines = stock.spark.read.parquet(f"{stock.sf_dir}/lineitem.parquet")
+    actions = lines.select(
+        F.concat(F.lit("L"), F.col("l_suppkey") % 10).alias("location_code"),
+        F.concat(F.lit("I"), F.col("l_partkey") % 20).alias("item_code"),
+        F.when(F.col("l_orderkey") % 3 > 0, F.concat(F.lit("PO"), F.col("l_orderkey") % 50)).alias(
+            "order_reference"
+        ),
+        F.to_date("l_shipdate").alias("action_date"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("action_id"),
+        F.col("l_linestatus").alias("status"),
+    )
+    return writers.latest_status(actions)
+
+
 @query
 def procurement_actions(stock: Stock) -> DataFrame:
     return writers.procurement_actions(stock.recommendations(), stock.as_of)

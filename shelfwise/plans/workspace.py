@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may do without the setting; it then gets a temporary folder of
-    its own. On a cluster a machine-local folder would lose data with its machine.
-    """
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="shelfwise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def own_folder(spark: SparkSession) -> None:
+    """Names a folder of this machine where a local session has none, as in trial runs."""
+    local = spark.sparkContext.master.startswith("local")
+    if local and not spark.conf.get("spark.checkpoint.dir", None):
+        folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, in this application's own part of it.
 

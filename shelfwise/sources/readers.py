@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfwise.operators.positions import with_defaults
 
@@ -97,9 +99,17 @@ def rejected_rows(
     return raw.withColumn("bad_fields", names).filter(F.size("bad_fields") > 0)
 
 
-def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """JSON files whose outer array (if any) is unpacked into rows."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    multi_line: bool = True,
+) -> DataFrame:
+    """JSON files whose outer array (if any) is unpacked into rows, at one task a file.
+
+    Without ``multi_line`` the files hold one object a line and are split among tasks.
+    """
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def read_folder(
@@ -134,7 +144,11 @@ def stream_folder(
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
-    """INSERT ... VALUES: a few rows by column name; columns left out are NULL."""
+    """INSERT ... VALUES: a few rows by column name; columns left out are NULL.
+
+    The rows become part of the plan, so Spark knows how small they are and needs no
+    exchange of the table that they meet.
+    """
 
     def value(row: dict, field: T.StructField):
         given = row.get(field.name)
@@ -142,5 +156,7 @@ def literal_rows(spark: SparkSession, rows: list[dict], schema: T.StructType) ->
             return Decimal(str(given))
         return given
 
-    values = [tuple(value(row, field) for field in schema) for row in rows]
-    return spark.createDataFrame(values, schema)
+    columns = [[value(row, field) for row in rows] for field in schema]
+    kinds = to_arrow_schema(schema)
+    arrays = [pa.array(column, kind.type) for column, kind in zip(columns, kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds), schema)

@@ -122,10 +122,14 @@ def split_by_retention(
 
 def archive(daily: DataFrame, as_of: dt.date, keep_days: int, archive_path: str,
             kept_path: str) -> None:
-    """Writes old records to the archive and the rest to a new table folder."""
+    """Writes old records to the archive's folder of this date, the rest to a table folder.
+
+    Both folders are replaced, so a run that is repeated after a failure archives nothing
+    twice. ``kept_path`` must not be the folder that ``daily`` is read from.
+    """
     old, kept = split_by_retention(daily, as_of, keep_days)
-    append_daily_stock(old, archive_path)
-    append_daily_stock(kept, kept_path)
+    old.write.mode("overwrite").parquet(f"{archive_path}/archived_on={as_of.isoformat()}")
+    kept.write.mode("overwrite").parquet(kept_path)
 
 
 def table_summary(

@@ -98,6 +98,18 @@ def test_configured_alerts(spark):
             for place in ("L1", "L2", "L9")] + [{"days_until_stockout": 5}]
     got = alerts.configured_alerts(health(spark, rows), narrow).collect()
     assert sorted(r["location_code"] for r in got) == ["L1", "L9"]
+    for places, count in ((" L9 , L1 ", 2), ("", 3), ("  ", 3), ("L7", 0)):
+        padded = narrow.withColumns({"location_filter": F.lit(places), "item_category_filter": F.lit("")})
+        got = alerts.configured_alerts(health(spark, rows[:3]), padded)
+        assert got.count() == count
+
+
+def test_literal_rows_need_no_exchange(spark, tmp_path):
+    health(spark, [{"item_code": "a"}]).write.parquet(str(tmp_path / "health"))
+    written = spark.read.parquet(str(tmp_path / "health"))
+    found = alerts.configured_alerts(written, seed.alert_config(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
 def test_item_thresholds(spark):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise import schemas
+from shelfwise.functions import dates
 from shelfwise.operators import costs, explore, ledger, reorder, rollups, scenarios, transfers
 from shelfwise.sources import seed
 from tests.fixtures import TODAY, ago, by, classified, daily, records, table
@@ -172,6 +173,9 @@ def test_transfers_equal_the_full_pairing(spark):
                                  target["location_name"], float(round(amount)),
                                  "High" if high else "Medium"))
     assert len(expected) > 60
+    for limit in (0, 1001):
+        with pytest.raises(ValueError, match="limit"):
+            transfers.transfer_suggestions(health(spark, rows), limit)
     for limit in (10, 55):
         found = transfers.transfer_suggestions(health(spark, rows), limit).collect()
         got = [tuple(r) for r in found]
@@ -391,3 +395,23 @@ def test_classified_and_summaries_agree(spark):
     frame = classified(spark, rows)
     got = rollups.list_summary(explore.health_list(frame)).first()
     assert (got["items_displayed"], got["at_risk"], got["critical"]) == (2, 1, 0)
+
+
+def test_calendar_keeps_movements_of_unknown_codes(spark):
+    frame = daily(spark, records([1], location_code=None, issues=2.0))
+    got = ledger.dense_calendar(frame, ago(2), TODAY).orderBy("record_date").collect()
+    assert [(r["has_record"], r["issues"]) for r in got] == [(False, 0), (True, 2), (False, 0)]
+
+
+def test_calendar_ends_bound_the_stockout_date(spark):
+    last = (dt.date.max - TODAY).days
+    rows = spark.createDataFrame([(last,), (last + 1,), (-3,)], "days bigint")
+    got = [r[0] for r in rows.select(dates.plus_days(TODAY, F.col("days"))).collect()]
+    assert got == [dt.date.max, None, ago(3)]
+
+
+def test_matrix_has_a_cell_for_every_item(spark):
+    rows = [{"item_name": f"Item {n}", "item_code": f"I{n}"} for n in range(30)]
+    assert rollups.location_item_matrix(health(spark, rows)).count() == 30
+    wide = rollups.location_item_matrix(health(spark, rows), ["Item 1", "Item 2"])
+    assert wide.columns == ["location_name", "Item 1", "Item 2"]

@@ -11,8 +11,8 @@ import __spark_entry__ as entry_module
 from tests.compare import differences, duck
 
 SF = os.environ.get("SHELFWISE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+QUERIES = entry_module.all_queries()
+ORACLE = entry_module.oracle_queries()
 
 
 @pytest.fixture(scope="module")

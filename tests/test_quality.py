@@ -91,6 +91,12 @@ def test_rules(spark):
     off = quality.QualityRule("Off", "ANOMALY", "true", is_active=False)
     got = quality.rule_violations(_messy(spark), TODAY, [own, off]).collect()
     assert [tuple(r) for r in got] == [("Big", "ANOMALY", "MEDIUM", 1)]
+    rules = spark.createDataFrame(
+        [("Big", "ANOMALY", "issues > 10000", "LOW", True), ("Off", "ANOMALY", "true", "LOW", False)],
+        "rule_name string, rule_type string, rule_sql string, severity string, is_active boolean",
+    )
+    got = quality.rule_violations(_messy(spark), TODAY, rules).collect()
+    assert [tuple(r) for r in got] == [("Big", "ANOMALY", "LOW", 1)]
     assert quality.violating_rows(_messy(spark), TODAY, own).first()["item_code"] == "big"
 
 
