@@ -8,10 +8,132 @@ from __future__ import annotations
 
 from string import Formatter
 
-from shelfwise.functions import labels, stock
-from shelfwise.operators import alerts, costs, rollups
-from shelfwise.plans import registry
-from shelfwise.sources import derive, seed
+# Fixed values of the specification, written out so that the twins stand alone.
+ACTION_OUT = "URGENT: Place emergency order immediately"
+ACTION_OVER = "Review for redistribution or reduced ordering"
+ACTION_SOON = "Place order today - stock-out expected in {days} days"
+MESSAGES = {
+    "OUT_OF_STOCK": "{item} is OUT OF STOCK at {place}. Immediate action required.",
+    "CRITICAL": "{item} at {place} will run out in {days} days. Current stock: {stock} {unit}",
+    "HIGH_RISK": "{item} at {place} requires reorder. {days} days of supply remaining.",
+    "OVERSTOCK": "{item} at {place} has not moved in {idle} days. Consider redistribution.",
+}
+EXCELLENT_ROI = (
+    "✅ **Excellent ROI**: Expected returns exceed 20%, indicating highly efficient inventory "
+    "management."
+)
+GOOD_ROI = "⚠️ **Good ROI**: Returns are positive but there's room for optimization."
+HIGH_CRITICAL_SPEND = (
+    "🔴 **High Critical Spend**: Over 30% of reorder budget is for critical items. Consider "
+    "increasing safety stock."
+)
+POOR_ROI = "🔴 **Action Required**: Consider reviewing procurement strategies to improve ROI."
+SAVINGS_RATE = 0.15
+STOCKOUT_COST = 500
+TOP_CATEGORY = "📦 **Top Category**: {category} requires the highest reorder investment."
+CATEGORIES = (
+    "MEDICINE",
+    "MEDICINE_ANTIBIOTIC",
+    "MEDICINE_ANALGESIC",
+    "MEDICINE_CARDIOVASCULAR",
+    "FOOD",
+    "FOOD_GRAIN",
+    "FOOD_DAIRY",
+    "FOOD_PROTEIN",
+    "MEDICAL_SUPPLY",
+    "MEDICAL_SUPPLY_CONSUMABLE",
+    "PPE",
+    "EQUIPMENT",
+)
+LEAD_TIMES = ("5", "7", "10", "14")
+LOCATION_TYPES = ("HOSPITAL", "WAREHOUSE", "DISTRIBUTION_CENTER", "NGO_CENTER")
+PRIORITIES = ("HIGH", "HIGH", "MEDIUM", "MEDIUM", "LOW", "LOW", "")
+REGIONS = ("North", "South", "East", "West", "Central")
+UNITS = ("TABLETS", "BOXES", "KG", "UNITS")
+DEFAULT_HEX_COLOR = "#6b7280"
+DEFAULT_ICON = "⚪"
+HEX_COLORS = {
+    "OUT_OF_STOCK": "#1f2937",
+    "CRITICAL": "#dc2626",
+    "HIGH_RISK": "#f59e0b",
+    "MEDIUM_RISK": "#fbbf24",
+    "HEALTHY": "#10b981",
+    "OVERSTOCK": "#3b82f6",
+}
+ICONS = {
+    "OUT_OF_STOCK": "🚫",
+    "CRITICAL": "🔴",
+    "HIGH_RISK": "⚠️",
+    "MEDIUM_RISK": "🟡",
+    "HEALTHY": "✅",
+    "OVERSTOCK": "📦",
+}
+LOWEST_BADGE = "Critical"
+LOWEST_BAND = "below 40"
+LOWEST_MONITORING = "Critical"
+MONITORING_BANDS = ((80, "Healthy"), (50, "Monitoring"))
+SCORE_BANDS = ((80, "80+"), (60, "60-79"), (40, "40-59"))
+SUMMARY_BADGES = ((80, "Excellent"), (60, "Fair"))
+CALENDAR_DAYS = 60
+COMPARED_LOCATIONS = ("NATION_1", "NATION_5", "NATION_12", "NATION_20")
+CUSTOM_THRESHOLDS = (("Item 03", 14), ("Item 08", 30), ("Item 17", 2))
+RETENTION_DAYS = 365
+SCENARIOS = ((0, 0, 100), (25, 0, 100), (-50, 50, 80), (100, 100, 200), (33, -25, 150))
+SEARCH_TEXT = "Food_Gr"
+ADVICE = {
+    "critical": ("🔴 High",
+                 "Increase Safety Stock",
+                 "{critical_pct}% items at risk",
+                 "Reduce stockout risk by 40%"),
+    "overstock": ("🟡 Medium",
+                  "Optimize Reorder Quantities",
+                  "{overstock_pct}% items overstocked",
+                  "Free up $5K-10K in working capital"),
+    "slow": ("🟠 Low",
+             "Review Slow-Moving Items",
+             "{slow} slow movers identified",
+             "Reduce holding costs by 15%"),
+    "worst": ("🔴 High",
+              "Priority Support for {worst}",
+              "Health score: {worst_score}/100",
+              "Improve overall system health by 8%"),
+    "best": ("⭐ Strategic",
+             "Replicate Best Practices from {best}",
+             "Health score: {best_score}/100",
+             "System-wide efficiency improvement"),
+}
+ALERT_ROWS = (
+    ("Critical Stock-Out Alert", "STOCK_OUT", 0, "CRITICAL"),
+    ("3-Day Stock-Out Warning", "CRITICAL", 3, "CRITICAL"),
+    ("Low Stock Alert", "LOW_STOCK", 7, "HIGH"),
+    ("Overstock Warning", "OVERSTOCK", 60, "MEDIUM"),
+    ("Expiry Warning - 30 Days", "EXPIRY_WARNING", 30, "MEDIUM"),
+)
+CATEGORY_ROWS = (
+    ("MEDICINE", "Medicines", None, 1, "#FF6B6B"),
+    ("MEDICINE_ANTIBIOTIC", "Antibiotics", "MEDICINE", 11, "#FF6B6B"),
+    ("MEDICINE_ANALGESIC", "Analgesics", "MEDICINE", 12, "#FF6B6B"),
+    ("MEDICINE_CARDIOVASCULAR", "Cardiovascular", "MEDICINE", 13, "#FF6B6B"),
+    ("FOOD", "Food Items", None, 2, "#4ECDC4"),
+    ("FOOD_GRAIN", "Grains", "FOOD", 21, "#4ECDC4"),
+    ("FOOD_DAIRY", "Dairy Products", "FOOD", 22, "#4ECDC4"),
+    ("FOOD_PROTEIN", "Proteins", "FOOD", 23, "#4ECDC4"),
+    ("MEDICAL_SUPPLY", "Medical Supplies", None, 3, "#95E1D3"),
+    ("MEDICAL_SUPPLY_CONSUMABLE", "Consumables", "MEDICAL_SUPPLY", 31, "#95E1D3"),
+    ("PPE", "Personal Protective Equipment", None, 4, "#F38181"),
+    ("EQUIPMENT", "Medical Equipment", None, 5, "#AA96DA"),
+)
+RISK_CLASSES = (
+    "OUT_OF_STOCK",
+    "CRITICAL",
+    "HIGH_RISK",
+    "MEDIUM_RISK",
+    "OVERSTOCK",
+    "SLOW_MOVING",
+    "HEALTHY",
+)
+RISK_COLORS = ("BLACK", "DARK_RED", "RED", "ORANGE", "PURPLE", "YELLOW", "GREEN")
+RISK_WEIGHTS = {"OUT_OF_STOCK": 100, "CRITICAL": 90, "HIGH_RISK": 70, "MEDIUM_RISK": 40}
 
 
 def _literal(value) -> str:
@@ -62,7 +184,7 @@ def _by_risk(values) -> str:
 
 RISK_WEIGHT = (
     "CASE risk_classification "
-    + " ".join(f"WHEN '{name}' THEN {weight}" for name, weight in stock.RISK_WEIGHTS.items())
+    + " ".join(f"WHEN '{name}' THEN {weight}" for name, weight in RISK_WEIGHTS.items())
     + " ELSE 0 END"
 )
 NEEDS_REORDER = """(days_until_stockout <= 1.5 * lead_time_days
@@ -100,7 +222,7 @@ def _text(template: str) -> str:
 
 
 _ALERT_MESSAGES = " ".join(
-    f"WHEN '{name}' THEN {_text(text)}" for name, text in alerts.MESSAGES.items()
+    f"WHEN '{name}' THEN {_text(text)}" for name, text in MESSAGES.items()
 )
 
 PRELUDE = f"""
@@ -130,11 +252,11 @@ WITH shipments AS (
     n_name AS location_name,
     'Brand#' || CAST(brand AS VARCHAR) AS item_code,
     'Item ' || lpad(CAST(brand AS VARCHAR), 2, '0') AS item_name,
-    {_pick(derive.CATEGORIES, "brand")} AS item_category,
+    {_pick(CATEGORIES, "brand")} AS item_category,
     coalesce(lag(closing_stock) OVER (PARTITION BY nation, brand ORDER BY record_date),
       initial_stock) AS opening_stock,
     receipts, issues, closing_stock,
-    {_pick(derive.UNITS, "brand")} AS unit_of_measure,
+    {_pick(UNITS, "brand")} AS unit_of_measure,
     CASE WHEN nation <> 24 THEN 6 + nation % 3 END AS lead_time_days
   FROM balanced LEFT JOIN nation ON n_nationkey = nation
 ), brands AS (
@@ -143,11 +265,11 @@ WITH shipments AS (
 ), items AS (
   SELECT brand, 'Brand#' || CAST(brand AS VARCHAR) AS item_code,
     'Item ' || lpad(CAST(brand AS VARCHAR), 2, '0') AS item_name,
-    {_pick(derive.CATEGORIES, "brand")} AS item_category,
+    {_pick(CATEGORIES, "brand")} AS item_category,
     unit_cost, brand % 3 = 0 AS is_critical,
     CAST((brand % 5) * 20 AS DOUBLE) AS safety_stock,
     CASE WHEN brand % 2 = 1 THEN CAST((brand % 5) * 30 + 10 AS DOUBLE) END AS reorder_point,
-    CASE WHEN brand % 11 <> 0 THEN CAST({_pick(derive.LEAD_TIMES, "brand")} AS INTEGER) END
+    CASE WHEN brand % 11 <> 0 THEN CAST({_pick(LEAD_TIMES, "brand")} AS INTEGER) END
       AS default_lead_time_days,
     'Supplier ' || CAST(brand % 5 + 1 AS VARCHAR) AS supplier_name,
     'SUP00' || CAST(brand % 5 + 1 AS VARCHAR) AS supplier_code
@@ -156,9 +278,9 @@ WITH shipments AS (
   SELECT n_nationkey AS nation,
     'LOC' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS location_code,
     n_name AS location_name,
-    {_pick(derive.LOCATION_TYPES, "n_nationkey")} AS location_type,
-    {_pick(derive.REGIONS, "n_regionkey")} AS region,
-    {_pick(derive.PRIORITIES, "n_nationkey")} AS priority_level,
+    {_pick(LOCATION_TYPES, "n_nationkey")} AS location_type,
+    {_pick(REGIONS, "n_regionkey")} AS region,
+    {_pick(PRIORITIES, "n_nationkey")} AS priority_level,
     n_nationkey % 13 <> 12 AS is_active
   FROM nation
 ), params AS (
@@ -227,8 +349,8 @@ WITH shipments AS (
         THEN 25 + (days_of_cover - lead_time_days * 0.5) / (lead_time_days * 0.5) * 25
       WHEN days_of_cover > 0 THEN days_of_cover / (lead_time_days * 0.5) * 25
       ELSE 0 END AS DOUBLE) AS stock_health_score,
-    {_by_risk(stock.RISK_CLASSES)} AS risk_classification,
-    {_by_risk(stock.RISK_COLORS)} AS risk_color,
+    {_by_risk(RISK_CLASSES)} AS risk_classification,
+    {_by_risk(RISK_COLORS)} AS risk_color,
     coalesce(closing_stock <= 0 OR days_until_stockout <= lead_time_days, false)
       AS requires_attention,
     coalesce(days_since_last_movement > 30 AND closing_stock > avg_daily_issue * 60, false)
@@ -294,9 +416,9 @@ WITH shipments AS (
       WHEN class_rank = 3 THEN 'HIGH' ELSE 'LOW' END AS severity,
     location_code, location_name, item_code, item_name, item_category,
     closing_stock AS current_stock, days_until_stockout,
-    CASE WHEN class_rank = 1 THEN {_literal(alerts.ACTION_OUT)}
-      WHEN days_until_stockout <= lead_time_days THEN {_text(alerts.ACTION_SOON)}
-      ELSE {_literal(alerts.ACTION_OVER)} END AS recommended_action,
+    CASE WHEN class_rank = 1 THEN {_literal(ACTION_OUT)}
+      WHEN days_until_stockout <= lead_time_days THEN {_text(ACTION_SOON)}
+      ELSE {_literal(ACTION_OVER)} END AS recommended_action,
     CASE risk_classification {_ALERT_MESSAGES} END AS alert_message,
     stock_health_score, days_of_cover
   FROM ranked
@@ -309,9 +431,9 @@ WITH shipments AS (
     count(*) AS orders
   FROM queue
 ), savings AS (
-  SELECT *, total_reorder_value * {costs.SAVINGS_RATE} AS potential_savings,
-    critical_orders * CAST({costs.STOCKOUT_COST} AS DOUBLE) AS stockout_prevention,
-    total_reorder_value * {costs.SAVINGS_RATE} + critical_orders * {costs.STOCKOUT_COST}
+  SELECT *, total_reorder_value * {SAVINGS_RATE} AS potential_savings,
+    critical_orders * CAST({STOCKOUT_COST} AS DOUBLE) AS stockout_prevention,
+    total_reorder_value * {SAVINGS_RATE} + critical_orders * {STOCKOUT_COST}
       AS net_benefit
   FROM queue_cost
 ), return_on_cost AS (
@@ -432,10 +554,10 @@ _TOPS = [
 
 
 def _oracle() -> dict[str, str]:
-    scenario_rows = _rows(registry.SCENARIOS)
-    compared = ", ".join(_literal(name) for name in registry.COMPARED_LOCATIONS)
-    calendar_start = f"({AS_OF} - {registry.CALENDAR_DAYS - 1})"
-    categories = _rows([(code, parent) for code, _, parent, _, _ in seed.CATEGORY_ROWS])
+    scenario_rows = _rows(SCENARIOS)
+    compared = ", ".join(_literal(name) for name in COMPARED_LOCATIONS)
+    calendar_start = f"({AS_OF} - {CALENDAR_DAYS - 1})"
+    categories = _rows([(code, parent) for code, _, parent, _, _ in CATEGORY_ROWS])
     sql = {}
 
     sql["latest_stock_position"] = "SELECT * FROM position"
@@ -451,13 +573,13 @@ FROM (SELECT CASE WHEN avg_daily_issue > 5 THEN 'Fast Mover'
 GROUP BY velocity"""
     sql["health_bands"] = f"""
 SELECT location_code, item_code, stock_health_score, risk_classification,
-  {_band(labels.SCORE_BANDS, labels.LOWEST_BAND)} AS score_band,
-  {_band(labels.SUMMARY_BADGES, labels.LOWEST_BADGE)} AS summary_badge,
-  {_band(labels.MONITORING_BANDS, labels.LOWEST_MONITORING)} AS monitoring_band,
+  {_band(SCORE_BANDS, LOWEST_BAND)} AS score_band,
+  {_band(SUMMARY_BADGES, LOWEST_BADGE)} AS summary_badge,
+  {_band(MONITORING_BANDS, LOWEST_MONITORING)} AS monitoring_band,
   CASE WHEN days_of_cover <= lead_time_days THEN 'RED'
     WHEN days_of_cover <= 1.5 * lead_time_days THEN 'YELLOW' ELSE 'GREEN' END AS traffic_light,
-  {_lookup(labels.HEX_COLORS, labels.DEFAULT_HEX_COLOR)} AS hex_color,
-  {_lookup(labels.ICONS, labels.DEFAULT_ICON)} || ' ' || risk_classification AS risk_label,
+  {_lookup(HEX_COLORS, DEFAULT_HEX_COLOR)} AS hex_color,
+  {_lookup(ICONS, DEFAULT_ICON)} || ' ' || risk_classification AS risk_label,
   {_title("risk_classification")} AS risk_title,
   {_title("item_category")} AS category_title
 FROM health"""
@@ -492,14 +614,14 @@ FROM queue GROUP BY item_category"""
 SELECT location_name, round(sum(estimated_order_value), 4) AS estimated_order_value
 FROM queue GROUP BY location_name"""
     sql["cost_insights"] = f"""
-SELECT 1 AS rule_no, {_literal(costs.EXCELLENT_ROI)} AS insight
+SELECT 1 AS rule_no, {_literal(EXCELLENT_ROI)} AS insight
 FROM return_on_cost WHERE roi_pct > 20
-UNION ALL SELECT 2, {_literal(costs.GOOD_ROI)}
+UNION ALL SELECT 2, {_literal(GOOD_ROI)}
 FROM return_on_cost WHERE roi_pct > 10 AND roi_pct <= 20
-UNION ALL SELECT 3, {_literal(costs.POOR_ROI)} FROM return_on_cost WHERE roi_pct <= 10
-UNION ALL SELECT 4, {_literal(costs.HIGH_CRITICAL_SPEND)}
+UNION ALL SELECT 3, {_literal(POOR_ROI)} FROM return_on_cost WHERE roi_pct <= 10
+UNION ALL SELECT 4, {_literal(HIGH_CRITICAL_SPEND)}
 FROM return_on_cost WHERE critical_value > 0.3 * total_reorder_value
-UNION ALL SELECT 5, {_text(costs.TOP_CATEGORY)}
+UNION ALL SELECT 5, {_text(TOP_CATEGORY)}
 FROM (SELECT item_category FROM queue GROUP BY item_category
   ORDER BY sum(estimated_order_value) DESC, item_category LIMIT 1)"""
     sql["stock_projection"] = """
@@ -580,7 +702,7 @@ SELECT risk_classification, count(*) AS items FROM health GROUP BY risk_classifi
 SELECT location_name, risk_classification, count(*) AS items
 FROM health GROUP BY location_name, risk_classification"""
     class_columns = ", ".join(
-        f"{_class_count(name)} AS {name.lower()}" for name in stock.RISK_CLASSES
+        f"{_class_count(name)} AS {name.lower()}" for name in RISK_CLASSES
     )
     sql["location_risk_matrix"] = f"""
 SELECT location_name, {class_columns} FROM health GROUP BY location_name"""
@@ -634,13 +756,13 @@ UNION ALL SELECT DISTINCT 'risk', risk_classification FROM health"""
         f"{_text(action)} AS action, {_text(reason)} AS reason, {_text(impact)} AS impact "
         f"FROM ({advice_sources[rule]})"
         for number, (rule, (priority, action, reason, impact)) in enumerate(
-            rollups.ADVICE.items(), 1
+            ADVICE.items(), 1
         )
     )
     share = "e.critical_items_at_risk / e.total_items"
     sql["summary_kpis"] = f"""
 SELECT avg_stock_health_score,
-  {_band(labels.SUMMARY_BADGES, labels.LOWEST_BADGE, "avg_stock_health_score")}
+  {_band(SUMMARY_BADGES, LOWEST_BADGE, "avg_stock_health_score")}
     AS health_badge,
   out_of_stock_count + critical_count + high_risk_count AS attention_count,
   round(least(pct_requiring_attention / 100, 1), 4) AS attention_progress,
@@ -670,7 +792,7 @@ SELECT p.location_code, p.item_code, c.record_date, coalesce(d.receipts, 0) AS r
   CAST(c.record_date - {calendar_start} + 1 AS INTEGER) AS day_num
 FROM (SELECT DISTINCT location_code, item_code FROM daily) p
 CROSS JOIN (SELECT {calendar_start} + CAST(n AS INTEGER) AS record_date
-  FROM range(0, {registry.CALENDAR_DAYS}) AS days(n)) c
+  FROM range(0, {CALENDAR_DAYS}) AS days(n)) c
 LEFT JOIN daily d ON d.location_code = p.location_code AND d.item_code = p.item_code
   AND d.record_date = c.record_date"""
     sql["corrected_records"] = "SELECT * FROM corrected"
@@ -682,7 +804,7 @@ SELECT * FROM listed ORDER BY days_until_stockout DESC, stock_health_score DESC,
     sql["text_search"] = f"""
 SELECT * FROM listed
 WHERE contains(lower(concat_ws(' ', location_name, item_name, item_category,
-  risk_classification)), lower('{registry.SEARCH_TEXT}'))"""
+  risk_classification)), lower('{SEARCH_TEXT}'))"""
     sql["advanced_search"] = """
 SELECT * FROM listed
 WHERE current_stock BETWEEN 50 AND 900 AND stock_health_score >= 40
@@ -721,14 +843,14 @@ SELECT alert_name, alert_type, c.severity, location_code, item_code, location_na
     ELSE {left} END AS measured_days,
   threshold_days
 FROM health
-JOIN (VALUES {_rows(seed.ALERT_ROWS)}) AS c(alert_name, alert_type, threshold_days, severity)
+JOIN (VALUES {_rows(ALERT_ROWS)}) AS c(alert_name, alert_type, threshold_days, severity)
   ON CASE WHEN alert_type = 'OVERSTOCK' THEN days_since_last_movement > threshold_days
     ELSE alert_type <> 'EXPIRY_WARNING' AND {left} <= threshold_days END"""
     sql["custom_item_alerts"] = f"""
 SELECT * FROM (
   SELECT location_code, item_code, location_name, item_name, days_until_stockout,
     coalesce(own, 7) AS threshold_days, risk_classification
-  FROM health LEFT JOIN (VALUES {_rows(registry.CUSTOM_THRESHOLDS)}) AS t(item_name, own)
+  FROM health LEFT JOIN (VALUES {_rows(CUSTOM_THRESHOLDS)}) AS t(item_name, own)
     USING (item_name))
 WHERE days_until_stockout <= threshold_days"""
     sql["alert_history"] = f"""
@@ -810,7 +932,7 @@ SELECT record_date, location_code, location_name, item_code, item_name, opening_
   receipts, issues, closing_stock, unit_of_measure FROM daily"""
     sql["archived_records"] = f"""
 SELECT record_date, location_code, item_code, issues, closing_stock FROM daily
-WHERE record_date < {AS_OF} - {registry.RETENTION_DAYS}"""
+WHERE record_date < {AS_OF} - {RETENTION_DAYS}"""
     sql["procurement_actions"] = f"""
 SELECT {AS_OF} AS action_date, location_code, item_code, 'REORDER_CREATED' AS action_type,
   suggested_reorder_quantity AS recommended_quantity, supplier_code,
@@ -825,10 +947,10 @@ FROM (SELECT *, count(DISTINCT action) OVER (PARTITION BY record_date, location_
   FROM (
     (SELECT {columns}, 'DELETE' AS action FROM daily WHERE record_date < {AS_OF} - 7
      EXCEPT SELECT {columns}, 'DELETE' FROM corrected
-       WHERE record_date >= {AS_OF} - {registry.RETENTION_DAYS})
+       WHERE record_date >= {AS_OF} - {RETENTION_DAYS})
     UNION ALL
     (SELECT {columns}, 'INSERT' FROM corrected
-       WHERE record_date >= {AS_OF} - {registry.RETENTION_DAYS}
+       WHERE record_date >= {AS_OF} - {RETENTION_DAYS}
      EXCEPT SELECT {columns}, 'INSERT' FROM daily WHERE record_date < {AS_OF} - 7)))"""
     sql["stream_refresh"] = "SELECT * FROM health"
     sql["stream_consumption"] = """
