@@ -124,30 +124,44 @@ def _ordered(batches: Iterator[pa.RecordBatch], ids: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([whole.tobytes()], pa.binary())], names=["value"])
 
 
+def number_sequences(
+    docs: DataFrame, text_col: str = "text", record_ids: int = RECORD_IDS
+) -> tuple[dict[int, int], int]:
+    """(the first sequence number of each partition, number of sequences).
+
+    Collects one row a partition.
+    """
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    counted = docs.groupBy(F.spark_partition_id().alias("part")).agg(
+        F.sum(F.floor(size / record_ids) + 1).alias("n")
+    )
+    offsets, total = {}, 0
+    for row in sorted(counted.collect()):
+        offsets[row["part"]] = total
+        total += row["n"]
+    return offsets, total
+
+
 def write_training_order(
     docs: DataFrame,
     path: str,
+    numbering: tuple[dict[int, int], int],
     key: bytes = b"epoch-0",
     text_col: str = "text",
     record_ids: int = RECORD_IDS,
     shard_bytes: int = SHARD_BYTES,
-) -> tuple[int, int]:
-    """Writes the files under ``path``; returns (number of sequences, records in a file).
+) -> int:
+    """Writes the files under ``path``; returns how many records a file has.
 
-    Each file is one range: its records, then one line feed as the end mark.
+    ``numbering`` is what ``number_sequences`` gave for these rows. Each file is one range:
+    its records, then one line feed as the end mark.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     body = docs.select(F.col(text_col).alias("body"))
-    per_doc = F.floor(F.coalesce(F.octet_length("body"), F.lit(0)) / record_ids) + 1
-    counted = body.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(per_doc).alias("n"))
-    offsets, total = {}, 0
-    for row in sorted(counted.collect()):
-        offsets[row["part"]] = total
-        total += row["n"]
+    offsets, total = numbering
     per_shard = max(1, shard_bytes // record_ids)
     if not total:
-        return 0, per_shard
+        return per_shard
     blocks = body.mapInArrow(
         lambda batches: _blocks(batches, offsets, total, per_shard, key, record_ids),
         "shard int, slots binary, packed binary",
@@ -155,7 +169,7 @@ def write_training_order(
     dealt = blocks.repartitionById(-(-total // per_shard), "shard").select("slots", "packed")
     whole = dealt.mapInArrow(lambda batches: _ordered(batches, record_ids), "value binary")
     whole.select(F.col("value").cast("string")).write.mode("overwrite").text(path)
-    return total, per_shard
+    return per_shard
 
 
 def read_records(
@@ -202,18 +216,10 @@ def sequence_slots(
     spark = docs.sparkSession
     path = path or work_path(spark, "training_order")
     body = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    total, per_shard = write_training_order(
-        body, path, key, "body", record_ids, shard_bytes
-    )
+    offsets, total = numbering = number_sequences(body, "body", record_ids)
+    per_shard = write_training_order(body, path, numbering, key, "body", record_ids, shard_bytes)
     kind = dict(docs.dtypes)[id_col]
     sized = body.select("id", F.coalesce(F.octet_length("body"), F.lit(0)).alias("size"))
-    counted = sized.groupBy(F.spark_partition_id().alias("part")).agg(
-        F.sum(F.floor(F.col("size") / record_ids) + 1).alias("n")
-    )
-    offsets, before = {}, 0
-    for row in sorted(counted.collect()):
-        offsets[row["part"]] = before
-        before += row["n"]
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = offsets.get(TaskContext.get().partitionId(), 0)
