@@ -121,27 +121,45 @@ def _actionable(health: DataFrame) -> DataFrame:
     )
 
 
-def stock_alerts(health: DataFrame) -> DataFrame:
+def stock_alerts(health: DataFrame, slice_digits: int = 2) -> DataFrame:
     """Alerts numbered by class rank and days to stock-out; ties in hash order of the pair.
 
     A plain ROW_NUMBER over all alerts would sort them in one task. Instead every
-    (rank, days) group is cut into 256 slices by the first two hash digits; rows are
-    numbered inside their slice and shifted by the sizes of the slices before it. Only
-    those sizes pass through one task: 256 per rank and day count at most. ``health`` is
-    read twice: pass a materialised frame.
+    (rank, days) group is cut into slices by the first hash digits (16 slices a digit, so
+    the largest group sets how many are wanted); rows are numbered inside their slice and
+    shifted by the sizes of the slices and groups before it. Only the sizes of the
+    groups pass through one task: one row per rank and day count, which the calendar
+    bounds. ``health`` is read twice: pass a materialised frame.
     """
     order = ("_rank", "days_until_stockout", "_slice")
     pair_hash = F.md5(F.concat_ws("|", *PAIR))
     alerts = (
         _actionable(health)
         .withColumn("_hash", pair_hash)
-        .withColumn("_slice", F.substring("_hash", 1, 2))
+        .withColumn("_slice", F.substring("_hash", 1, slice_digits))
     )
     sizes = alerts.groupBy(*order).agg(F.count("*").alias("_size"))
-    earlier = Window.orderBy(*_nulls_last(order)).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(name).alias(f"{name}_") for name in order],
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
+    groups = sizes.groupBy(*order[:2]).agg(F.sum("_size").alias("_size"))
+
+    def before(window: Window) -> Column:
+        earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+
+    group_offsets = groups.select(
+        F.col("_rank").alias("_group_rank"),
+        F.col("days_until_stockout").alias("_group_days"),
+        before(Window.orderBy(*_nulls_last(order[:2]))).alias("_group_offset"),
+    )
+    same_group = (F.col("_rank_") == F.col("_group_rank")) & F.col(
+        "days_until_stockout_"
+    ).eqNullSafe(F.col("_group_days"))
+    offsets = (
+        sizes.select(
+            *[F.col(name).alias(f"{name}_") for name in order],
+            before(Window.partitionBy(*order[:2]).orderBy("_slice")).alias("_slice_offset"),
+        )
+        .join(group_offsets, same_group)
+        .withColumn("_offset", F.col("_group_offset") + F.col("_slice_offset"))
     )
     in_slice = Window.partitionBy(*order).orderBy("_hash", "item_name", "location_name")
     same_slice = (
