@@ -13,13 +13,15 @@ Rows are rebalanced by bucket before a write: a bucket becomes few files, and on
 larger than the others is split.
 
 Each step writes a folder it does not read, or one named after the batch, so repeating a
-batch after a failure gives the same result. Classes also age without new records: start
-each day with ``rebuild`` into a new root.
+batch after a failure gives the same result. Classes also age without new records: the
+first batch of a new day brings all buckets up to date, from the positions at hand and the
+last 90 days, with the stream's checkpoint and everything logged left as they are.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,7 +43,10 @@ BASE_BATCH = -1
 
 @dataclass(frozen=True)
 class StockRefresh:
-    """Where the fact table lies, where the refreshed tables go, and for which date."""
+    """Where the fact table lies, where the refreshed tables go, and for which date.
+
+    ``as_of`` is a date, or a function that gives the date of each batch.
+    """
 
     spark: SparkSession
     fact_path: str
@@ -50,9 +55,13 @@ class StockRefresh:
     items: DataFrame
     locations: DataFrame
     params: DataFrame
-    as_of: dt.date
+    as_of: dt.date | Callable[[], dt.date]
     buckets: int = 64
 
+    def today(self) -> dt.date:
+        """The date that a batch starting now is for."""
+        return self.as_of() if callable(self.as_of) else self.as_of
+
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
@@ -76,17 +85,29 @@ class StockRefresh:
             .parquet(f"{self._path('positions')}/batch_id={batch_id}")
         )
 
-    def _classify(self, in_scope: Column) -> DataFrame:
+    def _health_day(self) -> dt.date | None:
+        """The date that all buckets of the classified table are for, if there is one."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self._path("day"))
+        if not path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.schema("day date").parquet(self._path("day")).first()["day"]
+
+    def _write_day(self, day: dt.date) -> None:
+        one = self.spark.range(1).select(F.lit(day).alias("day"))
+        one.write.mode("overwrite").parquet(self._path("day"))
+
+    def _classify(self, in_scope: Column, day: dt.date) -> DataFrame:
         known = self.spark.read.parquet(self._path("positions")).filter(in_scope)
         recent = self._facts().select("*", self._bucket()).filter(in_scope)
         return classify(
             join_metrics(
                 choose_positions(known),
-                consumption_metrics(recent, self.as_of),
+                consumption_metrics(recent, day),
                 self.items,
                 self.locations,
                 self.params,
-                self.as_of,
+                day,
             )
         ).select("*", self._bucket())
 
@@ -101,19 +122,28 @@ class StockRefresh:
 
     def rebuild(self) -> None:
         """Full refresh from the whole fact table."""
+        day = self.today()
         self._add_positions(self._facts(), BASE_BATCH)
-        self._write_health(self._classify(F.lit(True)))
+        self._write_health(self._classify(F.lit(True), day))
+        self._write_day(day)
 
     def refresh(self, batch: DataFrame, batch_id: int) -> None:
         """Brings the buckets of the batch's pairs up to date and logs its alerts."""
         touched = [row["bucket"] for row in batch.select(self._bucket()).distinct().collect()]
         if not touched:
             return
+        day = self.today()
+        new_day = self._health_day() != day
         self._add_positions(batch, batch_id)
-        self._write_health(self._classify(F.col("bucket").isin(touched)))
-        self._log_alerts(batch, touched, batch_id)
-
-    def _log_alerts(self, batch: DataFrame, touched: list[int], batch_id: int) -> None:
+        scope = F.lit(True) if new_day else F.col("bucket").isin(touched)
+        self._write_health(self._classify(scope, day))
+        if new_day:
+            self._write_day(day)
+        self._log_alerts(batch, touched, batch_id, day)
+
+    def _log_alerts(
+        self, batch: DataFrame, touched: list[int], batch_id: int, day: dt.date
+    ) -> None:
         pairs = batch.select(*PAIR).distinct()
         current = (
             self.spark.read.parquet(self._path("health"))
@@ -122,7 +152,7 @@ class StockRefresh:
         )
         (
             alerts_without_id(current.join(pairs, list(PAIR), "left_semi"))
-            .withColumn("alert_date", F.lit(self.as_of))
+            .withColumn("alert_date", F.lit(day))
             .write.mode("overwrite")
             .parquet(f"{self._path('alerts')}/batch_id={batch_id}")
         )
@@ -135,7 +165,7 @@ class StockRefresh:
         """Reorder, location and executive tables from the classified table."""
         health = self.health()
         outputs = {
-            "reorder_recommendations": reorder_recommendations(health, self.items, self.as_of),
+            "reorder_recommendations": reorder_recommendations(health, self.items, self.today()),
             "location_risk_summary": rollups.location_risk_summary(health),
             "executive_summary": rollups.executive_summary(health),
         }

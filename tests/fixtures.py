@@ -59,7 +59,9 @@ def empty_masters(spark):
     )
 
 
-def classified(spark, rows: list[dict], items=None, locations=None, params=None, **options):
+def classified(
+    spark, rows: list[dict], items=None, locations=None, params=None, as_of=TODAY, **options
+):
     from shelfwise.operators.health import stock_health_classification
 
     no_items, no_locations, no_params = empty_masters(spark)
@@ -68,7 +70,7 @@ def classified(spark, rows: list[dict], items=None, locations=None, params=None,
         no_items if items is None else items,
         no_locations if locations is None else locations,
         no_params if params is None else params,
-        TODAY,
+        as_of,
         **options,
     )
 

@@ -105,3 +105,32 @@ def test_running_consumption_drops_late_rows(spark, tmp_path):
     wave("b", [(5, 100.0), (20, 1.0)])  # the row of the 5th is too late
     second = run()
     assert second == {**first, 11: (8.0, 1), 12: (8.0, 1), 13: (8.0, 1)}
+
+
+def test_a_new_day_ages_all_pairs_and_replays_nothing(spark, tmp_path):
+    first = records([20], item_code="I1", issues=1.0, stock_record_id=1)
+    first += records([5], item_code="I2", issues=2.0, stock_record_id=2)
+    schema = daily(spark, first).schema
+    items, locations, params = empty_masters(spark)
+    day = [TODAY]
+
+    def started():
+        return StockRefresh(
+            spark, str(tmp_path / "facts"), schema, str(tmp_path / "tables"), items, locations,
+            params, lambda: day[0], buckets=4,
+        )
+
+    def arrive(rows):
+        writers.append_daily_stock(daily(spark, rows), str(tmp_path / "facts"), by_date=False)
+        refresh = started()  # a new process goes on with the same folders
+        refresh.start(every=None).awaitTermination()
+        return refresh
+
+    arrive(first)
+    day[0] = TODAY + dt.timedelta(days=45)
+    later = records([-44], item_code="I2", issues=1.0, closing_stock=0.0, stock_record_id=3)
+    refresh = arrive(later)
+    _same_rows(refresh.health(), classified(spark, first + later, as_of=day[0]))
+    alerts = refresh.alerts().collect()
+    assert {r["item_code"] for r in alerts if r["alert_date"] == day[0]} <= {"I2"}
+    assert len({r["batch_id"] for r in alerts}) <= 2
