@@ -10,8 +10,9 @@ vocabularies spans white space.
 
 Plan: the chunks' digests are counted without the texts; then the compressed texts are dealt
 by row in one exchange, which both joins by row read. Shuffled besides are the ids of shared
-chunks. Cuts follow from a text, so they are set anew where they are needed. A passage in a third of all documents is one digest: its count is
-combined map-side, and the join that hands out its ids is on the side that Spark can split.
+chunks. Cuts follow from a text, so they are set anew where they are needed. A passage in a
+third of all documents is one digest: its count is combined map-side, and the join that hands
+out its ids is on the side that Spark can split.
 
 Null texts count as empty and have no tokens; repeated rows each get their result; extra
 columns are ignored. A text without a cut, however long, is one chunk.

@@ -20,12 +20,10 @@ from __future__ import annotations
 
 import io
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
