@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import words_of
+from shelfwise.llm.common import settled, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -76,7 +76,9 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     kept = [c for c in docs.columns if c not in OWN]
-    base = docs.select(*kept, words_of(text).alias("_words"), lines.alias("_lines"), text.alias("_text"))
+    base = docs.select(
+        *kept, words_of(text).alias("_words"), lines.alias("_lines"), text.alias("_text")
+    )
     counted = base.select(
         *kept,
         F.size("_words").cast("bigint").alias("n_words"),
@@ -150,22 +152,30 @@ def _merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(rows: DataFrame, lang_col: str, source_col: str) -> DataFrame:
-    """Fences of every (language, source), from the narrowest group with enough rows."""
-    own = sketches(rows.select(F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"),
-                               *[f"_m_{name}" for name, _, _ in MEASURES]), ["_lang", "_source"])
+    """Fences of every (language, source), from the narrowest group with enough rows.
+
+    The sketches are checkpointed, and the fences of the whole table, one row, are read to
+    become literals.
+    """
+    measures = [f"_m_{name}" for name, _, _ in MEASURES]
+    groups = rows.select(
+        F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), *measures
+    )
+    own = settled(sketches(groups, ["_lang", "_source"]))
     narrow = fences(own, ["_lang", "_source"])
     middle = fences(_merged(own, ["_lang"]), ["_lang"])
-    whole = fences(_merged(own.withColumn("_all", F.lit(0)), ["_all"]), ["_all"])
+    whole = fences(_merged(own, []), []).first()
     names = [c for c in narrow.columns if c.startswith(("low_", "high_"))]
-    middle = middle.select(F.col("_lang").alias("_l"), F.col("total").alias("_mt"),
-                           *[F.col(c).alias(f"_m_{c}") for c in names])
-    whole = whole.select(F.col("_all"), *[F.col(c).alias(f"_w_{c}") for c in names])
+    middle = middle.select(
+        F.col("_lang").alias("_l"),
+        F.col("total").alias("_mt"),
+        *[F.col(c).alias(f"_m_{c}") for c in names],
+    )
     joined = narrow.join(middle, F.col("_lang").eqNullSafe(F.col("_l")))
-    joined = joined.withColumn("_all", F.lit(0)).join(whole, "_all")
     chosen = [
         F.when(F.col("total") >= GROUP_ROWS, F.col(c))
         .when(F.col("_mt") >= GROUP_ROWS, F.col(f"_m_{c}"))
-        .otherwise(F.col(f"_w_{c}"))
+        .otherwise(F.lit(whole[c] if whole else None).cast("bigint"))
         .alias(f"_{c}")
         for c in names
     ]
