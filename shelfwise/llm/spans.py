@@ -10,7 +10,7 @@ passage of more than ``min_words`` words lies in one of them.
 
 Runs are compared by 128-bit hashes of their lower-cased words over the whole corpus. The
 first occurrence (least id, then text hash, then place) stays; sentences that any other
-occurrence covers are removed. Shuffled are hashes and places, and once the texts by row. A
+occurrence covers are removed. Shuffled are hashes and places, and once the compressed texts by row. A
 passage in a third of all documents is one key: its first place is found with map-side
 combine, and the join back to the occurrences is one that Spark can split.
 
@@ -106,16 +106,34 @@ def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int, i
     return left.rstrip() if gone.any() else left, len(parts), int(gone.sum()), words
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with compressed texts, null where the text is."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(1)
+    for batch in batches:
+        texts = batch.column("body").cast(pa.binary()).to_pylist()
+        packed = [None if t is None else pack.compress(t) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row_id"), batch.column("row_hash"), pa.array(packed, pa.binary())],
+            names=["row_id", "row_hash", "packed"],
+        )
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]):
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
     names = ["body", "n_sentences", "n_removed", "removed_words"]
     for batch in batches:
         rows = []
         firsts, lasts = (batch.column(c).to_pylist() for c in ("firsts", "lasts"))
-        for text, first, last in zip(batch.column("body"), firsts, lasts):
-            text = text.as_py()
-            if text is None:
+        for packed, first, last in zip(batch.column("packed"), firsts, lasts):
+            packed = packed.as_py()
+            if packed is None:
                 rows.append((None, 0, 0, 0))
             else:
+                text = unpack.decompress(packed).decode()
                 rows.append(without(text, list(zip(first or (), last or ()))))
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         values = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
@@ -138,7 +156,7 @@ def dedup_spans(
     body = docs.select(*row_key(docs, id_col, text_col), F.col(text_col).alias("body"))
     found = body.mapInArrow(
         lambda batches: _run_rows(batches, min_words, long_words),
-        f"row_id {kind}, row_hash bigint, h1 bigint, h2 bigint, first int, last int",
+        f"row_id {kind}, row_hash int, h1 bigint, h2 bigint, first int, last int",
     )
     repeated = (
         found.groupBy("h1", "h2")
@@ -158,9 +176,10 @@ def dedup_spans(
     covered = later.groupBy("row_id", "row_hash").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")
     )
-    joined = body.join(covered, same_row(body, covered), "left").select(
-        body["row_id"].alias("id"),
-        body["body"],
+    packed = body.mapInArrow(_packed, f"row_id {kind}, row_hash int, packed binary")
+    joined = packed.join(covered, same_row(packed, covered), "left").select(
+        packed["row_id"].alias("id"),
+        packed["packed"],
         F.col("spans.first").alias("firsts"),
         F.col("spans.last").alias("lasts"),
     )
