@@ -2,17 +2,23 @@
 
 A text is cut into sentences: after a full stop, exclamation or question mark with white
 space behind it, after a line break, and before a word that begins with a capital letter
-(pasted passages often start inside a sentence). From every sentence on, the shortest run of
-several consecutive sentences with ``min_words`` words or more is hashed, and so is the
-shortest such run up to every sentence; one sentence of ``long_words`` words is a run alone.
-Equal passages thus have equal runs wherever they stand, and every sentence of a repeated
-passage of more than ``min_words`` words lies in one of them.
+(pasted passages often start inside a sentence). A sentence of more than ``WHOLE`` (15) words is
+cut further, before every word whose hash is the least of some ``WINDOW`` (8) consecutive words:
+such cuts depend on the words around them only, and leave pieces of eight words at most. All
+pieces are called sentences below.
+
+From every sentence on, the shortest run of several consecutive sentences with ``min_words``
+words or more is hashed, and so is the shortest such run up to every sentence; one sentence of
+``long_words`` words is a run alone, where a caller asks for fewer than the cuts leave. Equal
+whole sentences thus have equal runs wherever they stand. A passage of more than 50 words, glued
+at both ends, loses 15 words at most at either end to a sentence or piece that other words
+share; the 21 or more between are whole sentences in every copy and hold a run of 20.
 
 Runs are compared by 128-bit hashes of their lower-cased words over the whole corpus. The
 first occurrence (least id, then text hash, then place) stays; sentences that any other
-occurrence covers are removed. Shuffled are hashes and places, and once the compressed texts by row. A
-passage in a third of all documents is one key: its first place is found with map-side
-combine, and the join back to the occurrences is one that Spark can split.
+occurrence covers are removed. Shuffled are hashes and places, once, and the compressed texts
+by row. Occurrences are ranked in a sorted stream, so a passage in a third of all documents is
+a long key of one task for each of its runs, but never held in memory.
 
 A null text stays null, and an empty one empty, with no sentences. Rows equal in id and text
 count as one document and all keep what the first keeps. A NULL id sorts first.
@@ -25,21 +31,59 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import row_key, same_row, ship
 
 MIN_WORDS = 20
 LONG_WORDS = 30
+WHOLE, WINDOW = 15, 8
 _END = regex.compile(r"[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|[\x20\x09-\x0D]+(?=\p{Lu})")
+#: What word hashes are made of: a number for each byte (letters A to Z as a to z) and place.
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_LETTER = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)
+_LETTER[65:91] = _LETTER[97:123]
+_POWER = np.random.default_rng(8).integers(1, 2**63, 64, np.uint64) | np.uint64(1)
+
+
+def _inner_cuts(text: str, ends: list[int]) -> list[int]:
+    """Where the sentences of more than WHOLE words are cut, given where sentences end."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    solid = ~_SPACE[raw]
+    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
+    starts, stops = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    if len(starts) <= WHOLE:
+        return []
+    # The place of each word's first letter in the text, and the sentence it is in.
+    if len(raw) == len(text):
+        at = starts
+    else:
+        at = np.searchsorted(np.flatnonzero((raw & 0xC0) != 0x80), starts)
+    of = np.searchsorted(np.array(ends, np.int64), at, side="right")
+    long = np.bincount(of) > WHOLE
+    if not long.any():
+        return []
+    begun = np.zeros(len(raw), np.int64)
+    begun[starts] = starts
+    letters = np.arange(len(raw)) - np.maximum.accumulate(begun)
+    mixed = np.where(solid, _LETTER[raw] * _POWER[letters & 63], np.uint64(0))
+    hashes = np.add.reduceat(mixed, starts)
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
+    # Of equal words the last one counts.
+    last = WINDOW - 1 - windows[:, ::-1].argmin(axis=1) + np.arange(len(windows))
+    chosen = np.zeros(len(starts), bool)
+    chosen[last[(of[: len(last)] == of[WINDOW - 1 :]) & long[of[: len(last)]]]] = True
+    chosen[0] = False
+    chosen[1:] &= of[1:] == of[:-1]  # a sentence's first word is no cut of its own
+    return at[chosen].tolist()
 
 
 def sentences(text: str) -> list[str]:
     """The sentences with the white space behind them; joined they are the text."""
-    cuts = [0, *(m.end() for m in _END.finditer(text))]
-    if cuts[-1] != len(text):
-        cuts.append(len(text))
+    ends = [m.end() for m in _END.finditer(text)]
+    cuts = sorted({0, *ends, len(text), *_inner_cuts(text, ends)})
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
@@ -48,22 +92,24 @@ def runs(parts: list[str], min_words: int = MIN_WORDS, long_words: int = LONG_WO
     import xxhash
 
     words = [p.lower().encode().split() for p in parts]
-    joined = [b" ".join(w) + b" " for w in words]
+    joined = [b" ".join(w) + b" " if w else b"" for w in words]
     kept = [i for i, w in enumerate(words) if w]  # sentences of white space only count for nothing
     counts = [len(words[i]) for i in kept]
     total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
     n = len(kept)
     # The last sentence of the shortest run from i, and the first of the shortest run up to j.
-    ahead = np.searchsorted(total, total[:-1] + min_words)
-    behind = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    places = {(i, int(j) - 1) for i, j in enumerate(ahead) if j <= n and j - 1 > i}
+    ahead = np.searchsorted(total, total[:-1] + min_words).tolist()
+    behind = (np.searchsorted(total, total[1:] - min_words, side="right") - 1).tolist()
+    places = {(i, j - 1) for i, j in enumerate(ahead) if j <= n and j - 1 > i}
     places |= {(i, i + 1) for i, j in enumerate(ahead) if j - 1 == i and i + 1 < n}
-    places |= {(int(i), j) for j, i in enumerate(behind) if 0 <= i < j}
+    places |= {(i, j) for j, i in enumerate(behind) if 0 <= i < j}
     places |= {(j - 1, j) for j, i in enumerate(behind) if i == j > 0}
     places |= {(i, i) for i, c in enumerate(counts) if c >= long_words}
     digest = xxhash.xxh3_128_digest
+    whole = b"".join(joined)
+    at = [0, *np.cumsum([len(joined[k]) for k in kept]).tolist()]
     for i, j in sorted(places):
-        yield digest(b"".join([joined[k] for k in kept[i : j + 1]])), kept[i], kept[j]
+        yield digest(whole[at[i] : at[j + 1]]), kept[i], kept[j]
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch], min_words: int, long_words: int):
@@ -158,18 +204,11 @@ def dedup_spans(
         lambda batches: _run_rows(batches, min_words, long_words),
         f"row_id {kind}, row_hash int, h1 bigint, h2 bigint, first int, last int",
     )
-    repeated = (
-        found.groupBy("h1", "h2")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("row_id", "row_hash", "first")).alias("origin"),
-        )
-        .where(F.col("n") > 1)
-        .select("h1", "h2", "origin")
-    )
+    # Repeated rows tie with the first place and keep what it keeps.
+    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("row_id", "row_hash", "first"))
     later = (
-        found.join(repeated, ["h1", "h2"])
-        .where(~F.struct("row_id", "row_hash", "first").eqNullSafe(F.col("origin")))
+        found.withColumn("place", place)
+        .where(F.col("place") > 1)
         .select("row_id", "row_hash", "first", "last")
         .distinct()
     )

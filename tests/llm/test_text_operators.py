@@ -307,6 +307,28 @@ def test_spans_of_odd_rows(odd_docs, no_docs):
     assert spans.dedup_spans(no_docs).count() == 0
 
 
+def test_any_glued_repeat_of_51_words_shares_a_run(spark, texts):
+    rng = random.Random(6)
+    pool = [t for _, t, _ in texts if t and len(t.split(" ")) > 90]
+    edge = lambda: " ".join(rng.choice(pool).split(" ")[: rng.randint(0, 30)]).lower()
+    docs = []
+    for _ in range(300):
+        words = rng.choice(pool).split(" ")
+        at = rng.randrange(len(words) - 60)
+        end = at + 51
+        while len(" ".join(words[at:end]).encode().split()) < 51:
+            end += 1
+        docs.append([f"{edge()} {' '.join(words[at:end])} {edge()}" for _ in range(2)])
+    for pair in docs:
+        found = [{h for h, _, _ in spans.runs(spans.sentences(text))} for text in pair]
+        assert found[0] & found[1]
+    plain = [f"w{i}" for i in range(51)]  # one long sentence, glued at both ends
+    rows = [(i, " ".join([*[f"a{i}x{k}" for k in range(9)], *plain, *[f"b{i}x{k}" for k in range(9)]])) for i in range(2)]
+    got = {r["doc_id"]: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[0]["text"] == rows[0][1] and got[1]["removed_words"] >= 20
+    assert all(f"a1x{k}" in got[1]["text"] and f"b1x{k}" in got[1]["text"] for k in range(9))
+
+
 # Language
 
 
