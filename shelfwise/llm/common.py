@@ -66,9 +66,9 @@ def words_of(text: Column) -> Column:
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """(row_id, row_hash): an id that may be NULL or repeated, told apart by its text.
 
-    The hash has 32 bits: it need only part the rows of one id.
+    The hash has 64 bits, since all rows without an id are told apart by it alone.
     """
-    return [F.col(id_col).alias("row_id"), F.hash(F.col(text_col)).alias("row_hash")]
+    return [F.col(id_col).alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_hash")]
 
 
 def same_row(left: DataFrame, right: DataFrame) -> Column:

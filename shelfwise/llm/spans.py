@@ -202,7 +202,7 @@ def dedup_spans(
     body = docs.select(*row_key(docs, id_col, text_col), F.col(text_col).alias("body"))
     found = body.mapInArrow(
         lambda batches: _run_rows(batches, min_words, long_words),
-        f"row_id {kind}, row_hash int, h1 bigint, h2 bigint, first int, last int",
+        f"row_id {kind}, row_hash bigint, h1 bigint, h2 bigint, first int, last int",
     )
     # Repeated rows tie with the first place and keep what it keeps.
     place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("row_id", "row_hash", "first"))
@@ -215,7 +215,7 @@ def dedup_spans(
     covered = later.groupBy("row_id", "row_hash").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")
     )
-    packed = body.mapInArrow(_packed, f"row_id {kind}, row_hash int, packed binary")
+    packed = body.mapInArrow(_packed, f"row_id {kind}, row_hash bigint, packed binary")
     joined = packed.join(covered, same_row(packed, covered), "left").select(
         packed["row_id"].alias("id"),
         packed["packed"],

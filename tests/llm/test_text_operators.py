@@ -329,6 +329,24 @@ def test_any_glued_repeat_of_51_words_shares_a_run(spark, texts):
     assert all(f"a1x{k}" in got[1]["text"] and f"b1x{k}" in got[1]["text"] for k in range(9))
 
 
+def test_texts_without_an_id_whose_short_hashes_collide_stay_apart(spark):
+    """Of the two texts of one 32-bit hash only the one with the repeated passage loses it."""
+    passage = " ".join(f"Line {i} has seven plain words here." for i in range(9))
+    made = spark.range(300_000).select(
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("Number "), "id", F.lit(f". {passage}")))
+        .otherwise(F.concat(F.lit("Other "), "id", F.lit(". One. Two. Three. Four. Five. Six. Seven. Eight. Nine.")))
+        .alias("text")
+    )
+    pairs = made.groupBy(F.hash("text")).agg(F.sort_array(F.collect_list("text")).alias("pair"))
+    pair = pairs.where("size(pair) = 2 and pair[0] like 'Number%' and pair[1] like 'Other%'").first()["pair"]
+    rows = [(None, pair[0]), (None, pair[1]), *((None, f"Number first {i}. {passage}") for i in range(8))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    short = [r[0] for r in docs.select(F.hash("text")).collect()]
+    assert short[0] == short[1] > min(short)  # by short hashes the pair would come later
+    got = sorted(r["text"] for r in spans.dedup_spans(docs).collect())
+    assert pair[1] in got and sum("Line 4" in t for t in got) == 1
+
+
 # Language
 
 
