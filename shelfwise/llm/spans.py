@@ -160,9 +160,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("body").cast(pa.binary()).to_pylist()
         packed = [None if t is None else pack.compress(t) for t in texts]
+        others = ["row_id", "row_hash", "carried"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id"), batch.column("row_hash"), pa.array(packed, pa.binary())],
-            names=["row_id", "row_hash", "packed"],
+            [*map(batch.column, others), pa.array(packed, pa.binary())], names=[*others, "packed"]
         )
 
 
@@ -195,12 +195,20 @@ def dedup_spans(
     text_col: str = "text",
     min_words: int = MIN_WORDS,
     long_words: int = LONG_WORDS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, text, n_sentences, n_removed, removed_words) per row, texts without repeats."""
+    """(id, text, n_sentences, n_removed, removed_words) per row, texts without repeats.
+
+    Columns named in ``carry`` stay with their row and come last.
+    """
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    body = docs.select(*row_key(docs, id_col, text_col), F.col(text_col).alias("body"))
-    found = body.mapInArrow(
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    body = docs.select(
+        *row_key(docs, id_col, text_col), carried.alias("carried"), F.col(text_col).alias("body")
+    )
+    more = dict(body.dtypes)["carried"]
+    found = body.drop("carried").mapInArrow(
         lambda batches: _run_rows(batches, min_words, long_words),
         f"row_id {kind}, row_hash bigint, h1 bigint, h2 bigint, first int, last int",
     )
@@ -215,15 +223,23 @@ def dedup_spans(
     covered = later.groupBy("row_id", "row_hash").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")
     )
-    packed = body.mapInArrow(_packed, f"row_id {kind}, row_hash bigint, packed binary")
+    packed = body.mapInArrow(_packed, f"row_id {kind}, row_hash bigint, carried {more}, packed binary")
     joined = packed.join(covered, same_row(packed, covered), "left").select(
         packed["row_id"].alias("id"),
+        packed["carried"],
         packed["packed"],
         F.col("spans.first").alias("firsts"),
         F.col("spans.last").alias("lasts"),
     )
     out = joined.mapInArrow(
         _cleaned,
-        f"id {kind}, body string, n_sentences bigint, n_removed bigint, removed_words bigint",
+        f"id {kind}, carried {more}, body string, n_sentences bigint, n_removed bigint, removed_words bigint",
+    )
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("body").alias(text_col),
+        "n_sentences",
+        "n_removed",
+        "removed_words",
+        *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)],
     )
-    return out.withColumnsRenamed({"id": id_col, "body": text_col})

@@ -328,3 +328,20 @@ def test_near_copies_match_brute_force(spark, texts):
                 least = {k: low if v == high else v for k, v in least.items()}
     docs = spark.createDataFrame(list(some.items()), "doc_id bigint, text string")
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_copies(docs).collect()} == least
+
+
+def test_texts_without_an_id_each_stay(spark):
+    rng = np.random.default_rng(5)
+    made = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 60)) for _ in range(5)]
+    rows = [(None, made[0]), (None, made[1]), (None, made[1]), (None, made[2]), (7, made[3]), (None, made[3]), (8, made[4])]
+    docs = spark.createDataFrame(
+        [(i, t, "en", f"s{n}", len(t)) for n, (i, t) in enumerate(rows)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    expected = sorted([(None, made[0]), (None, made[1]), (None, made[2]), (7, made[3]), (8, made[4])], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == expected
+    done = corpus_pipeline.substrings(spark, kept, SF)
+    assert sorted(((r["doc_id"], r["text"]) for r in done.collect()), key=str) == expected
+    sources = {r["text"]: r["source"] for r in done.collect()}
+    assert sources[made[0]] == "s0" and sources[made[2]] == "s3" and sources[made[3]] == "s4"
