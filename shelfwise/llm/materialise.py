@@ -1,9 +1,9 @@
 """Training-order files: every sequence gets a slot of a keyed permutation.
 
 A sequence is a fixed number of token ids of a document; the last one of a document ends with
-the end id and is filled with the padding id. Sequences are numbered 0 to N - 1 in the order
-of the input's partitions: one light pass counts them per partition, and a second numbers
-them from the partition's offset, as ``zipWithIndex`` does. A keyed Feistel network over the
+the end id and is filled with the padding id. Sequences are numbered 0 to N - 1 in one
+order: one light pass counts them per partition of the input, and a second, over the same
+partitions, numbers each row from the partition's offset. A keyed Feistel network over the
 next power of four permutes the numbers; results of N or more are walked on until they fall
 below N, which makes the whole a permutation of 0 to N - 1 without any table or sort of keys.
 
@@ -13,8 +13,11 @@ at byte k * stride. A reader at slot s seeks to one offset and reads on. Files a
 by Spark's own writer, so a lost executor or a repeated task leaves no half file. On their
 way to the partitions the records travel in compressed blocks, one per task, batch and range.
 
-The numbers rely on the input's partitions being the same in both passes, which a scan of
-files gives; pass ``settled(df)`` for an input that a shuffle orders.
+The numbers rely on the input's partitions being the same in all passes. How files are split
+depends on the cores at planning time, so the input is planned once (``pinned``) and every pass
+runs over that plan's partitions; pass ``settled(df)`` for an input that a shuffle orders. Each
+pass checks that its partitions hold the counted sequences, and each range that it has every
+slot once; a job that finds otherwise fails.
 
 Null and empty texts are one sequence with only the end id. Repeated rows and rows with NULL
 ids each have their sequences. An empty table gives no records and an empty result.
@@ -74,6 +77,27 @@ def byte_records(text: bytes, ids: int = RECORD_IDS) -> bytes:
     return (text + bytes([END])).ljust(-(-(len(text) + 1) // ids) * ids, bytes([PADDING]))
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """The frame with its physical plan and partitions fixed now, for every later action."""
+    session = df.sparkSession
+    fixed = df._jdf.queryExecution().toRdd()
+    fixed.getNumPartitions()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(fixed, df._jdf.schema(), False), session)
+
+
+def _begin(offsets: dict[int, int], total: int) -> tuple[int, int]:
+    """The first sequence number of this task's partition and of the next one; equal if it has no rows."""
+    part = TaskContext.get().partitionId()
+    if part not in offsets:
+        return 0, 0
+    return offsets[part], min((x for x in offsets.values() if x > offsets[part]), default=total)
+
+
+def _check_end(number: int, end: int) -> None:
+    if number != end:
+        raise RuntimeError(f"the input changed between passes: at sequence {number}, counted to {end}")
+
+
 def _blocks(
     batches: Iterator[pa.RecordBatch],
     offsets: dict[int, int],
@@ -86,7 +110,7 @@ def _blocks(
     import zstandard
 
     pack = zstandard.ZstdCompressor(1)
-    number = offsets.get(TaskContext.get().partitionId(), 0)
+    number, end = _begin(offsets, total)
     for batch in batches:
         records = b"".join(byte_records(x.as_py() or b"", ids) for x in batch.column("body").cast(pa.binary()))
         rows = np.frombuffer(records, np.uint8).reshape(-1, ids)
@@ -105,9 +129,12 @@ def _blocks(
             [pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())],
             names=["shard", "slots", "packed"],
         )
+    _check_end(number, end)
 
 
-def _ordered(batches: Iterator[pa.RecordBatch], ids: int) -> Iterator[pa.RecordBatch]:
+def _ordered(
+    batches: Iterator[pa.RecordBatch], ids: int, total: int, per_shard: int
+) -> Iterator[pa.RecordBatch]:
     """The whole range of one partition as one value, records in slot order."""
     import zstandard
 
@@ -117,8 +144,11 @@ def _ordered(batches: Iterator[pa.RecordBatch], ids: int) -> Iterator[pa.RecordB
         for place, packed in zip(batch.column("slots"), batch.column("packed")):
             slots.append(np.frombuffer(place.as_py(), "<u4"))
             rows.append(np.frombuffer(unpack.decompress(packed.as_py()), np.uint8).reshape(-1, ids))
+    expected = min(per_shard, total - TaskContext.get().partitionId() * per_shard)
+    at = np.concatenate(slots) if slots else np.zeros(0, np.uint32)
+    if len(at) != expected or (np.bincount(at, minlength=expected) != 1).any():
+        raise RuntimeError(f"a range of {expected} slots holds {len(at)} records or one slot twice")
     if slots:
-        at = np.concatenate(slots)
         whole = np.empty((len(at), ids), np.uint8)
         whole[at] = np.concatenate(rows)
         yield pa.RecordBatch.from_arrays([pa.array([whole.tobytes()], pa.binary())], names=["value"])
@@ -153,7 +183,8 @@ def write_training_order(
 ) -> int:
     """Writes the files under ``path``; returns how many records a file has.
 
-    ``numbering`` is what ``number_sequences`` gave for these rows. Each file is one range:
+    ``numbering`` is what ``number_sequences`` gave for these rows; both need the same ``pinned``
+    frame, unless its partitions cannot change. Each file is one range:
     its records, then one line feed as the end mark.
     """
     ship(docs.sparkSession)
@@ -167,7 +198,7 @@ def write_training_order(
         "shard int, slots binary, packed binary",
     )
     dealt = blocks.repartitionById(-(-total // per_shard), "shard").select("slots", "packed")
-    whole = dealt.mapInArrow(lambda batches: _ordered(batches, record_ids), "value binary")
+    whole = dealt.mapInArrow(lambda batches: _ordered(batches, record_ids, total, per_shard), "value binary")
     whole.select(F.col("value").cast("string")).write.mode("overwrite").text(path)
     return per_shard
 
@@ -215,14 +246,19 @@ def sequence_slots(
     """
     spark = docs.sparkSession
     path = path or work_path(spark, "training_order")
-    body = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    free = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    body = pinned(free)
     offsets, total = numbering = number_sequences(body, "body", record_ids)
+    # The whole input, counted apart from how the pinned plan splits it.
+    counted = number_sequences(free, "body", record_ids)[1]
+    if counted != total:
+        raise RuntimeError(f"the pinned input has {total} sequences, the input {counted}")
     per_shard = write_training_order(body, path, numbering, key, "body", record_ids, shard_bytes)
     kind = dict(docs.dtypes)[id_col]
     sized = body.select("id", F.coalesce(F.octet_length("body"), F.lit(0)).alias("size"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = offsets.get(TaskContext.get().partitionId(), 0)
+        number, end = _begin(offsets, total)
         for batch in batches:
             sizes = np.asarray(batch.column("size"), np.int64)
             counts = sizes // record_ids + 1
@@ -239,6 +275,7 @@ def sequence_slots(
                 ],
                 names=["id", "piece", "slot", "shard", "byte_offset", "n_ids"],
             )
+        _check_end(number, end)
 
     rows = sized.mapInArrow(
         numbered,

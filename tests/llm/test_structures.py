@@ -259,6 +259,36 @@ def test_training_order_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
     assert materialise.sequence_slots(no_docs, str(tmp_path / "b")).count() == 0
 
 
+def test_slots_hold_when_files_are_split_anew(spark, texts, tmp_path):
+    """Splits change with the cores at hand; here by the session's least number of splits."""
+    source, path = str(tmp_path / "docs"), str(tmp_path / "order")
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(9).write.parquet(source)
+    splits, cost = "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"
+    old_cost = spark.conf.get(cost)
+    try:
+        spark.conf.set(splits, "2")
+        spark.conf.set(cost, "1k")
+        index = materialise.sequence_slots(spark.read.parquet(source), path, record_ids=64, shard_bytes=64 * 50)
+        spark.conf.set(splits, "9")
+        rows = index.collect()
+    finally:
+        spark.conf.unset(splits)
+        spark.conf.set(cost, old_cost)
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    records = {r["slot"]: bytes(r["ids"]) for r in materialise.read_records(spark, path, 50, 64).collect()}
+    whole = {i: (t or "").encode() for i, t, _ in texts}
+    for r in rows:
+        begin = r["piece"] * 64
+        assert records[r["slot"]] == materialise.byte_records(whole[r["doc_id"]], 64)[begin : begin + 64]
+
+
+def test_a_missing_slot_fails(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    offsets, total = materialise.number_sequences(docs)
+    with pytest.raises(Exception, match="counted to"):
+        materialise.write_training_order(docs, str(tmp_path / "x"), (offsets, total + 1))
+
+
 # Pipeline
 
 
