@@ -58,6 +58,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def exact_columns(df: DataFrame, *names: str) -> DataFrame:
+    """These columns alone, matched by case, where other names may differ from them by case only."""
+    at = [df.columns.index(name) for name in names]
+    by_place = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return by_place.select(*[F.col(f"c{i}").alias(name) for i, name in zip(at, names)])
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, as an array."""
     return F.regexp_extract_all(text, F.lit(f"{WORD_CLASS}+"), F.lit(0))

@@ -11,6 +11,7 @@ from shelfwise.llm import (
     bm25,
     chunk_encode,
     digest_cache,
+    histogram_packing,
     langid,
     materialise,
     packing,
@@ -85,6 +86,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_cache.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of every document."""
+    return histogram_packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
     own = (
@@ -98,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_language,
         op9_training_order,
         op10_token_counts,
+        op13_packing,
     )
     return {query.__name__: query for query in own}
 
