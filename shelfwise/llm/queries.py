@@ -18,6 +18,7 @@ from shelfwise.llm import (
     quality,
     simhash,
     spans,
+    whitening,
     wrapper,
 )
 from shelfwise.llm.common import words_of
@@ -86,6 +87,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_cache.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and place of every piece of every document."""
     return histogram_packing.pack_documents(_table(spark, sf_dir, "documents"))
@@ -104,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_language,
         op9_training_order,
         op10_token_counts,
+        op11_whitening,
         op13_packing,
     )
     return {query.__name__: query for query in own}
