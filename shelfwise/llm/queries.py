@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm import (
     bm25,
     chunk_encode,
+    conversations,
     digest_cache,
     histogram_packing,
     langid,
@@ -92,6 +93,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation."""
+    return conversations.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and place of every piece of every document."""
     return histogram_packing.pack_documents(_table(spark, sf_dir, "documents"))
@@ -111,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_training_order,
         op10_token_counts,
         op11_whitening,
+        op12_conversation_repair,
         op13_packing,
     )
     return {query.__name__: query for query in own}
