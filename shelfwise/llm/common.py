@@ -59,8 +59,9 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def exact_columns(df: DataFrame, *names: str) -> DataFrame:
-    """These columns alone, matched by case, where other names may differ from them by case only."""
-    at = [df.columns.index(name) for name in names]
+    """These columns alone, by case where several names differ by case only."""
+    lower = [c.lower() for c in df.columns]
+    at = [df.columns.index(c) if c in df.columns else lower.index(c.lower()) for c in names]
     by_place = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return by_place.select(*[F.col(f"c{i}").alias(name) for i, name in zip(at, names)])
 

@@ -17,8 +17,8 @@ share; the 21 or more between are whole sentences in every copy and hold a run o
 Runs are compared by 128-bit hashes of their lower-cased words over the whole corpus. The
 first occurrence (least id, then text hash, then place) stays; sentences that any other
 occurrence covers are removed. Shuffled are hashes and places, once, and the compressed texts
-by row. Occurrences are ranked in a sorted stream, so a passage in a third of all documents is
-a long key of one task for each of its runs, but never held in memory.
+by row. Tasks settle equal runs among some 200,000 neighbours before the shuffle, so a passage in a third
+of all documents brings one row for thousands of them; the rest is ranked in a sorted stream.
 
 A null text stays null, and an empty one empty, with no sentences. Rows equal in id and text
 count as one document and all keep what the first keeps. A NULL id sorts first.
@@ -34,11 +34,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import row_key, same_row, ship
+from shelfwise.llm.common import exact_columns, row_key, same_row, ship
 
 MIN_WORDS = 20
 LONG_WORDS = 30
 WHOLE, WINDOW = 15, 8
+#: Runs compared with each other in a task before they are dealt by their hash.
+AT_ONCE = 200_000
 _END = regex.compile(r"[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|[\x20\x09-\x0D]+(?=\p{Lu})")
 #: What word hashes are made of: a number for each byte (letters A to Z as a to z) and place.
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -112,20 +114,73 @@ def runs(parts: list[str], min_words: int = MIN_WORDS, long_words: int = LONG_WO
         yield digest(whole[at[i] : at[j + 1]]), kept[i], kept[j]
 
 
-def _run_rows(batches: Iterator[pa.RecordBatch], min_words: int, long_words: int):
-    """(row_id, row_hash, h1, h2, first, last) of every run of every text."""
+def _row_order(ids: list, hashes: list) -> np.ndarray:
+    """The rank of each row by id (None first) and hash; equal rows share one."""
+    keys = [(i is not None, 0 if i is None else i, h) for i, h in zip(ids, hashes)]
+    rank = {key: n for n, key in enumerate(sorted(set(keys)))}
+    return np.array([rank[key] for key in keys], np.int64)
+
+
+def _settled_here(pair: np.ndarray, rank: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs that may be a first occurrence, runs that are not), by the runs at hand alone.
+
+    Only the least of equal runs can be the first of all; what ties with it has its fate.
+    """
+    n = len(pair)
+    order = np.argsort(pair[:, 0], kind="stable")
+    equal = np.diff(pair[order, 0]) == 0
+    near = order[np.append(equal, False) | np.append(False, equal)]
+    near = near[np.lexsort((first[near], rank[near], pair[near, 1], pair[near, 0]))]
+    begins = np.append(True, (np.diff(pair[near], axis=0) != 0).any(axis=1))[: len(near)]
+    least = near[np.maximum.accumulate(np.where(begins, np.arange(len(near)), 0))]
+    apart = (rank[near] != rank[least]) | (first[near] != first[least])
+    open_runs = np.ones(n, bool)
+    open_runs[near[~begins]] = False
+    return np.flatnonzero(open_runs), near[apart]
+
+
+def _merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, first, last) with overlapping and neighbouring spans of a row joined."""
+    out: list[list[int]] = []
+    order = np.lexsort((first, row))
+    for r, a, z in zip(row[order].tolist(), first[order].tolist(), last[order].tolist()):
+        if out and out[-1][0] == r and a <= out[-1][2] + 1:
+            out[-1][2] = max(out[-1][2], z)
+        else:
+            out.append([r, a, z])
+    return out
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch], min_words: int, long_words: int, at_once: int):
+    """(row_id, row_hash, h1, h2, first, last, later) of the runs of every text.
+
+    Of runs that are equal among some ``at_once`` neighbours only the least goes on by its hash. The
+    others are later occurrences for sure, whatever comes: their spans are joined and
+    dealt by their row, so a passage that a third of all texts hold brings few rows of one hash.
+    """
     for batch in batches:
         ids, hashes = batch.column("row_id"), batch.column("row_hash")
+        rank, known = None, hashes.to_numpy()
         at, digests, places = [], [], []
 
         def ready():
+            nonlocal rank
+            if rank is None:
+                rank = _row_order(ids.to_pylist(), known.tolist())
             pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             span = np.array(places, np.int32).reshape(-1, 2)
-            take = pa.array(at, pa.int64())
-            columns = [ids.take(take), hashes.take(take)]
-            columns += [pa.array(np.ascontiguousarray(x)) for x in (*pair.T, *span.T)]
+            row = np.array(at, np.int64)
+            some, gone = _settled_here(pair, rank[row], span[:, 0])
+            merged = _merged(row[gone], span[gone, 0], span[gone, 1])
+            more = np.array(merged, np.int64).reshape(-1, 3)
+            rows = np.append(row[some], more[:, 0])
+            columns = [ids.take(pa.array(rows)), pa.array(known[rows])]
+            columns.append(pa.array(np.append(pair[some, 0], known[more[:, 0]])))
+            columns += [pa.array(np.append(pair[some, 1], more[:, 1]))]
+            columns += [pa.array(np.append(span[some, i], more[:, 1 + i].astype(np.int32))) for i in (0, 1)]
+            columns.append(pa.array(np.arange(len(rows)) >= len(some)))
             return pa.RecordBatch.from_arrays(
-                columns, names=["row_id", "row_hash", "h1", "h2", "first", "last"]
+                columns, names=["row_id", "row_hash", "h1", "h2", "first", "last", "later"]
             )
 
         for row, text in enumerate(batch.column("body")):
@@ -133,10 +188,11 @@ def _run_rows(batches: Iterator[pa.RecordBatch], min_words: int, long_words: int
                 at.append(row)
                 digests.append(digest)
                 places.append((first, last))
-            if len(at) > 50_000:
+            if len(at) > at_once:
                 yield ready()
                 at, digests, places = [], [], []
-        yield ready()
+        if at:
+            yield ready()
 
 
 def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int, int]:
@@ -196,12 +252,14 @@ def dedup_spans(
     min_words: int = MIN_WORDS,
     long_words: int = LONG_WORDS,
     carry: tuple[str, ...] = (),
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """(id, text, n_sentences, n_removed, removed_words) per row, texts without repeats.
 
     Columns named in ``carry`` stay with their row and come last.
     """
     ship(docs.sparkSession)
+    docs = exact_columns(docs, *dict.fromkeys((id_col, text_col, *carry)))
     kind = dict(docs.dtypes)[id_col]
     carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     body = docs.select(
@@ -209,19 +267,15 @@ def dedup_spans(
     )
     more = dict(body.dtypes)["carried"]
     found = body.drop("carried").mapInArrow(
-        lambda batches: _run_rows(batches, min_words, long_words),
-        f"row_id {kind}, row_hash bigint, h1 bigint, h2 bigint, first int, last int",
+        lambda batches: _run_rows(batches, min_words, long_words, at_once),
+        f"row_id {kind}, row_hash bigint, h1 bigint, h2 bigint, first int, last int, later boolean",
     )
     # Repeated rows tie with the first place and keep what it keeps.
-    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("row_id", "row_hash", "first"))
-    later = (
-        found.withColumn("place", place)
-        .where(F.col("place") > 1)
-        .select("row_id", "row_hash", "first", "last")
-        .distinct()
-    )
+    order = ["later", "row_id", "row_hash", "first"]
+    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy(*order))
+    later = found.withColumn("place", F.when(F.col("later"), 2).otherwise(place)).where("place > 1")
     covered = later.groupBy("row_id", "row_hash").agg(
-        F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")
+        F.collect_set(F.struct("first", "last")).alias("spans")
     )
     packed = body.mapInArrow(_packed, f"row_id {kind}, row_hash bigint, carried {more}, packed binary")
     joined = packed.join(covered, same_row(packed, covered), "left").select(

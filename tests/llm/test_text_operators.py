@@ -307,6 +307,19 @@ def test_spans_of_odd_rows(odd_docs, no_docs):
     assert spans.dedup_spans(no_docs).count() == 0
 
 
+def test_runs_settled_in_tasks_change_nothing(spark, texts):
+    passage = " ".join(f"Line {i} has seven plain words here." for i in range(9))
+    rows = [(i % 230, f"{passage if i % 3 else ''} {t or ''}") for i, t, _ in texts] + [(None, passage), (3, passage)]
+    rows += rows[:40]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").select("*", F.lit("other").alias("TEXT"))
+    found = []
+    for parts, at_once in ((1, 1), (3, 500), (1, 10**6)):
+        got = spans.dedup_spans(docs.repartition(parts), at_once=at_once)
+        found.append(sorted(map(str, got.collect())))
+    assert found[0] == found[1] == found[2]
+    assert sum("Line 4" in row for row in found[0]) < 10
+
+
 def test_any_glued_repeat_of_51_words_shares_a_run(spark, texts):
     rng = random.Random(6)
     pool = [t for _, t, _ in texts if t and len(t.split(" ")) > 90]
