@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import langid, minhash, packing, quality, spans
+from shelfwise.llm import langid, packing, quality, simhash, spans
 from shelfwise.llm.common import WORD_CLASS, words_of, work_path
 
 #: A text is rejected that no learnt language fits better than this.
@@ -30,31 +30,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies: the least id, then the least text hash.
+    """Keeps one document of each group of SimHash near copies: the least id, then the least text hash.
 
-    Near copies share 80 % of their five-word shingles (Jaccard), which two bits of SimHash, the
-    contract of op2, would miss. Rows without an id come after those with one and are documents
-    by their texts. Repeated rows of one id count as one document, of which the first text stays.
+    Three-word shingles and two bits, the contract of op2. A document is an id with a text, so different
+    texts of one id, or without an id, are told apart and group by their fingerprints alone; those without an
+    id come last. Of rows equal in both the least by the other columns stays.
     """
-    found = minhash.near_copies(docs.select("doc_id", "text"))
-    own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
-    firsts = found.where(own).select("doc_id", "text_hash").distinct()
-    firsts = firsts.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"))
+    grouped = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
+    firsts = grouped.select("component_id.*").distinct().toDF("_unnamed", "_id", "_hash")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     kept = docs.join(firsts, same, "left_semi")
-    # What is one document: an id or, without one, a text.
-    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    one = [F.col("doc_id").alias("_id"), unnamed.alias("_unnamed")]
+    one = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")]
     repeated = kept.groupBy(*one).count().where("count > 1").drop("count")
     if repeated.isEmpty():
         return kept
-    twice = F.col("doc_id").eqNullSafe(F.col("_id")) & unnamed.eqNullSafe(F.col("_unnamed"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    single = kept.join(repeated, twice, "left_anti")
-    chosen = kept.join(repeated, twice, "left_semi").groupBy("doc_id", unnamed.alias("_unnamed")).agg(
-        F.min(F.struct("text", *rest)).alias("row")
+    single = kept.join(repeated, same, "left_anti")
+    chosen = kept.join(repeated, same, "left_semi").groupBy("doc_id", "text").agg(
+        F.min(F.struct(F.lit(0).alias("none"), *rest)).alias("row")
     )
-    return single.unionByName(chosen.select("doc_id", "row.*"))
+    return single.unionByName(chosen.select("doc_id", "text", *[f"row.{c}" for c in rest]))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
