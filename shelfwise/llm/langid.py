@@ -24,10 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import ship
+from shelfwise.llm.common import exact_columns, ship
 from shelfwise.llm.tokens import slices
 
 HIDDEN = 16
@@ -39,7 +40,7 @@ BATCH = 256
 #: Words a worker process remembers.
 MEMORY_WORDS = 600_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def word_parts(text: str) -> list[bytes]:
@@ -259,11 +260,12 @@ def identify(
 ) -> DataFrame:
     """All columns of the rows and held_out, lang_pred and score; trains if no model is given.
 
-    Columns of these three names are replaced.
+    Columns of these three names, in any case, are replaced.
     """
     ship(docs.sparkSession)
     if model is None:
-        model = train(docs, id_col, text_col, lang_col)
+        known = exact_columns(docs, *dict.fromkeys((id_col, text_col, lang_col)))
+        model = train(known, id_col, text_col, lang_col)
 
     def predicted(texts: pd.Series) -> pd.DataFrame:
         if model is None:
@@ -278,9 +280,15 @@ def identify(
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     guess = F.pandas_udf(predicted, "lang_pred string, score double")
-    kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "_guess")]
-    return (
-        docs.withColumn("_guess", guess(F.col(text_col)))
-        .withColumn("held_out", F.coalesce(_crc_rest(id_col) == 1, F.lit(False)))
-        .select(*kept, "held_out", "_guess.lang_pred", "_guess.score")
+    own = ("held_out", "lang_pred", "score")
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in own]
+    # Columns by place, since their names may differ from each other or from ours by case only.
+    by_place = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_place, text_place = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    out = by_place.withColumn("guess", guess(F.col(text_place))).select(
+        *[f"c{i}" for i in kept],
+        F.coalesce(_crc_rest(id_place) == 1, F.lit(False)),
+        "guess.lang_pred",
+        "guess.score",
     )
+    return out.toDF(*[docs.columns[i] for i in kept], *own)

@@ -185,8 +185,11 @@ def thresholds(rows: DataFrame, lang_col: str, source_col: str) -> DataFrame:
 def judge(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
 ) -> DataFrame:
-    """All columns of the rows, the counts, base_failed and kept (columns of those names go)."""
-    rows = measured(docs, text_col)
+    """All columns of the rows, the counts, base_failed and kept (columns of those names go, in any case)."""
+    # Columns by place, since their names may differ from each other or from ours by case only.
+    names, own = docs.columns, {c.lower() for c in OWN}
+    text_col, lang_col, source_col = (f"c{names.index(c)}" for c in (text_col, lang_col, source_col))
+    rows = measured(docs.toDF(*[f"c{i}" for i in range(len(names))]), text_col)
     rows = rows.select("*", *[_measure(name).alias(f"_m_{name}") for name, _, _ in MEASURES])
     limits = thresholds(rows, lang_col, source_col)
     joined = rows.join(
@@ -202,13 +205,14 @@ def judge(
         within &= F.col(f"_m_{name}") <= F.col(f"_high_{name}")
         if below is not None:
             within &= F.col(f"_m_{name}") >= F.col(f"_low_{name}")
-    kept = [c for c in docs.columns if c not in OWN]
-    return joined.select(
-        *kept,
+    kept = [i for i, c in enumerate(names) if c.lower() not in own]
+    out = joined.select(
+        *[f"c{i}" for i in kept],
         *OWN[:5],
         failed.alias("base_failed"),
         (~failed & F.coalesce(within, F.lit(True))).alias("kept"),
     )
+    return out.toDF(*[names[i] for i in kept], *OWN)
 
 
 #: The same rows in DuckDB; it counts repeated windows by joining positions.

@@ -402,3 +402,26 @@ def test_language_of_odd_rows(odd_docs, no_docs):
     assert langid.identify(odd_docs.withColumn("lang", F.lit(None).cast("string"))).where(
         "lang_pred != 'und'"
     ).count() == 0
+
+
+def test_texts_without_letters_have_no_language(spark, texts):
+    model = langid.train(spark.createDataFrame(texts, "doc_id bigint, text string, lang string"))
+    odd = ["½ ²", "① ②", "12 34", "", None, "Ⅷ"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")
+    got = langid.identify(docs, model).collect()
+    assert {r["lang_pred"] for r in got} == {langid.UNKNOWN}
+
+
+def test_clashing_names_change_no_verdict(spark, odd_docs):
+    clash = ["_words", "_h", "_lines", "_text", "_tl", "_m_symbols", "_high_symbols", "Lang", "TEXT"]
+    docs = odd_docs.select("*", *[F.lit("x").alias(c) for c in clash], F.lit(5).alias("N_WORDS"), F.lit(2).alias("Score"))
+    order = lambda frame: sorted(map(str, frame.collect()))
+    judged = quality.judge(docs)
+    assert order(judged.select(*quality.OWN)) == order(quality.judge(odd_docs).select(*quality.OWN))
+    assert judged.columns == [*[c for c in docs.columns if c != "N_WORDS"], *quality.OWN]
+    model = langid.train(odd_docs)
+    own = ["held_out", "lang_pred", "score"]
+    named = langid.identify(docs, model)
+    assert order(named.select(*own)) == order(langid.identify(odd_docs, model).select(*own))
+    assert named.columns == [*[c for c in docs.columns if c != "Score"], *own]
+    assert langid.identify(docs).count() == docs.count()
