@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import days_before, within
-from shelfwise.operators.positions import DESCRIPTION, PAIR
+from shelfwise.operators.positions import (
+    DESCRIPTION,
+    PAIR,
+    POSITION_COLUMNS,
+    position_measures,
+)
 from shelfwise.schemas import as_double
 
 HISTORY_DAYS = 90
@@ -16,24 +21,13 @@ WINDOWS = (7, 14, 30)
 _MASK_BITS = 63  # days as_of-30 .. as_of+32 fit one BIGINT
 
 
-def consumption_metrics(
-    daily: DataFrame, as_of: dt.date, group_by_codes_only: bool = False
-) -> DataFrame:
-    """Averages, totals and deviations of daily issues over 7, 14 and 30 days.
-
-    Averages and deviations run over record days (a missing day is not a zero day). By
-    default the names take part in the grouping, so a renamed item yields two rows;
-    ``group_by_codes_only`` keeps one row per pair and the greatest of each name.
+def _issue_measures(as_of: dt.date, recent: Column | None = None) -> list[Column]:
+    """The aggregates behind ``_metrics``, over the rows of the last 90 days.
 
-    Movement days up to 32 days past the as-of date are counted by OR-ing one bit per
-    day, which combines map-side like any sum. COUNT(DISTINCT date) over all of them would
-    make the date a shuffle key of every row; here it only sees the dates past the mask,
-    which can only be future-dated records, and is NULL for all others.
+    ``recent`` marks these rows where others take part in the aggregation.
     """
-    keys = PAIR if group_by_codes_only else PAIR + DESCRIPTION
-    issues, date = F.col("issues"), F.col("record_date")
-    recent = daily.filter(within(date, as_of, HISTORY_DAYS)).withColumns(as_double("issues"))
-
+    issues, date = F.col("issues").cast("double"), F.col("record_date")
+    counted = (lambda value: value) if recent is None else (lambda value: F.when(recent, value))
     mask_start = as_of - dt.timedelta(days=30)
     mask_end = mask_start + dt.timedelta(days=_MASK_BITS - 1)
     moved = issues > 0
@@ -41,43 +35,101 @@ def consumption_metrics(
     day_bit = F.call_function(
         "shiftleft", F.lit(1).cast("bigint"), F.datediff(date, F.lit(mask_start))
     )
-
     measures = []
     for days in WINDOWS:
         in_window = F.when(within(date, as_of, days), issues)
         measures += [
             F.avg(in_window).alias(f"avg_daily_issue_{days}d"),
-            F.sum(F.when(within(date, as_of, days), issues).otherwise(0.0)).alias(
+            F.sum(counted(F.when(within(date, as_of, days), issues).otherwise(0.0))).alias(
                 f"total_issues_{days}d"
             ),
             F.stddev_samp(in_window).alias(f"stddev_issues_{days}d"),
         ]
-    if group_by_codes_only:
-        measures += [F.max(name).alias(name) for name in DESCRIPTION]
-    per_pair = recent.groupBy(*keys).agg(
+    return [
         *measures,
         F.bit_or(F.when(in_mask, day_bit)).alias("_day_mask"),
         F.count_distinct(F.when(moved & (date > F.lit(mask_end)), date)).alias("_days_beyond"),
-        F.max(F.when(moved, date)).alias("last_movement_date"),
-    )
-    metric_names = [
+        F.max(counted(F.when(moved, date))).alias("last_movement_date"),
+    ]
+
+
+def _metrics(as_of: dt.date) -> list[Column]:
+    """The metrics of a pair from its ``_issue_measures``."""
+    names = [
         f"{kind}_{days}d"
         for days in WINDOWS
         for kind in ("avg_daily_issue", "total_issues", "stddev_issues")
     ]
-    return per_pair.select(
+    return [
+        *[F.col(name) for name in names],
+        (F.coalesce(F.bit_count("_day_mask"), F.lit(0)) + F.col("_days_beyond"))
+        .cast("bigint")
+        .alias("days_with_movement_30d"),
+        F.col("last_movement_date"),
+        F.datediff(F.lit(as_of), F.col("last_movement_date")).alias("days_since_last_movement"),
+    ]
+
+
+def consumption_metrics(
+    daily: DataFrame, as_of: dt.date, group_by_codes_only: bool = False
+) -> DataFrame:
+    """Averages, totals and deviations of daily issues over 7, 14 and 30 days.
+
+    Averages and deviations run over record days (a missing day is not a zero day). By
+    default the names take part in the grouping, so a renamed item yields two rows;
+    ``group_by_codes_only`` keeps one row per pair and the greatest of each name.
+
+    Movement days up to 32 days past the as-of date are counted by OR-ing one bit per
+    day, which combines map-side like any sum. COUNT(DISTINCT date) over all of them would
+    make the date a shuffle key of every row; here it only sees the dates past the mask,
+    which can only be future-dated records, and is NULL for all others.
+    """
+    keys = PAIR if group_by_codes_only else PAIR + DESCRIPTION
+    recent = daily.filter(within(F.col("record_date"), as_of, HISTORY_DAYS))
+    measures = _issue_measures(as_of)
+    if group_by_codes_only:
+        measures += [F.max(name).alias(name) for name in DESCRIPTION]
+    return recent.groupBy(*keys).agg(*measures).select(
         "location_code",
         "location_name",
         "item_code",
         "item_name",
         "item_category",
         "unit_of_measure",
-        *metric_names,
-        (F.coalesce(F.bit_count("_day_mask"), F.lit(0)) + F.col("_days_beyond"))
-        .cast("bigint")
-        .alias("days_with_movement_30d"),
-        "last_movement_date",
-        F.datediff(F.lit(as_of), F.col("last_movement_date")).alias("days_since_last_movement"),
+        *_metrics(as_of),
+    )
+
+
+def position_with_consumption(daily: DataFrame, as_of: dt.date) -> DataFrame:
+    """The latest position of every pair with its consumption, from one pass over the records.
+
+    Equals ``latest_stock_position`` left-joined to ``consumption_metrics``: a pair whose names
+    changed within 90 days has a row for each of them. Both aggregations share their keys, so
+    one takes all rows for the position and those of the last 90 days for the consumption.
+    What is left, a row for each name a pair ever had, goes by pair once.
+    """
+    recent = within(F.col("record_date"), as_of, HISTORY_DAYS)
+    named = daily.filter(F.col("record_date").isNotNull()).groupBy(*PAIR, *DESCRIPTION).agg(
+        *position_measures(daily),
+        F.max(recent).alias("_recent"),
+        *_issue_measures(as_of, recent),
+    )
+    details = [name for name in POSITION_COLUMNS if name not in PAIR]
+    newest_first = Window.partitionBy(*PAIR).orderBy(
+        F.desc("recency"), *[F.desc(name) for name in details]
+    )
+    whole = newest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    chosen = F.first(F.struct(*details)).over(whole)
+    placed = named.select(
+        "*",
+        chosen.alias("_position"),
+        F.max("_recent").over(whole).alias("_any_recent"),
+        F.row_number().over(newest_first).alias("_rank"),
+    )
+    kept = F.col("_recent") | (~F.col("_any_recent") & (F.col("_rank") == 1))
+    return placed.filter(kept).select(
+        *[F.col(name if name in PAIR else f"_position.{name}") for name in POSITION_COLUMNS],
+        *_metrics(as_of),
     )
 
 

@@ -9,10 +9,24 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import labels, stock
 from shelfwise.functions.nulls import number_or_zero
-from shelfwise.operators.consumption import consumption_metrics
+from shelfwise.operators.consumption import (
+    WINDOWS,
+    consumption_metrics,
+    position_with_consumption,
+)
 from shelfwise.operators.positions import PAIR, latest_stock_position
 
 
+#: What the classification takes from the consumption metrics.
+_USAGE = (
+    *[f"avg_daily_issue_{days}d" for days in WINDOWS],
+    *[f"total_issues_{days}d" for days in WINDOWS],
+    "days_with_movement_30d",
+    "last_movement_date",
+    "days_since_last_movement",
+)
+
+
 def join_metrics(
     position: DataFrame,
     consumption: DataFrame,
@@ -23,22 +37,27 @@ def join_metrics(
 ) -> DataFrame:
     """Latest position with its consumption, master data and per-pair overrides.
 
+    For positions and consumption that lie in tables of their own.
+    """
+    usage = consumption.select(*PAIR, *_USAGE)
+    return with_masters(
+        position.join(usage, list(PAIR), "left"), items, locations, params, as_of
+    )
+
+
+def with_masters(
+    pairs: DataFrame,
+    items: DataFrame,
+    locations: DataFrame,
+    params: DataFrame,
+    as_of: dt.date,
+) -> DataFrame:
+    """Positions with consumption, joined to master data and per-pair overrides.
+
     No join is hinted: masters below the broadcast threshold are broadcast by their
     measured size, larger ones take a sort-merge join that adaptive execution splits where
     one item or location is hot. The joins per pair come first and share one shuffle.
     """
-    usage = consumption.select(
-        *PAIR,
-        stock.effective_daily_issue(
-            F.col("avg_daily_issue_14d"), F.col("avg_daily_issue_7d"), F.col("avg_daily_issue_30d")
-        ).alias("_daily_issue"),
-        "total_issues_7d",
-        "total_issues_14d",
-        "total_issues_30d",
-        "days_with_movement_30d",
-        "last_movement_date",
-        "days_since_last_movement",
-    )
     item_facts = items.select(
         "item_code",
         "default_lead_time_days",
@@ -57,12 +76,14 @@ def join_metrics(
         F.col("max_stock_level").cast("double").alias("_max_stock_level"),
     )
     closing, use = F.col("closing_stock"), F.col("avg_daily_issue")
+    daily_issue = stock.effective_daily_issue(
+        F.col("avg_daily_issue_14d"), F.col("avg_daily_issue_7d"), F.col("avg_daily_issue_30d")
+    )
     return (
-        position.join(usage, list(PAIR), "left")
-        .join(overrides, list(PAIR), "left")
+        pairs.join(overrides, list(PAIR), "left")
         .join(item_facts, "item_code", "left")
         .join(location_facts, "location_code", "left")
-        .withColumn("avg_daily_issue", F.coalesce(F.col("_daily_issue"), F.lit(0.0)))
+        .withColumn("avg_daily_issue", F.coalesce(daily_issue, F.lit(0.0)))
         .select(
             "location_code",
             "location_name",
@@ -113,7 +134,13 @@ def stock_health_metrics(
     as_of: dt.date,
     group_by_codes_only: bool = False,
 ) -> DataFrame:
-    """Position, consumption, cover and stock-out forecast of every pair."""
+    """Position, consumption, cover and stock-out forecast of every pair.
+
+    One pass over the records; grouping by codes only needs a second one.
+    """
+    if not group_by_codes_only:
+        pairs = position_with_consumption(daily, as_of)
+        return with_masters(pairs, items, locations, params, as_of)
     return join_metrics(
         latest_stock_position(daily),
         consumption_metrics(daily, as_of, group_by_codes_only),

@@ -48,6 +48,17 @@ POSITION_COLUMNS = (
 )
 
 
+def position_measures(daily: DataFrame) -> list[Column]:
+    """The aggregates that find a pair's most recent record, with its recency."""
+    recency = _recency(daily)
+    return [
+        F.max(recency).alias("recency"),
+        F.max("record_date").alias("latest_date"),
+        F.max_by(F.col("closing_stock").cast("double"), recency).alias("closing_stock"),
+        F.max_by("lead_time_days", recency).alias("lead_time_days"),
+    ]
+
+
 def position_candidates(daily: DataFrame) -> DataFrame:
     """The most recent record per pair and description, with its recency.
 
@@ -56,15 +67,8 @@ def position_candidates(daily: DataFrame) -> DataFrame:
     """
     return (
         daily.filter(F.col("record_date").isNotNull())
-        .withColumns(as_double("closing_stock"))
-        .withColumn("recency", _recency(daily))
         .groupBy(*PAIR, *DESCRIPTION)
-        .agg(
-            F.max("recency").alias("recency"),
-            F.max("record_date").alias("latest_date"),
-            F.max_by("closing_stock", "recency").alias("closing_stock"),
-            F.max_by("lead_time_days", "recency").alias("lead_time_days"),
-        )
+        .agg(*position_measures(daily))
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.operators import alerts, rollups
 from shelfwise.operators.consumption import consumption_metrics
-from shelfwise.operators.health import classify, join_metrics
+from shelfwise.operators.health import classify, join_metrics, stock_health_metrics
 from shelfwise.operators.positions import latest_stock_position
 from shelfwise.operators.reorder import reorder_recommendations
 from shelfwise.sources.derive import StockTables
@@ -28,8 +28,8 @@ def build_views(tables: StockTables, as_of: dt.date) -> dict[str, DataFrame]:
     """All analytic views of the chain, lazily."""
     position = latest_stock_position(tables.daily)
     consumption = consumption_metrics(tables.daily, as_of)
-    metrics = join_metrics(
-        position, consumption, tables.items, tables.locations, tables.params, as_of
+    metrics = stock_health_metrics(
+        tables.daily, tables.items, tables.locations, tables.params, as_of
     )
     return {
         "v_latest_stock_position": position,

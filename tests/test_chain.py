@@ -73,6 +73,18 @@ def test_plans_of_the_core_operators(spark, stock, tmp_path):
             assert word not in plan
 
 
+def test_metrics_take_one_scan_and_one_exchange_by_pair(spark, stock, tmp_path):
+    stock.daily.withColumn("stock_record_id", F.lit(1).cast("long")).write.parquet(
+        str(tmp_path / "facts")
+    )
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    plan = _plan(consumption.position_with_consumption(facts, stock.as_of))
+    assert plan.count("FileScan") == 1
+    by_pair = re.findall(r"hashpartitioning\(location_code#\d+, item_code#\d+, (\d+)\)", plan)
+    assert len(by_pair) == 1 and plan.count("Exchange") == 3  # by name, by beyond-mask date, by pair
+    assert "SortAggregate" not in plan and "Join" not in plan
+
+
 def test_ranks_are_cut_before_the_shuffle(spark, stock, tmp_path):
     stock.health.write.parquet(str(tmp_path / "health"))
     plan = _plan(transfers.transfer_suggestions(spark.read.parquet(str(tmp_path / "health"))))
