@@ -953,6 +953,9 @@ FROM (SELECT *, count(DISTINCT action) OVER (PARTITION BY record_date, location_
        WHERE record_date >= {AS_OF} - {RETENTION_DAYS}
      EXCEPT SELECT {columns}, 'INSERT' FROM daily WHERE record_date < {AS_OF} - 7)))"""
     sql["stream_refresh"] = "SELECT * FROM health"
+    sql["stream_changes"] = "SELECT *, CAST(1 AS BIGINT) AS copies FROM health"
+    sql["refreshed_consumption"] = sql["consumption_metrics"]
+    sql["published_rollup"] = sql["location_risk_summary"]
     sql["stream_consumption"] = """
 SELECT day - CAST(back AS INTEGER) AS window_start, day - CAST(back AS INTEGER) + 7 AS window_end,
   location_code, item_code, round(sum(issues), 4) AS issues,

@@ -14,7 +14,6 @@ from shelfwise.operators.positions import (
     POSITION_COLUMNS,
     position_measures,
 )
-from shelfwise.schemas import as_double
 
 HISTORY_DAYS = 90
 WINDOWS = (7, 14, 30)
@@ -127,9 +126,87 @@ def position_with_consumption(daily: DataFrame, as_of: dt.date) -> DataFrame:
         F.row_number().over(newest_first).alias("_rank"),
     )
     kept = F.col("_recent") | (~F.col("_any_recent") & (F.col("_rank") == 1))
-    return placed.filter(kept).select(
-        *[F.col(name if name in PAIR else f"_position.{name}") for name in POSITION_COLUMNS],
-        *_metrics(as_of),
+    moved = F.when(F.col("_recent"), F.col("days_with_movement_30d"))
+    return (
+        placed.filter(kept)
+        .select(
+            *[F.col(name if name in PAIR else f"_position.{name}") for name in POSITION_COLUMNS],
+            *_metrics(as_of),
+            "_recent",
+        )
+        .withColumn("days_with_movement_30d", moved)
+        .drop("_recent")
+    )
+
+
+def day_partials(daily: DataFrame, since: dt.date) -> DataFrame:
+    """Mergeable sums of issues per pair, names and day from a date on.
+
+    Records, sum, sum of squares and whether anything moved: what ``metrics_of_partials``
+    needs, in one row a day however many records it has.
+    """
+    issues = F.col("issues").cast("double")
+    return daily.filter(F.col("record_date") >= F.lit(since)).groupBy(
+        *PAIR, *DESCRIPTION, "record_date"
+    ).agg(
+        F.count(issues).alias("records"),
+        F.sum(issues).alias("total"),
+        F.sum(issues * issues).alias("squares"),
+        F.coalesce(F.max(issues > 0), F.lit(False)).alias("moved"),
+    )
+
+
+def merge_partials(partials: DataFrame, since: dt.date) -> DataFrame:
+    """Partials of several sets of records as one; days before a date leave."""
+    return partials.filter(F.col("record_date") >= F.lit(since)).groupBy(
+        *PAIR, *DESCRIPTION, "record_date"
+    ).agg(
+        F.sum("records").alias("records"),
+        F.sum("total").alias("total"),
+        F.sum("squares").alias("squares"),
+        F.max("moved").alias("moved"),
+    )
+
+
+def metrics_of_partials(partials: DataFrame, as_of: dt.date) -> DataFrame:
+    """``consumption_metrics`` from day partials, one row a day and name of a pair."""
+    date = F.col("record_date")
+    measures, ready = [], []
+    for days in WINDOWS:
+        inside = within(date, as_of, days)
+        n, total, squares = (F.col(f"_{name}_{days}") for name in ("n", "total", "squares"))
+        measures += [
+            F.sum(F.when(inside, F.col("records")).otherwise(0)).alias(f"_n_{days}"),
+            F.sum(F.when(inside, F.col("total")).otherwise(0.0)).alias(f"_total_{days}"),
+            F.sum(F.when(inside, F.col("squares")).otherwise(0.0)).alias(f"_squares_{days}"),
+        ]
+        apart = F.greatest(squares - total * total / n, F.lit(0.0))
+        ready += [
+            F.when(n > 0, total / n).alias(f"avg_daily_issue_{days}d"),
+            total.alias(f"total_issues_{days}d"),
+            F.when(n > 1, F.sqrt(apart / (n - 1))).alias(f"stddev_issues_{days}d"),
+        ]
+    moved = F.when(F.col("moved"), date)
+    sums = (
+        partials.filter(within(date, as_of, HISTORY_DAYS))
+        .groupBy(*PAIR, *DESCRIPTION)
+        .agg(
+            *measures,
+            F.count(F.when(within(date, as_of, 30), moved)).alias("days_with_movement_30d"),
+            F.max(moved).alias("last_movement_date"),
+        )
+    )
+    return sums.select(
+        "location_code",
+        "location_name",
+        "item_code",
+        "item_name",
+        "item_category",
+        "unit_of_measure",
+        *ready,
+        "days_with_movement_30d",
+        "last_movement_date",
+        F.datediff(F.lit(as_of), F.col("last_movement_date")).alias("days_since_last_movement"),
     )
 
 
@@ -143,23 +220,22 @@ def demand_forecast(
     """Moving average of the last ``window`` record days, carried over the next days.
 
     The record days may lie any time before ``as_of``; ``history_days`` limits how far back
-    records are read, at the price of pairs with fewer record days in that time. Records
-    of one day are summed first, which bounds a pair to one row per day, and the ranks are
-    cut map-side.
+    records are read, at the price of pairs with fewer record days in that time. A day among
+    the newest of all is among the newest of every task that has it, so each task keeps only the
+    records of its own newest days of a pair, whatever the length of the history; what is left is
+    shuffled once, by pair, and summed by day there.
     """
     known = F.col("record_date") <= F.lit(as_of)
     if history_days is not None:
         known &= F.col("record_date") >= days_before(as_of, history_days)
-    by_day = (
+    newest_first = Window.partitionBy(*PAIR).orderBy(F.col("record_date").desc())
+    average = (
         daily.filter(known)
-        .withColumns(as_double("issues"))
+        .select(*PAIR, "record_date", F.col("issues").cast("double").alias("issues"))
+        .withColumn("_day", F.dense_rank().over(newest_first))
+        .filter(F.col("_day") <= window)
         .groupBy(*PAIR, "record_date")
         .agg(F.sum("issues").alias("issues"))
-    )
-    newest_first = Window.partitionBy(*PAIR).orderBy(F.col("record_date").desc())
-    average = (
-        by_day.withColumn("_rank", F.row_number().over(newest_first))
-        .filter(F.col("_rank") <= window)
         .groupBy(*PAIR)
         .agg(F.avg("issues").alias("forecast_daily_issue"))
     )

@@ -8,7 +8,6 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.schemas import as_double
 
 PAIR = ("location_code", "item_code")
 DESCRIPTION = ("location_name", "item_name", "item_category", "unit_of_measure")
@@ -72,6 +71,16 @@ def position_candidates(daily: DataFrame) -> DataFrame:
     )
 
 
+def merge_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates of several sets of records as one row per pair and description."""
+    return candidates.groupBy(*PAIR, *DESCRIPTION).agg(
+        F.max("recency").alias("recency"),
+        F.max("latest_date").alias("latest_date"),
+        F.max_by("closing_stock", "recency").alias("closing_stock"),
+        F.max_by("lead_time_days", "recency").alias("lead_time_days"),
+    )
+
+
 def choose_positions(candidates: DataFrame) -> DataFrame:
     """One position per pair: a renamed item or location leaves several candidates.
 

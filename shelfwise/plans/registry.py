@@ -824,6 +824,43 @@ def stream_refresh(stock: Stock) -> DataFrame:
     return refresh.health().drop("calculated_timestamp")
 
 
+@query
+def stream_changes(stock: Stock) -> DataFrame:
+    """What the change feed of all batches adds up to: one copy of every classified pair."""
+    refresh = _refresher(stock)
+    refresh.start(every=None, files_per_batch=2).awaitTermination()
+    feed = refresh.changes()
+    logged = ("version", "batch_id", "change_type", "action", "copies")
+    columns = [name for name in feed.columns if name not in logged]
+    signed = F.when(F.col("action") == "INSERT", F.col("copies")).otherwise(-F.col("copies"))
+    return feed.groupBy(*columns).agg(F.sum(signed).alias("copies")).filter("copies != 0")
+
+
+@query
+def refreshed_consumption(stock: Stock) -> DataFrame:
+    """Consumption from the day partials that the batches of a stream left."""
+    refresh = _refresher(stock)
+    refresh.start(every=None, files_per_batch=2).awaitTermination()
+    partials = refresh.tables.read(refresh.tables.version(), "partials")
+    return _rounded(
+        consumption.metrics_of_partials(partials, stock.as_of),
+        6,
+        "stddev_issues_7d",
+        "stddev_issues_14d",
+        "stddev_issues_30d",
+    )
+
+
+@query
+def published_rollup(stock: Stock) -> DataFrame:
+    """Location risk as published behind the last version of the stream."""
+    refresh = _refresher(stock)
+    refresh.start(every=None, files_per_batch=4).awaitTermination()
+    for follower in refresh.start_rollups({"location_risk_summary": "once"}).values():
+        follower.awaitTermination()
+    return refresh.rollup_table("location_risk_summary")
+
+
 @query
 def stream_alerts(stock: Stock) -> DataFrame:
     """Alerts logged while all records stream in as one batch."""

@@ -85,6 +85,15 @@ def test_metrics_take_one_scan_and_one_exchange_by_pair(spark, stock, tmp_path):
     assert "SortAggregate" not in plan and "Join" not in plan
 
 
+def test_forecast_cuts_days_before_its_only_shuffle(spark, stock, tmp_path):
+    stock.daily.write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    plan = _plan(consumption.demand_forecast(facts, stock.as_of))
+    assert plan.count("Exchange") == 1
+    before = plan[plan.index("Exchange"):]
+    assert "WindowGroupLimit" in before and "dense_rank" in before and ", 14, Partial" in before
+
+
 def test_ranks_are_cut_before_the_shuffle(spark, stock, tmp_path):
     stock.health.write.parquet(str(tmp_path / "health"))
     plan = _plan(transfers.transfer_suggestions(spark.read.parquet(str(tmp_path / "health"))))

@@ -1,9 +1,16 @@
 import datetime as dt
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfwise.operators import consumption, positions
 from shelfwise.sources import writers
 from shelfwise.streaming.changes import change_capture
 from shelfwise.streaming.consumption import running_consumption
 from shelfwise.streaming.refresh import StockRefresh
+from shelfwise.streaming.versions import VersionedTables
 from tests.fixtures import TODAY, classified, daily, empty_masters, records
 
 KEYS = ("record_date", "location_code", "item_code")
@@ -134,3 +141,180 @@ def test_a_new_day_ages_all_pairs_and_replays_nothing(spark, tmp_path):
     alerts = refresh.alerts().collect()
     assert {r["item_code"] for r in alerts if r["alert_date"] == day[0]} <= {"I2"}
     assert len({r["batch_id"] for r in alerts}) <= 2
+
+
+def _waves():
+    waves = [
+        [row for n in range(8) for row in
+         records([40, 20, 3], item_code=f"I{n}", issues=float(n), closing_stock=30.0)],
+        records([50, 1], item_code="I3", issues=9.0, closing_stock=2.0)
+        + records([0], item_code="I5", item_name="Renamed", issues=1.0, closing_stock=0.0),
+        records([2, 2], item_code="I3", issues=4.0) + records([0], item_code="NEW", issues=2.0),
+    ]
+    for number, wave in enumerate(waves):
+        for n, row in enumerate(wave):
+            row["stock_record_id"] = number * 1000 + n
+    return waves
+
+
+def test_readers_see_one_whole_version_during_a_refresh(spark, tmp_path, monkeypatch):
+    waves = _waves()
+    refresh = _refresh(spark, tmp_path, daily(spark, waves[0]).schema)
+    with pytest.raises(LookupError):
+        refresh.health()
+    # No fact folder exists: what a batch needs is in the tables and the batch itself.
+    refresh.refresh(daily(spark, waves[0]), 0)
+    opened = refresh.health()  # planned now, read after the next version is there
+    before = classified(spark, waves[0])
+
+    publish = VersionedTables.publish
+
+    def lost(tables, version):
+        raise OSError("the writer is lost before its version is published")
+
+    monkeypatch.setattr(VersionedTables, "publish", lost)
+    with pytest.raises(OSError):
+        refresh.refresh(daily(spark, waves[1]), 1)
+    _same_rows(refresh.health(), before)
+    monkeypatch.setattr(VersionedTables, "publish", publish)
+    for _ in range(2):  # the batch is repeated, once more after it was published
+        refresh.refresh(daily(spark, waves[1]), 1)
+        _same_rows(refresh.health(), classified(spark, waves[0] + waves[1]))
+    _same_rows(opened, before)
+    _same_rows(refresh.health(1), before)
+
+    refresh.refresh(daily(spark, waves[2]), 2)
+    refresh.tables.expire(keep=2)
+    assert refresh.tables.numbers() == [2, 3]
+    _same_rows(refresh.health(2), classified(spark, waves[0] + waves[1]))
+    _same_rows(refresh.health(), classified(spark, sum(waves, [])))
+
+
+def test_positions_hold_one_row_a_pair_and_name(spark, tmp_path):
+    waves = _waves()
+    refresh = _refresh(spark, tmp_path, daily(spark, waves[0]).schema)
+    for number, wave in enumerate(waves):
+        refresh.refresh(daily(spark, wave), number)
+    now = refresh.tables.version()
+    kept = refresh.tables.read(now, "positions")
+    assert kept.count() == kept.select("location_code", "item_code", "item_name").distinct().count() == 10
+    partials = refresh.tables.read(now, "partials")
+    assert partials.count() == partials.select("item_code", "item_name", "record_date").distinct().count()
+
+
+def test_partials_give_the_consumption_of_all_records(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in range(400):
+        rows += records(
+            [rng.randint(-40, 130)], item_code=f"I{rng.randint(0, 8)}",
+            item_name=rng.choice(["A", "A", "B", None]), stock_record_id=n,
+            issues=rng.choice([0.0, None, 1.5, float(rng.randint(1, 90))]),
+        )
+    rows += records([5, 6], item_code="only nulls", issues=None)
+    since = TODAY - dt.timedelta(days=90)
+    parts = [consumption.day_partials(daily(spark, rows[i::3]), since) for i in range(3)]
+    merged = consumption.merge_partials(parts[0].unionByName(parts[1]).unionByName(parts[2]), since)
+    got = consumption.metrics_of_partials(merged, TODAY)
+    expected = consumption.consumption_metrics(daily(spark, rows), TODAY)
+    assert got.columns == expected.columns
+    rounded = lambda frame: sorted(
+        str([round(v, 7) if isinstance(v, float) else v for v in row]) for row in frame.collect()
+    )
+    assert rounded(got) == rounded(expected)
+    # days that left the window are gone, and a later day needs no others
+    later = TODAY + dt.timedelta(days=30)
+    evicted = consumption.merge_partials(merged, later - dt.timedelta(days=90))
+    assert evicted.count() < merged.count()
+    assert rounded(consumption.metrics_of_partials(evicted, later)) == rounded(
+        consumption.consumption_metrics(daily(spark, rows), later)
+    )
+
+
+def test_one_pass_equals_position_joined_to_consumption(spark):
+    rng = random.Random(9)
+    rows = []
+    for n in range(300):
+        rows += records(
+            [rng.choice([rng.randint(-5, 89), rng.randint(91, 300)])],
+            item_code=f"I{rng.randint(0, 30)}", item_name=rng.choice(["A", "A", "A", "B", None]),
+            stock_record_id=n, closing_stock=float(rng.randint(0, 9)),
+            issues=rng.choice([0.0, None, 3.0]),
+        )
+    rows += records([200], item_code="old") + records([300], item_code="older", item_name="Z")
+    rows.append({**rows[0], "record_date": None})
+    frame = daily(spark, rows)
+    usage = consumption.consumption_metrics(frame, TODAY).drop(
+        "location_name", "item_name", "item_category", "unit_of_measure"
+    )
+    expected = positions.latest_stock_position(frame).join(usage, ["location_code", "item_code"], "left")
+    got = consumption.position_with_consumption(frame, TODAY)
+    assert set(got.columns) == set(expected.columns)
+    same = sorted(got.columns)
+    text = lambda found: sorted(str(tuple(r)) for r in found.select(*same).collect())
+    assert text(got) == text(expected)
+
+
+def test_the_change_feed_adds_up_to_the_end_states(spark, tmp_path):
+    waves = _waves()
+    schema = daily(spark, waves[0]).schema
+    states = []
+    for wave in waves:
+        writers.append_daily_stock(daily(spark, wave), str(tmp_path / "facts"))
+        refresh = _refresh(spark, tmp_path, schema)  # restarted for every batch
+        refresh.start(every=None).awaitTermination()
+        states.append(refresh.health().drop("calculated_timestamp"))
+    feed = refresh.changes()
+    columns = states[0].columns
+    text = lambda frame: sorted(map(str, frame.select(*columns, "change_type", "action", "copies").collect()))
+    before = states[0].limit(0)
+    for number, after in enumerate(states):
+        expected = change_capture(before, after, ("location_code", "item_code"))
+        assert text(feed.filter(F.col("batch_id") == number)) == text(expected)
+        before = after
+    net = feed.groupBy(*columns).agg(
+        F.sum(F.when(F.col("action") == "INSERT", F.col("copies")).otherwise(-F.col("copies"))).alias("n")
+    ).filter("n != 0")
+    assert net.filter("n != 1").count() == 0
+    _same_rows(net.drop("n"), states[-1])
+    out = str(tmp_path / "consumed")
+    refresh.stream_changes().writeStream.format("parquet").option(
+        "checkpointLocation", f"{out}-check"
+    ).trigger(availableNow=True).start(out).awaitTermination()
+    assert spark.read.parquet(out).count() == feed.count()
+
+
+def test_a_rebuild_and_a_stream_count_no_file_twice(spark, tmp_path):
+    waves = _waves()
+    refresh = _refresh(spark, tmp_path, daily(spark, waves[0]).schema)
+    writers.append_daily_stock(daily(spark, waves[0]), refresh.fact_path)
+    refresh.rebuild()
+    refresh.start(every=None).awaitTermination()  # meets the files of the rebuild
+    _same_rows(refresh.health(), classified(spark, waves[0]))
+    writers.append_daily_stock(daily(spark, waves[1]), refresh.fact_path)
+    refresh.rebuild()  # ahead of the stream
+    writers.append_daily_stock(daily(spark, waves[2]), refresh.fact_path)
+    refresh.start(every=None).awaitTermination()
+    _same_rows(refresh.health(), classified(spark, sum(waves, [])))
+
+
+def test_rollups_follow_the_versions_at_their_own_lag(spark, tmp_path):
+    waves = _waves()
+    refresh = _refresh(spark, tmp_path, daily(spark, waves[0]).schema)
+    refresh.refresh(daily(spark, waves[0]), 0)
+    refresh.publish_rollups()
+    refresh.refresh(daily(spark, waves[1]), 1)
+    quick = {"location_risk_summary": "once"}
+    for query in refresh.start_rollups(quick).values():
+        query.awaitTermination()
+    opened = refresh.rollup_table("executive_summary")
+    assert opened.first()["total_items"] == 8  # keeps its own, longer lag
+    refresh.refresh(daily(spark, waves[2]), 2)
+    for _ in range(2):  # the second time nothing new was published
+        for query in refresh.start_rollups({"executive_summary": "once"}).values():
+            query.awaitTermination()
+    assert refresh.rollup_table("executive_summary").first()["total_items"] == 9
+    assert refresh.rollup("executive_summary").numbers() == [1, 2]
+    assert refresh.rollup("location_risk_summary").version().notes == {"of": 2}
+    assert opened.first()["total_items"] == 8  # an open reader keeps its version
+    assert refresh.rollup_table("reorder_recommendations").count() >= 0
