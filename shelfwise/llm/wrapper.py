@@ -1,11 +1,11 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-One page of each host (the least by a hash) gives the wrapper's tree. Every page of the host is
-aligned with it by simple tree matching: two nodes match if their tags and classes agree, and
-the children of matched nodes are aligned in order so that as many nodes as possible match.
-For each wrapper node the values that the pages have there are counted over all pages, as
-hashes and with map-side combine. A node whose pages mostly share their value with other
-pages is constant and becomes template; a node with values of its own is a content slot.
+One page of each host (the least by a hash, of those with no fewer kinds of element than usual)
+gives the wrapper's tree. Every page of the host is aligned with it by simple tree matching: two nodes
+match if their tags and classes agree, and the children of matched nodes are aligned in order so that as
+many nodes as possible match. For each wrapper node the values that different pages have there are
+counted over all pages, as hashes; copies of a page count once. A node whose pages mostly share their value
+with several others is constant and becomes template; a node with values of its own is a content slot.
 The text is taken from each page by aligning it with the finished wrapper again: template
 nodes go, slots and nodes that no wrapper node matches stay.
 
@@ -44,7 +44,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_JOINED = re.compile(r"[-_]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCKS = frozenset(
@@ -57,18 +57,20 @@ OUTSIDE = frozenset(
     "head nav footer aside form script style noscript template iframe svg button select "
     "textarea title menu dialog object canvas".split()
 )
-#: Words of class, id or role that mark the same.
+#: Words of class, id or role that mark the same, alone or joined with each other only
+#: (cookie-notice, but not share-price).
 OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
     "complementary consent contentinfo cookie cookies dialog disqus footer gdpr login menu modal nav "
     "navbar navigation newsletter notice notices pagination popup promo related search share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Elements nested deeper than this are taken as children of the last one above.
 DEPTH = 200
 #: Child lists whose product is larger are aligned greedily by label.
 CELLS = 100_000
-#: Least pages of a host and share of repeated values for a constant node, outside articles
-#: and (of one value) inside.
+#: Least different pages of a host and share of values that so many of them have for a constant
+#: node, outside articles and (of one value) inside.
 LEAST_PAGES, OUTSIDE_SHARE = 4, 0.6
 LEAST_INSIDE, INSIDE_SHARE = 20, 0.95
 
@@ -81,10 +83,12 @@ class Page:
         self.inside = [False]  # in an article or main element
         self.marked = False
         stack, at, tags = [0], 0, self.tags
+        # Open elements below DEPTH: their texts and elements hang on the last one above.
+        deep: list[tuple[str, bool]] = []
         for token in iter(_TOKEN.scanner(source).search, None):
             if token.start() < at:
                 continue
-            if token.start() > at:
+            if token.start() > at and not any(skip for _, skip in deep[-1:]):
                 self.kids[stack[-1]].append(source[at : token.start()])
             at = token.end()
             tag = token["tag"] or token["odd"]
@@ -92,24 +96,33 @@ class Page:
                 tag = tag.lower()
                 if tag in ("html", "body") and len(stack) == 1:
                     continue
-                if tag in BLOCKS:
+                if tag in BLOCKS and not deep:
                     self._close(stack, "p")
                     if tag in ("li", "dt", "dd", "tr", "td", "th"):
                         self._close(stack, tag)
-                node = self._add(stack, tag, token["attrs"] or "")
+                node = self._add(stack, tag, token["attrs"] or "", bool(deep) or len(stack) >= DEPTH)
                 if tag in RAW:
                     end = re.compile(rf"</{tag}[^>]*>", re.I).search(source, at)
                     at = end.end() if end else len(source)
                 elif tag not in VOID and not (token["attrs"] or "").endswith("/"):
-                    if len(stack) < DEPTH:
+                    if len(stack) < DEPTH and not deep:
                         stack.append(node)
+                    else:
+                        deep.append((tag, self.skip[node] or any(skip for _, skip in deep[-1:])))
             elif token["end"]:
                 tag = token["end"].lower()
+                opened = next((i for i in range(len(deep) - 1, -1, -1) if deep[i][0] == tag), None)
+                if opened is not None:
+                    del deep[opened:]
+                    if tag in BLOCKS:  # ends the block, as its own end would
+                        self._add(stack, "hr", "", True)
+                    continue
                 for back in range(len(stack) - 1, 0, -1):
                     if tags[stack[back]] == tag:
                         del stack[back:]
+                        deep.clear()
                         break
-        if at < len(source):
+        if at < len(source) and not any(skip for _, skip in deep[-1:]):
             self.kids[stack[-1]].append(source[at:])
 
     def _close(self, stack: list[int], tag: str) -> None:
@@ -121,16 +134,17 @@ class Page:
             if open_tag in ("table", "ul", "ol", "dl", "div", "article", "section"):
                 return
 
-    def _add(self, stack: list[int], tag: str, attrs: str) -> int:
+    def _add(self, stack: list[int], tag: str, attrs: str, deep: bool = False) -> int:
         node, parent = len(self.tags), stack[-1]
         names = {}
         if attrs:
             names = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMES.finditer(attrs)}
-        words = set(_SPLIT.split(" ".join(names.values()))) if names else frozenset()
         inside = self.inside[parent]
-        outside = tag in OUTSIDE or bool(words & OUTSIDE_NAMES) or (tag == "header" and not inside)
+        named = any(OUTSIDE_NAMES.issuperset(_JOINED.split(w)) for v in names.values() for w in v.split())
+        outside = tag in OUTSIDE or named or (tag == "header" and not inside)
         self.skip.append(self.skip[parent] or outside)
-        article = not self.skip[-1] and (tag in ("article", "main") or names.get("role") == "main")
+        article = tag in ("article", "main") or names.get("role") == "main"
+        article = article and not self.skip[-1] and not deep
         self.marked |= article
         self.inside.append(inside or article)
         self.tags.append(tag)
@@ -336,13 +350,17 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     for batch in batches:
-        rows = [], [], [], []
+        rows = [], [], [], [], []
         hosts, shapes = batch.column("host"), batch.column("shape")
         for i, source in enumerate(batch.column("html")):
             wrapper = _wrapper(shapes[i].as_py(), ())
-            for node, inside, value in slot_values(wrapper, Page(source.as_py() or "")):
-                for column, x in zip(rows, (i, node, inside, value)):
+            text = source.as_py() or ""
+            page = xxhash.xxh64_intdigest(text.encode()) - 2**63
+            for node, inside, value in slot_values(wrapper, Page(text)):
+                for column, x in zip(rows, (i, node, inside, value, page)):
                     column.append(x)
         yield pa.RecordBatch.from_arrays(
             [
@@ -350,8 +368,9 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(rows[1], pa.int32()),
                 pa.array(rows[2], pa.bool_()),
                 pa.array(rows[3], pa.int64()),
+                pa.array(rows[4], pa.int64()),
             ],
-            names=["host", "node", "inside", "value"],
+            names=["host", "node", "inside", "value", "page"],
         )
 
 
@@ -379,18 +398,29 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def induce(rows: DataFrame) -> DataFrame:
     """(host, shape, template): the wrapper of every host of (host, html) rows."""
     spark = rows.sparkSession
+    # How many different kinds of element a page has; the wrapper's page has no fewer than most.
+    kinds = F.regexp_extract_all("html", F.lit(r"<([a-zA-Z][^\s/>]*(?:\s+class=[^\s>]*)?)"), F.lit(1))
+    sized = rows.select("host", "html", F.coalesce(F.size(F.array_distinct(kinds)), F.lit(0)).alias("kinds"))
+    usual = _written(sized.groupBy("host").agg(F.avg("kinds").alias("usual")), "usual")
     order = F.xxhash64("html")
-    pivots = rows.groupBy("host").agg(F.min_by("html", F.struct(order, "html")).alias("html"))
+    pivots = (
+        sized.join(usual, "host")
+        .where(F.col("kinds") >= F.col("usual"))
+        .groupBy("host")
+        .agg(F.min_by("html", F.struct(order, "html")).alias("html"))
+    )
     shapes = _written(pivots.mapInArrow(_shapes, "host string, shape string"), "shapes")
     values = (
         rows.join(shapes, "host")
         .select("host", "html", "shape")
-        .mapInArrow(_slots, "host string, node int, inside boolean, value bigint")
+        .mapInArrow(_slots, "host string, node int, inside boolean, value bigint, page bigint")
     )
-    counted = values.groupBy("host", "node", "inside", "value").count()
+    # Copies of a page are one page; few equal values are copies or chance, not a template.
+    apart = values.distinct()
+    counted = apart.groupBy("host", "node", "inside", "value").count()
     per_node = counted.groupBy("host", "node", "inside").agg(
         F.sum("count").alias("pages"),
-        F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias("repeated"),
+        F.sum(F.when(F.col("count") >= LEAST_PAGES, F.col("count")).otherwise(0)).alias("repeated"),
         F.max("count").alias("most"),
     )
     outside = (F.col("pages") >= LEAST_PAGES) & (F.col("repeated") >= F.col("pages") * OUTSIDE_SHARE)

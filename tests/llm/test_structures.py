@@ -13,6 +13,50 @@ import corpus_pipeline
 from shelfwise.llm import bm25, materialise, packing, queries, simhash, wrapper
 from tests.llm.conftest import SF
 
+# Extraction of pages that differ little
+
+
+def extracted(spark, sources, host="h.org"):
+    rows = [(i, f"http://{host}/{i}", s) for i, s in enumerate(sources)]
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string")
+    return {r["page_id"]: r["text"] for r in wrapper.extract(frame).collect()}
+
+
+def test_copies_keep_their_text(spark):
+    marked = "<body><article><p>one story</p><p>its end</p></article></body>"
+    assert set(extracted(spark, [marked] * 30).values()) == {"one story\n\nits end"}
+    stories = [f"<div>site menu</div><div><p>story {i} begins</p><p>and ends {i}</p></div>" for i in range(10)]
+    mirrored = stories + [s.replace("<body>", "") + f"<div>mirror {i}</div>" for i, s in enumerate(stories)]
+    for i, text in extracted(spark, mirrored).items():
+        assert f"story {i % 10} begins\n\nand ends {i % 10}" in text and "site menu" not in text
+
+
+def test_nothing_is_lost_below_many_elements(spark):
+    nest = "<div>" * 250 + "deep <nav>menu</nav><p>inner</p> rest" + "</div>" * 250
+    page = f"<div><article><p>first</p>{nest}<p>after one</p></article><div>outside</div></div>"
+    text = extracted(spark, [page])[0]
+    assert text.split("\n\n") == ["first", "deep", "inner", "rest", "after one"]
+    unmarked = f"<div><p>first</p>{'<div>' * 300}<article>story</article>{'</div>' * 300}<p>last</p></div>"
+    assert extracted(spark, [unmarked])[0].split("\n\n") == ["first", "story", "last"]
+
+
+def test_an_odd_page_is_no_wrapper(spark):
+    pages = [
+        f"<div class='top'>Buy our lamp now</div><h1>Title {i}</h1><div class='body'><p>Text {i} a</p><p>More {i}</p></div>"
+        for i in range(29)
+    ]
+    for odd in ("", "<p>x", "<html></html>", None):
+        got = extracted(spark, [*pages, odd])
+        assert all("lamp" not in got[i] and f"Text {i} a" in got[i] for i in range(29))
+
+
+def test_class_words_count_alone_or_together(spark):
+    kept = ["share-price", "related-work", "notice-of-award", "search-results", "social-history", "modal-verbs", "ad-hoc"]
+    gone = ["ad", "cookie-notice", "x comments", "social_share"]
+    page = "<article>" + "".join(f"<p class='{c}'>{c} text</p>" for c in kept + gone) + "</article>"
+    assert extracted(spark, [page])[0].split("\n\n") == [f"{c} text" for c in kept]
+
+
 # Packing
 
 
