@@ -1,5 +1,6 @@
 """Packing, extraction, search, training order and the pipeline against plain versions."""
 
+import collections
 import html as html_module
 import json
 import re
@@ -252,6 +253,61 @@ def test_pruned_search_over_shards_is_exact(spark, monkeypatch, texts):
         assert np.allclose([s for _, s in got.get(query, [])], [s for _, s in expected], atol=2e-6)
 
 
+def test_very_long_queries_are_exact(spark, monkeypatch):
+    """Near copies of 20,000 words as queries: scores far above those of common queries."""
+    draw = np.random.default_rng(5)
+    vocabulary = np.array([f"w{n}" for n in range(9_000)])
+    long = draw.choice(vocabulary, 20_000)
+    docs = []
+    for i in range(90):
+        words = long.copy()
+        words[draw.integers(0, len(words), 3 + i % 4)] = draw.choice(vocabulary, 3 + i % 4)
+        docs.append((i, " ".join(words if i % 3 else draw.choice(vocabulary, 40))))
+    counted = {i: collections.Counter(t.split()) for i, t in docs}
+    lengths = {i: sum(c.values()) for i, c in counted.items()}
+    average = sum(lengths.values()) / len(docs)
+    held = collections.Counter(w for c in counted.values() for w in c)
+    idf = {w: np.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in held.items()}
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 50)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    asked = frame.where("doc_id < 8").selectExpr("doc_id AS query_id", "text AS query_text")
+    got = {}
+    for r in bm25.search(frame, asked, 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    for query in range(8):
+        scores = []
+        for i, own in counted.items():
+            norm = 1.2 * (0.25 + 0.75 * lengths[i] / average)
+            total = sum(idf[w] * own[w] * 2.2 / (own[w] + norm) for w in sorted(counted[query]) if w in own)
+            if total:
+                scores.append((-round(total, 6), i))
+        expected = sorted(scores)[:10]
+        assert [d for d, _ in got[query]] == [d for _, d in expected]
+        assert np.allclose([s for _, s in got[query]], [-s for s, _ in expected], atol=2e-6)
+
+
+def test_near_scores_keep_their_margin():
+    """Many rows of one shard: the near totals against double precision."""
+    draw = np.random.default_rng(6)
+    size, terms = 64, 5_000
+    held = draw.random((terms, size)) < 0.5
+    starts = np.concatenate(([0], np.cumsum(held.sum(1))))
+    docs = np.concatenate([np.flatnonzero(row) for row in held])
+    counts = draw.integers(1, 400, len(docs))
+    lengths = np.bincount(docs, counts, size).astype("<i4")
+    row = {
+        "ids": np.arange(size).astype("<i8"), "lengths": lengths, "terms": np.arange(terms).astype("<i8"),
+        "starts": starts.astype("<i8"), "docs": docs.astype("<u2"), "counts": counts.astype("<i4"),
+    }
+    shard = bm25.Shard({name: array.tobytes() for name, array in row.items()}, float(lengths.mean()))
+    weights = draw.random(terms) * 9
+    near = bm25.Searcher(shard)._add(np.zeros(size), np.arange(terms), weights)
+    exact = counts / (counts + shard.norm[docs]) * (bm25.K1 + 1) * np.repeat(weights, np.diff(starts))
+    exact = np.bincount(docs, exact, size)
+    assert exact.max() > 1_000
+    assert (np.abs(near - exact) <= bm25.NEAR * exact).all()
+
+
 def test_search_of_odd_rows(spark, odd_docs, no_docs):
     asked = odd_docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
     rows = bm25.search(odd_docs, asked, 5).collect()
