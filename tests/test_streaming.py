@@ -9,6 +9,7 @@ from shelfwise.operators import consumption, positions
 from shelfwise.sources import writers
 from shelfwise.streaming.changes import change_capture
 from shelfwise.streaming.consumption import running_consumption
+from shelfwise.streaming.late import ConsumptionLog
 from shelfwise.streaming.refresh import StockRefresh
 from shelfwise.streaming.versions import VersionedTables
 from tests.fixtures import TODAY, classified, daily, empty_masters, records
@@ -318,3 +319,70 @@ def test_rollups_follow_the_versions_at_their_own_lag(spark, tmp_path):
     assert refresh.rollup("location_risk_summary").version().notes == {"of": 2}
     assert opened.first()["total_items"] == 8  # an open reader keeps its version
     assert refresh.rollup_table("reorder_recommendations").count() >= 0
+
+
+MOVEMENTS = "ts timestamp, location_code string, item_code string, issues double"
+
+
+def _movements(spark, rows):
+    return spark.createDataFrame(
+        [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), place, item, q) for h, place, item, q in rows], MOVEMENTS
+    )
+
+
+def _plain_windows(rows, days):
+    """(window end as day of the year from 0, pair) -> (issues, movements)."""
+    found = {}
+    for hours, place, item, issues in rows:
+        for end in range(hours // 24 + 1, hours // 24 + days + 1):
+            total, n = found.get((end, place, item), (0.0, 0))
+            found[end, place, item] = total + issues, n + 1
+    return found
+
+
+def _window_rows(frame):
+    return {
+        ((r["window_end"] - dt.date(2024, 1, 1)).days, r["location_code"], r["item_code"]): (r["issues"], r["movements"])
+        for r in frame.collect()
+    }
+
+
+def test_late_rows_correct_closed_windows(spark, tmp_path):
+    rnd = random.Random(3)
+    log = ConsumptionLog(spark, str(tmp_path / "log"), window_days=3)
+    seen, newest = [], 0
+    for number in range(5):
+        rows = [  # each batch reaches further, and back to the first day
+            (rnd.randint(0, 24 * (4 + 4 * number)), f"L{rnd.randint(1, 2)}", rnd.choice(["a", "b", None]), float(rnd.randint(1, 9)))
+            for _ in range(40)
+        ]
+        late = [r for r in rows if number and (r[0] // 24 + 1) * 24 <= (newest - 24) // 24 * 24]
+        log.update(_movements(spark, rows), number)
+        log.update(_movements(spark, rows), number)  # a repeated batch
+        seen += rows
+        newest = max([newest] + [r[0] for r in rows])
+        expected = _plain_windows(seen, 3)
+        closed_to = (newest - 24) // 24
+        assert _window_rows(log.closed()) == {k: v for k, v in expected.items() if k[0] <= closed_to}
+        assert _window_rows(log.still_open()) == {k: v for k, v in expected.items() if k[0] > closed_to}
+        if number:
+            assert late and log.late().filter(F.col("batch_id") == number).count() == len(late)
+
+
+def test_late_rows_of_a_stream_and_batches_that_close_nothing(spark, tmp_path):
+    log = ConsumptionLog(spark, str(tmp_path / "log"), window_days=3)
+    rows = []
+    waves = [[(200, "L1", "a", 1.0)], [(201, "L1", "a", 2.0)], [(0, "L1", "a", 4.0)], [(700, "L1", "a", 8.0)]]
+    for wave in waves:
+        _movements(spark, wave).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(MOVEMENTS).parquet(str(tmp_path / "in"))
+        log.start(source).awaitTermination()
+        rows += wave
+        got = _window_rows(log.closed()) | _window_rows(log.still_open())
+        assert got == _plain_windows(rows, 3)
+    assert [r["issues"] for r in log.late().collect()] == [4.0]
+    log.update(spark.createDataFrame([(None, "L1", "a", 1.0)], MOVEMENTS), 99)
+    log.update(spark.createDataFrame([], MOVEMENTS), 100)
+    assert _window_rows(log.closed()) | _window_rows(log.still_open()) == _plain_windows(rows, 3)
+    with pytest.raises(LookupError):
+        ConsumptionLog(spark, str(tmp_path / "none")).closed()
