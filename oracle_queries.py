@@ -553,6 +553,33 @@ _TOPS = [
 ]
 
 
+_CHECK_ORDER = (
+    "negative_stock", "balance_mismatch", "future_date", "duplicate_records", "missing_location_code",
+    "missing_item_code", "date_gaps", "null_opening_stock", "null_receipts", "null_issues",
+    "null_closing_stock", "large_opening_stock", "large_issues",
+)
+
+
+def _report(verdict: str) -> str:
+    """The numbered lines of the report on a verdict."""
+    found = f"""(SELECT *, row_number() OVER (PARTITION BY level
+    ORDER BY list_position({list(_CHECK_ORDER)}, "check")) AS n FROM ({verdict}) WHERE findings > 0)"""
+    issues = f"(SELECT count(*) FROM {found} WHERE level = 'ISSUE')"
+    warnings = f"(SELECT count(*) FROM {found} WHERE level = 'WARNING')"
+    return f"""
+SELECT CAST(row_number() OVER (ORDER BY part, n) AS INTEGER) AS line_no, line FROM (
+  SELECT 0 AS part, 0 AS n, 'DATA VALIDATION REPORT' AS line
+  UNION ALL SELECT 1, 0, 'Validation ' || CASE WHEN {issues} > 0
+    THEN 'FAILED - critical issues detected' ELSE 'PASSED - no critical issues found' END
+  UNION ALL SELECT 2, 0, ''
+  UNION ALL SELECT 3, 0, 'Critical issues:' || CASE WHEN {issues} > 0 THEN '' ELSE ' none' END
+  UNION ALL SELECT CASE level WHEN 'ISSUE' THEN 3 ELSE 5 END, n,
+    '  ' || n || '. ' || "check" || ': ' || findings FROM {found}
+  UNION ALL SELECT 4, 0, ''
+  UNION ALL SELECT 5, 0, 'Warnings:' || CASE WHEN {warnings} > 0 THEN '' ELSE ' none' END
+  UNION ALL SELECT 6, 0, '')"""
+
+
 def _oracle() -> dict[str, str]:
     scenario_rows = _rows(SCENARIOS)
     compared = ", ".join(_literal(name) for name in COMPARED_LOCATIONS)
@@ -964,7 +991,25 @@ FROM (SELECT CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS location_code,
     event_type AS item_code, sum(value) AS issues, count(*) AS movements
   FROM events GROUP BY 1, 2, 3), range(0, 7) AS days(back)
 GROUP BY 1, 2, 3, 4"""
+    sql["stream_late_rows"] = sql["stream_consumption"]
+    sql["stored_alerts"] = sql["stock_alerts"]
+    sql["bucketed_health"] = "SELECT * FROM health"
     sql["json_round_trip"] = sql["folder_round_trip"] = sql["csv_round_trip"]
+    sql["json_array_round_trip"] = sql["csv_round_trip"]
+    sql["defaults_on_load"] = """
+SELECT record_date, location_code, location_name, item_code, item_name, opening_stock, receipts,
+  issues, CAST(0 AS DOUBLE) AS closing_stock, 'UNITS' AS unit_of_measure, 7 AS lead_time_days
+FROM daily"""
+    sql["footer_summary"] = """
+SELECT count(*) AS record_count, min(record_date) AS earliest_date, max(record_date) AS latest_date
+FROM daily"""
+    sql["archived_partitions"] = f"""
+SELECT CASE WHEN record_date < {AS_OF} - {RETENTION_DAYS} THEN 'archived' ELSE 'kept' END AS part,
+  count(*) AS records, sum(issues) AS issues, min(record_date) AS first_date,
+  max(record_date) AS last_date
+FROM daily GROUP BY 1"""
+    sql["missing_columns_verdict"] = """
+SELECT 'missing_required_columns' AS "check", 'ISSUE' AS level, CAST(2 AS BIGINT) AS findings"""
     sql["low_stock_wide"] = sql["low_stock_today"].replace("< 100", "< 1000")
     sql["filtered_health_list"] = f"""
 SELECT * FROM listed WHERE location_name = 'NATION_9' AND risk_classification = 'HEALTHY'
@@ -1006,6 +1051,7 @@ GROUP BY 1, 2, 3"""
         f"messy_{name}": _messy(sql[name])
         for name in ("quality_verdict", "data_profile", "rule_violations", "master_checks")
     }
+    messy["messy_validation_report"] = _messy(_report(sql["quality_verdict"]))
     messy["messy_duplicate_rows"] = _messy("""
 SELECT record_date, location_code, item_code, closing_stock FROM daily
 QUALIFY count(*) OVER (PARTITION BY record_date, location_code, item_code) > 1""")

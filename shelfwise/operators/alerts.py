@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,6 +179,50 @@ def stock_alerts(health: DataFrame, slice_digits: int = 2) -> DataFrame:
     )
 
 
+def stored_alerts(health: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The numbers and rows of ``stock_alerts``, from ranges of the whole order.
+
+    The alerts are cut into ranges by their order and sorted range by range, so as many tasks share them as
+    the data needs, also where one class and day count has nearly all. A row's number is its
+    place in its range after the sizes of the ranges before. ``keep`` writes a frame and
+    returns what it wrote: places and sizes must come from one and the same cut. The sizes
+    are a row per range, at most ``spark.sql.shuffle.partitions``, hence broadcast.
+    ``health`` is read twice, as ranges are sampled first: pass a materialised frame.
+    """
+    ties = [name for name in ALERT_COLUMNS if name not in ("days_until_stockout", "item_name", "location_name")]
+    order = [
+        F.col("_rank"), F.col("days_until_stockout").asc_nulls_last(), F.md5(F.concat_ws("|", *PAIR)),
+        F.col("item_name"), F.col("location_name"), *map(F.col, ties),
+    ]
+    # Spark numbers rows by partition and, in the low 33 bits, by place in it.
+    place = F.col("_place")
+    ranges = keep(
+        _actionable(health)
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_place", F.monotonically_increasing_id())
+        .select(
+            *ALERT_COLUMNS,
+            F.shiftright(place, 33).alias("_range"),
+            (place.bitwiseAND(F.lit(2**33 - 1)) + 1).alias("_number"),
+        )
+    )
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranges.groupBy("_range")
+        .agg(F.count("*").alias("_size"))
+        .select(
+            F.col("_range").alias("_sized"),
+            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
+        )
+    )
+    return ranges.join(F.broadcast(offsets), F.col("_range") == F.col("_sized")).select(
+        (F.col("_offset") + F.col("_number")).alias("alert_id"),
+        F.current_timestamp().alias("alert_timestamp"),
+        *ALERT_COLUMNS,
+    )
+
+
 def _nulls_last(names) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in names]
 

@@ -37,6 +37,7 @@ from shelfwise.plans.workspace import materialise, own_folder, work_path
 from shelfwise.sources import derive, messy, readers, seed, writers
 from shelfwise.streaming.changes import change_capture
 from shelfwise.streaming.consumption import open_windows, running_consumption
+from shelfwise.streaming.late import ConsumptionLog
 from shelfwise.streaming.refresh import StockRefresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,6 +493,13 @@ def stock_alerts(stock: Stock) -> DataFrame:
     return alerts.stock_alerts(stock.written_health).drop("alert_timestamp")
 
 
+@query
+def stored_alerts(stock: Stock) -> DataFrame:
+    """The same alerts, numbered by ranges of the whole order."""
+    found = alerts.stored_alerts(stock.written_health, lambda rows: materialise(rows, "alerts"))
+    return found.drop("alert_timestamp")
+
+
 @query
 def active_alerts(stock: Stock) -> DataFrame:
     return alerts.active_alerts(stock.health).drop("created_at")
@@ -628,6 +636,21 @@ def messy_master_checks(stock: Stock) -> DataFrame:
     )
 
 
+@query
+def missing_columns_verdict(stock: Stock) -> DataFrame:
+    """The verdict of records that lack two required columns."""
+    return quality.quality_verdict(stock.daily.drop("receipts", "item_code"), stock.as_of)
+
+
+@query
+def messy_validation_report(stock: Stock) -> DataFrame:
+    """The lines of the readable report."""
+    verdict = quality.quality_verdict(messy.messy_records(stock.daily), _earlier(stock))
+    lines = quality.validation_report(verdict).split("\n")
+    rows = [{"line_no": n, "line": line} for n, line in enumerate(lines, 1)]
+    return readers.literal_rows(stock.spark, rows, StructType.fromDDL("line_no int, line string"))
+
+
 @query
 def latest_of_tied_records(stock: Stock) -> DataFrame:
     """Latest order line per location and item; lines of one day tie and ids pass 2^40."""
@@ -725,6 +748,70 @@ def json_round_trip(stock: Stock) -> DataFrame:
     return back.withColumns(schemas.as_double(*schemas.MEASURES))
 
 
+@query
+def json_array_round_trip(stock: Stock) -> DataFrame:
+    """Writes the daily records as JSON arrays and unpacks these."""
+    path = work_path(stock.spark, "json_arrays")
+    fields = schemas.DAILY_STOCK
+    writers.write_json_arrays(stock.daily.select(*_EXPORTED), path)
+    back = readers.read_json(stock.spark, path, StructType([fields[n] for n in _EXPORTED]), multi_line=False)
+    return back.withColumns(schemas.as_double(*schemas.MEASURES))
+
+
+@query
+def defaults_on_load(stock: Stock) -> DataFrame:
+    """Loads files that lack the last columns of the declared schema."""
+    path = work_path(stock.spark, "csv")
+    writers.export_csv(stock.daily.select(*_EXPORTED[:-2]), path)
+    fields = schemas.DAILY_STOCK
+    schema = StructType([fields[name] for name in (*_EXPORTED, "lead_time_days")])
+    back = readers.read_stock_csv(stock.spark, path, schema, schemas.DAILY_STOCK_DEFAULTS)
+    return back.withColumns(schemas.as_double(*schemas.MEASURES))
+
+
+@query
+def footer_summary(stock: Stock) -> DataFrame:
+    """Rows and dates of the stored daily records from their file footers."""
+    path = work_path(stock.spark, "folder")
+    writers.append_daily_stock(stock.daily, path, by_date=False)
+    return writers.footer_summary(stock.spark, path, "record_date")
+
+
+@query
+def bucketed_health(stock: Stock) -> DataFrame:
+    """Classified stock over records stored in buckets by pair."""
+    path = work_path(stock.spark, "by_pair")
+    table = f"daily_by_pair_{path.rsplit('-', 1)[1]}"
+    stored = writers.store_by_pair(stock.daily, table, path, buckets=16)
+    tables = stock.tables
+    found = health.stock_health_classification(
+        stored, tables.items, tables.locations, tables.params, stock.as_of
+    )
+    return found.drop("calculated_timestamp")
+
+
+@query
+def archived_partitions(stock: Stock) -> DataFrame:
+    """Records and dates per part after moving the old days of a table stored by date."""
+    table, archived = work_path(stock.spark, "by_date"), work_path(stock.spark, "archive")
+    writers.append_daily_stock(stock.daily, table, by_date=True)
+    for _ in range(2):
+        writers.archive_partitions(stock.spark, table, archived, stock.as_of, RETENTION_DAYS)
+    parts = [
+        stock.spark.read.schema(stock.daily.schema)
+        .parquet(path)
+        .agg(
+            F.count("*").alias("records"),
+            F.sum("issues").alias("issues"),
+            F.min("record_date").alias("first_date"),
+            F.max("record_date").alias("last_date"),
+        )
+        .withColumn("part", F.lit(name))
+        for name, path in (("archived", archived), ("kept", table))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def folder_round_trip(stock: Stock) -> DataFrame:
     """Loads the daily records by date and reads the folder."""
@@ -869,6 +956,31 @@ def stream_alerts(stock: Stock) -> DataFrame:
     return refresh.alerts().drop("batch_id")
 
 
+def _movements(events: DataFrame) -> DataFrame:
+    """Events as movements: user = location, event type = item."""
+    return events.select(
+        utc_instant(F.col("ts")).alias("ts"),
+        F.col("user_id").cast("string").alias("location_code"),
+        F.col("event_type").alias("item_code"),
+        F.col("value").alias("issues"),
+    )
+
+
+@query
+def stream_late_rows(stock: Stock) -> DataFrame:
+    """Weekly consumption from four batches of the event stream, of which three come late."""
+    spark = stock.spark
+    events = spark.read.schema(derive.INPUT_SCHEMAS["events"]).parquet(f"{stock.sf_dir}/events.parquet")
+    folder = work_path(spark, "events")
+    for part in range(4):
+        mine = events.filter(F.pmod(F.hash("event_id"), F.lit(4)) == part)
+        mine.coalesce(1).write.mode("append").parquet(folder)
+    arriving = readers.stream_folder(spark, folder, derive.INPUT_SCHEMAS["events"], files_per_batch=1)
+    log = ConsumptionLog(spark, work_path(spark, "consumption"))
+    log.start(_movements(arriving)).awaitTermination()
+    return _rounded(log.closed().unionByName(log.still_open()), 4, "issues")
+
+
 @query
 def stream_consumption(stock: Stock) -> DataFrame:
     """Weekly consumption of the event stream: user = location, event type = item."""
@@ -877,23 +989,15 @@ def stream_consumption(stock: Stock) -> DataFrame:
         spark, stock.sf_dir, derive.INPUT_SCHEMAS["events"], glob="events.parquet"
     )
 
-    def movements(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            utc_instant(F.col("ts")).alias("ts"),
-            F.col("user_id").cast("string").alias("location_code"),
-            F.col("event_type").alias("item_code"),
-            F.col("value").alias("issues"),
-        )
-
     out = work_path(spark, "consumption")
-    running_consumption(movements(events)).writeStream.format("parquet").outputMode("append").option(
+    running_consumption(_movements(events)).writeStream.format("parquet").outputMode("append").option(
         "checkpointLocation", f"{out}-checkpoint"
     ).trigger(availableNow=True).start(out).awaitTermination()
     finished = spark.read.schema(derive.INPUT_SCHEMAS["events"]).parquet(
         f"{stock.sf_dir}/events.parquet"
     )
     emitted = spark.read.parquet(out)
-    windows = emitted.unionByName(open_windows(movements(finished), emitted))
+    windows = emitted.unionByName(open_windows(_movements(finished), emitted))
     return _rounded(windows, 4, "issues").withColumns(
         {
             "window_start": utc_date(F.col("window_start")),

@@ -107,7 +107,8 @@ def read_json(
 ) -> DataFrame:
     """JSON files whose outer array (if any) is unpacked into rows, at one task a file.
 
-    Without ``multi_line`` the files hold one object a line and are split among tasks.
+    Without ``multi_line`` the files hold one object, or one array of objects, a line and are
+    split among tasks.
     """
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import days_before
 from shelfwise.operators import rollups
+from shelfwise.sources import readers
 
 
 def append_daily_stock(daily: DataFrame, path: str, by_date: bool = True) -> None:
@@ -31,6 +32,43 @@ def append_daily_stock(daily: DataFrame, path: str, by_date: bool = True) -> Non
     ).write.mode("append").parquet(path)
 
 
+def store_by_pair(daily: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """The fact table in hash buckets by pair, as a table of the catalog; returns it.
+
+    Aggregates and joins by pair then need no exchange of the records, and days
+    lie sorted in the files, so that a trailing window skips row groups. One task reads a bucket: this
+    is for tables whose pairs have a record or so a day, as the daily ledger's have. Where one pair has a
+    large share of all records, ``append_daily_stock`` spreads it.
+    """
+    pair = ("location_code", "item_code")
+    (
+        daily.hint("rebalance", *pair)
+        .write.mode("overwrite")
+        .bucketBy(buckets, *pair)
+        .sortBy("record_date")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return daily.sparkSession.table(table)
+
+
+def write_json_arrays(rows: DataFrame, path: str, array_rows: int = 1_000) -> None:
+    """JSON files whose lines are arrays of at most ``array_rows`` objects.
+
+    Lines can be read by different tasks, which one array a file cannot.
+    """
+    row = F.struct(*[F.col(name) for name in rows.columns])
+    array = F.expr(f"monotonically_increasing_id() DIV {array_rows}")
+    (
+        rows.select(row.alias("row"), array.alias("array"))
+        .groupBy("array")
+        .agg(F.to_json(F.collect_list("row")).alias("value"))
+        .select("value")
+        .write.mode("overwrite")
+        .text(path)
+    )
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
     """INSERT ... SELECT into a plain table: audit log, procurement actions, alert history."""
     rows.write.mode("append").parquet(path)
@@ -132,6 +170,70 @@ def archive(daily: DataFrame, as_of: dt.date, keep_days: int, archive_path: str,
     kept.write.mode("overwrite").parquet(kept_path)
 
 
+def archive_partitions(
+    spark: SparkSession, table_path: str, archive_path: str, as_of: dt.date, keep_days: int
+) -> list[dt.date]:
+    """Moves the date folders past retention out of a table stored by record date; returns their dates.
+
+    Days are kept or go as a whole, so no record is read or written and what is kept keeps its
+    files. Late records of a day that went before join its folder in the archive. A
+    run that was cut off is finished by the next one. Records without a date stay.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    table, gone = hadoop(table_path), hadoop(archive_path)
+    files = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(gone)
+    key, limit, moved = "record_date=", as_of - dt.timedelta(days=keep_days), []
+
+    def move(source, target) -> None:
+        if files.exists(target) or not files.rename(source, target):
+            raise RuntimeError(f"{source} could not be moved to {target}")
+
+    for folder in sorted(status.getPath().getName() for status in files.listStatus(table)):
+        text = folder.removeprefix(key)
+        if not folder.startswith(key) or text == "__HIVE_DEFAULT_PARTITION__":
+            continue
+        day = dt.date.fromisoformat(text)
+        if day >= limit:
+            continue
+        source, target = hadoop(table, folder), hadoop(gone, folder)
+        if files.exists(target):
+            for status in files.listStatus(source):
+                move(status.getPath(), hadoop(target, status.getPath().getName()))
+            files.delete(source, False)
+        else:
+            move(source, target)
+        moved.append(day)
+    return moved
+
+
+#: Spark answers counts and extremes from Parquet footers under these settings.
+FOOTER_SETTINGS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footer_summary(spark: SparkSession, path: str, date_column: str) -> DataFrame:
+    """``table_summary`` of one stored table from its file footers: no row group is read.
+
+    The date must be a column of the files, not of their folders. The settings it needs hold for
+    the session, so the one row is computed here and the settings are put back.
+    """
+    before = {name: spark.conf.get(name) for name in FOOTER_SETTINGS}
+    date = F.col(date_column)
+    try:
+        for name, value in FOOTER_SETTINGS.items():
+            spark.conf.set(name, value)
+        found = spark.read.parquet(path).agg(
+            F.count("*").alias("record_count"),
+            F.min(date).alias("earliest_date"),
+            F.max(date).alias("latest_date"),
+        )
+        row = found.first()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    return readers.literal_rows(spark, [row.asDict()], found.schema)
+
+
 def table_summary(
     tables: dict[str, DataFrame], date_columns: dict[str, str]
 ) -> DataFrame:
