@@ -40,6 +40,44 @@ def test_numbers_equal_one_global_row_number(spark):
     assert kinds == {"STOCK_OUT", "CRITICAL_LOW", "HIGH_RISK", "OVERSTOCK"}
 
 
+def test_one_hot_group_is_numbered_by_many_tasks(spark, tmp_path):
+    def keep(frame):
+        frame.write.parquet(str(tmp_path / "ranges"))
+        return spark.read.schema(frame.schema).parquet(str(tmp_path / "ranges"))
+
+    rows = 400_000
+    frame = health(spark, [{"risk_classification": "CRITICAL", "days_until_stockout": 3}])
+    many = frame.drop("item_code").crossJoin(
+        spark.range(rows).select(F.concat(F.lit("I"), F.col("id")).alias("item_code"))
+    )
+    some = health(spark, [
+        {"item_code": "first", "risk_classification": "OUT_OF_STOCK", "days_until_stockout": None},
+        {"item_code": "last", "risk_classification": "HIGH_RISK", "days_until_stockout": None},
+        {"item_code": "near", "risk_classification": "HIGH_RISK", "days_until_stockout": 9},
+    ])
+    both = many.select(some.columns).unionByName(some)
+    got = alerts.stored_alerts(both, keep)
+    order = Window.orderBy(
+        "_rank", F.col("days_until_stockout").asc_nulls_last(), F.md5(F.concat_ws("|", "location_code", "item_code"))
+    )
+    expected = alerts._actionable(both).withColumn("alert_id", F.row_number().over(order).cast("long"))
+    columns = ["alert_id", "item_code", "severity"]
+    assert got.count() == rows + 3
+    assert got.select(columns).exceptAll(expected.select(columns)).isEmpty()
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "ranges")).groupBy("_range").count().collect()]
+    assert max(sizes) < rows / 2  # adaptive execution chooses how many, by their bytes
+
+
+def test_stored_alerts_of_no_rows_and_equal_rows(spark, tmp_path):
+    def keep(frame):
+        frame.write.mode("overwrite").parquet(str(tmp_path / "ranges"))
+        return spark.read.schema(frame.schema).parquet(str(tmp_path / "ranges"))
+
+    same = health(spark, [{"risk_classification": "CRITICAL", "days_until_stockout": 3}] * 5)
+    assert sorted(r["alert_id"] for r in alerts.stored_alerts(same, keep).collect()) == [1, 2, 3, 4, 5]
+    assert alerts.stored_alerts(same.limit(0), keep).count() == 0
+
+
 def test_texts(spark):
     rows = [
         {"item_code": "a", "risk_classification": "OUT_OF_STOCK"},

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise import schemas
+from shelfwise.operators.consumption import consumption_metrics
 from shelfwise.plans import workspace
 from shelfwise.sources import readers, seed, writers
 from tests.fixtures import TODAY, ago, classified, daily, records, table
@@ -136,6 +137,76 @@ def test_archive_splits_everything(spark, tmp_path):
     assert [f.count() for f in writers.split_by_retention(undated, TODAY, 30)] == [0, 1]
 
 
+def test_old_date_folders_move_whole(spark, tmp_path):
+    table, gone = str(tmp_path / "facts"), str(tmp_path / "archive")
+    frame = daily(spark, records([0, 29, 30, 31, 400]) + [{"record_date": None}])
+    writers.append_daily_stock(frame, table)
+
+    def files(path):
+        return {str(p.relative_to(path)) for p in (tmp_path / path).rglob("part-*.parquet")}
+
+    def days(path):
+        found = spark.read.schema(frame.schema).parquet(path).collect()
+        return sorted((TODAY - r["record_date"]).days if r["record_date"] else -1 for r in found)
+
+    before = files(tmp_path / "facts")
+    assert writers.archive_partitions(spark, table, gone, TODAY, 30) == [ago(400), ago(31)]
+    assert files(tmp_path / "facts") | files(tmp_path / "archive") == before  # nothing was written anew
+    assert (days(table), days(gone)) == ([-1, 0, 29, 30], [31, 400])
+    assert writers.archive_partitions(spark, table, gone, TODAY, 30) == []
+    writers.append_daily_stock(daily(spark, records([31, 5], item_code="late")), table)
+    assert writers.archive_partitions(spark, table, gone, TODAY, 30) == [ago(31)]
+    assert (days(table), days(gone)) == ([-1, 0, 5, 29, 30], [31, 31, 400])
+
+
+def test_health_over_stored_buckets_moves_no_record_by_pair(spark, tmp_path):
+    rows = [
+        {"record_date": ago(n % 40), "item_code": f"I{n % 9}", "location_code": f"L{n % 4}", "issues": float(n % 7)}
+        for n in range(300)
+    ]
+    frame = daily(spark, rows)
+    stored = writers.store_by_pair(frame, "facts_by_pair", str(tmp_path / "by_pair"), 4)
+    metrics = consumption_metrics(stored, TODAY)
+    assert "Exchange" not in metrics._jdf.queryExecution().sparkPlan().toString()
+    plan = metrics._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SelectedBucketsCount: 4" in plan
+    rounded = [F.round(c, 6).alias(c) if c.startswith("stddev") else F.col(c) for c in metrics.columns]
+    expected = consumption_metrics(frame, TODAY).select(rounded)
+    assert expected.exceptAll(metrics.select(rounded)).isEmpty()
+    spark.sql("DROP TABLE facts_by_pair")
+
+
+def test_footers_answer_the_summary(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    frame = daily(spark, records([0, 5, 5, 90]) + [{"record_date": None}])
+    writers.append_daily_stock(frame, path, by_date=False)
+    settings = {name: spark.conf.get(name) for name in writers.FOOTER_SETTINGS}
+    got = writers.footer_summary(spark, path, "record_date")
+    assert [tuple(r) for r in got.collect()] == [(5, ago(90), TODAY)]
+    assert settings == {name: spark.conf.get(name) for name in writers.FOOTER_SETTINGS}
+    try:
+        for name, value in writers.FOOTER_SETTINGS.items():
+            spark.conf.set(name, value)
+        asked = spark.read.parquet(path).agg(F.count("*"), F.min("record_date"), F.max("record_date"))
+        assert "PushedAggregation: [COUNT(*), MIN(record_date), MAX(record_date)]" in (
+            asked._jdf.queryExecution().executedPlan().toString()
+        )
+    finally:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+
+
+def test_json_arrays_are_split_among_lines(spark, tmp_path):
+    path = str(tmp_path / "arrays")
+    rows = table(spark, schemas.ITEM_CATEGORIES, [
+        {"category_code": f"C{n}", "display_order": n if n % 3 else None} for n in range(25)
+    ])
+    writers.write_json_arrays(rows.coalesce(1), path, array_rows=10)
+    assert spark.read.text(path).count() == 3
+    back = readers.read_json(spark, path, schemas.ITEM_CATEGORIES, multi_line=False)
+    assert back.exceptAll(rows).isEmpty() and back.count() == 25
+
+
 def test_table_summary(spark):
     frame = daily(spark, records([0, 5]))
     got = writers.table_summary(
