@@ -80,7 +80,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot, file and offset of every sequence of the training-order files it writes."""
-    return materialise.sequence_slots(_table(spark, sf_dir, "documents"))
+    return materialise.sequence_slots(_table(spark, sf_dir, "documents"), vocabulary="word_bpe_49k.json")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

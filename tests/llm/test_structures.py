@@ -382,6 +382,45 @@ def test_slots_hold_when_files_are_split_anew(spark, texts, tmp_path):
         assert records[r["slot"]] == materialise.byte_records(whole[r["doc_id"]], 64)[begin : begin + 64]
 
 
+def test_files_of_token_ids_read_back_by_their_manifest(spark, odd_docs, no_docs, tmp_path):
+    import tokenizers
+
+    from shelfwise.llm.tokens import vocabulary_path
+
+    for name, docs, width in (
+        ("word_bpe_49k.json", spark.read.parquet(f"{SF}/documents.parquet"), 2),
+        ("word_bpe_49k.json", odd_docs, 2),
+        ("byte_bpe_50k.json", odd_docs, 2),
+    ):
+        library = tokenizers.Tokenizer.from_file(vocabulary_path(name))
+        library.no_truncation()
+        library.no_padding()
+        path = str(tmp_path / f"{name}-{docs.count()}")
+        index = materialise.sequence_slots(
+            docs, path, record_ids=64, shard_bytes=64 * 2 * 50, vocabulary=name, key=b"k"
+        ).collect()
+        facts = materialise.read_manifest(spark, path)
+        assert (facts["sequences"], facts["id_bytes"], facts["records_a_file"]) == (len(index), width, 50)
+        assert facts["end_id"] >= library.get_vocab_size() and facts["key"] == b"k".hex()
+        records = {r["slot"]: np.frombuffer(r["ids"], "<u2") for r in materialise.read_order(spark, path).collect()}
+        assert sorted(records) == list(range(len(index)))
+        got = []
+        for r in sorted(index, key=lambda r: (str(r["doc_id"]), r["piece"])):
+            assert r["byte_offset"] == r["slot"] % 50 * 128 and r["shard"] == r["slot"] // 50
+            assert (records[r["slot"]][r["n_ids"] :] == facts["padding_id"]).all()
+            got.append((str(r["doc_id"]), r["piece"], records[r["slot"]][: r["n_ids"]].tolist()))
+        expected = []
+        for r in docs.select("doc_id", "text").collect():
+            ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, facts["end_id"]]
+            expected += [(str(r["doc_id"]), n // 64, ids[n : n + 64]) for n in range(0, len(ids), 64)]
+        assert sorted(got) == sorted(expected)
+        later = materialise.read_order(spark, path, first_slot=7).collect()
+        assert sorted(r["slot"] for r in later) == list(range(7, len(index)))
+    empty = str(tmp_path / "empty")
+    assert materialise.sequence_slots(no_docs, empty, vocabulary="word_bpe_49k.json").count() == 0
+    assert materialise.read_order(spark, empty).count() == 0
+
+
 def test_a_missing_slot_fails(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     offsets, total = materialise.number_sequences(docs)
