@@ -58,6 +58,101 @@ def test_class_words_count_alone_or_together(spark):
     assert extracted(spark, [page])[0].split("\n\n") == [f"{c} text" for c in kept]
 
 
+def test_each_layout_of_a_host_has_its_wrapper(spark):
+    first = [
+        f"<div class='top'>Buy our lamp now</div><h1>Title {i}</h1><div class='body'><p>Text {i} a</p><h2>Part {i}</h2></div>"
+        for i in range(40)
+    ]
+    second = [
+        f"<section class='wide'><ul><li>Sale ends soon</ul><blockquote>Quote {i}</blockquote><pre>Lines {i}</pre></section>"
+        for i in range(12)
+    ]
+    third = [f"<table><tr><td>Win a trip<td>Cell {i}</table>" for i in range(8)]
+    got = extracted(spark, first + second + third + ["<p>alone"])
+    for i in range(40):
+        assert got[i] == f"Title {i}\n\nText {i} a\n\nPart {i}"
+    for i in range(12):
+        assert got[40 + i] == f"Quote {i}\n\nLines {i}"
+    assert [got[52 + i] for i in range(8)] == [f"Cell {i}" for i in range(8)]
+    assert got[60] == "alone"
+
+
+def test_layouts_beyond_the_last_lose_no_text(spark):
+    kinds = ["section", "article-like", "x-a", "x-b", "x-c", "x-d", "x-e"]
+    pages = [f"<{k} class='{k}'><div class='{k}-in'><p>{k} text {i}</p></div></{k}>" for k in kinds for i in range(6)]
+    got = extracted(spark, pages)
+    assert [got[n] for n in range(len(pages))] == [f"{k} text {i}" for k in kinds for i in range(6)]
+
+
+def test_very_deep_and_very_wide_pages(spark):
+    deep = "<div>" * 20_000 + "<p>end</p>" + "</div>" * 20_000 + "<p>after</p>"
+    wide = [
+        "<div>same top</div><ul>" + "".join(f"<li>{i} {j}{'<b>x</b>' * ((i * j) % 7)}" for j in range(1500)) + "</ul>"
+        for i in range(1, 7)
+    ]
+    got = extracted(spark, [deep, "<p>x</i></b>" * 20_000], "deep.org")
+    assert got[0] == "end\n\nafter" and got[1].count("x") == 20_000
+    for i, text in extracted(spark, wide, "wide.org").items():
+        blocks = text.split("\n\n")
+        assert len(blocks) == 1500 and blocks[2].split("x")[0] == f"{i + 1} 2"
+
+
+def plain_alignment(weights, m, n):
+    """Alignment by the whole table of sums; of equal ones, the same choice on the way back."""
+    best = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(m):
+        for j in range(n):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weights[i][j])
+    pairs, i, j = [], m, n
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs
+
+
+@pytest.mark.parametrize("m, n", [(0, 3), (1, 1), (5, 7), (40, 3), (3, 40), (90, 70), (33, 33)])
+def test_alignment_matches_the_whole_table(m, n):
+    rng = np.random.default_rng(m * 100 + n)
+    for _ in range(20):
+        weights = (rng.integers(0, 6, (m, n)) * rng.integers(0, 2, (m, n))).tolist()
+        assert wrapper.aligned(m, n, weights.__getitem__) == plain_alignment(weights, m, n)
+
+
+def plain_score(a, b):
+    """Simple tree matching of nested [label, children] as it is written down."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_score(x, y))
+    return best[-1][-1] + 1
+
+
+def test_matching_finds_as_many_nodes_as_possible():
+    rng = np.random.default_rng(8)
+
+    def grown(depth):
+        kids = [grown(depth - 1) for _ in range(rng.integers(0, 5))] if depth else []
+        return [str(rng.choice(["div", "section", "b"])), kids]
+
+    def written(tree):
+        return f"<{tree[0]}>{''.join(map(written, tree[1]))}</{tree[0]}>"
+
+    for _ in range(150):
+        one, other = (["html", [grown(4), grown(3)]] for _ in range(2))
+        first, second = (wrapper.Page("".join(map(written, t[1]))) for t in (one, other))
+        own = wrapper.Wrapper(json.dumps(wrapper.shape(first)), frozenset())
+        found = wrapper.match(own, second)
+        assert len(found) == len(set(found.values())) == plain_score(one, other)
+        assert all(own.labels[a] == second.labels[b] for a, b in found.items())
+
+
 # Packing
 
 
