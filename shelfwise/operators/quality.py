@@ -71,18 +71,29 @@ def rules_of(table: DataFrame) -> list[QualityRule]:
     return [QualityRule(*row[:4], is_active=row[4] is not False) for row in rows]
 
 
+def _predicate(rule: QualityRule, as_of: dt.date) -> Column:
+    """The condition a rule's violations meet; other braces of its text stay as they are."""
+    return F.expr((rule.predicate or "false").replace("{as_of}", as_of.isoformat()))
+
+
 def rule_violations(
     daily: DataFrame,
     as_of: dt.date,
     rules: Sequence[QualityRule] | DataFrame = DEFAULT_RULES,
 ) -> DataFrame:
-    """Violations per active rule, all rules in one pass over the records."""
+    """Violations per active rule, all rules in one pass over the records; no row without one.
+
+    A rule without a predicate has no violations.
+    """
     if isinstance(rules, DataFrame):
         rules = rules_of(rules)
     active = [rule for rule in rules if rule.is_active]
+    if not active:
+        schema = "rule_name string, rule_type string, severity string, violations bigint"
+        return daily.sparkSession.createDataFrame([], schema)
     counts = daily.agg(
         *[
-            count_if(F.expr(rule.predicate.format(as_of=as_of.isoformat()))).alias(f"_{n}")
+            count_if(_predicate(rule, as_of)).alias(f"_{n}")
             for n, rule in enumerate(active)
         ]
     )
@@ -102,7 +113,7 @@ def rule_violations(
 
 def violating_rows(daily: DataFrame, as_of: dt.date, rule: QualityRule) -> DataFrame:
     """The records that break one rule."""
-    return daily.filter(F.expr(rule.predicate.format(as_of=as_of.isoformat())))
+    return daily.filter(_predicate(rule, as_of))
 
 
 def duplicate_records(daily: DataFrame, *keys: str) -> DataFrame:

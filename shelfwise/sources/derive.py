@@ -63,7 +63,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
     """The index-th of a few texts, counted modulo their number; "" stands for NULL."""
-    texts = F.split(F.lit(",".join(values)), ",")
+    texts = F.array(*map(F.lit, values))
     return F.nullif(F.element_at(texts, (index % len(values) + 1).cast("int")), F.lit(""))
 
 

@@ -121,3 +121,18 @@ def test_masters(spark):
         "duplicate_locations": 2, "missing_location_names": 1, "duplicate_items": 2,
         "missing_item_names": 1, "unusual_lead_times": 2, "location_count": 3, "item_count": 6,
     }
+
+
+def test_rule_texts_may_hold_braces_or_be_missing(spark):
+    rows = daily(spark, records([0], item_name="{a} {} {as_of", closing_stock=0.0) + records([-1], closing_stock=1.0))
+    rules = [
+        quality.QualityRule("braces", "X", "item_name LIKE '%{a}%{}%{as_of'"),
+        quality.QualityRule("regular", "X", "item_name RLIKE '^[{]a[}].{3,}$'"),
+        quality.QualityRule("late", "X", "record_date > DATE'{as_of}'"),
+        quality.QualityRule("none", "X", None),
+        quality.QualityRule("off", "X", "true", is_active=False),
+    ]
+    got = {r["rule_name"]: r["violations"] for r in quality.rule_violations(rows, TODAY, rules).collect()}
+    assert got == {"braces": 1, "regular": 1, "late": 1, "none": 0}
+    assert [quality.violating_rows(rows, TODAY, r).count() for r in rules[:4]] == [1, 1, 1, 0]
+    assert quality.rule_violations(rows, TODAY, rules[4:]).collect() == []
