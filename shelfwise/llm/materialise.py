@@ -129,8 +129,8 @@ def token_bodies(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, w
                     bodies += [np.array(x, f"<u{width}").tobytes() for x in ids]
                     continue
                 split = [t.split() for t in texts[low:high]]
-                table = coder.table({w for words in split for w in words})
-                joined = (b"".join([table[w] for w in words]) for words in split)
+                ids_of = coder.table(set().union(*split)).__getitem__
+                joined = (b"".join(map(ids_of, words)) for words in split)
                 bodies += [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in joined]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(bodies, pa.binary())], names=["id", "body"]
@@ -139,7 +139,7 @@ def token_bodies(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, w
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     made = rows.mapInArrow(encoded, f"id {kind}, body binary")
     path = work_path(spark, "token_ids")
-    made.write.parquet(path)
+    made.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(made.schema).parquet(path)
 
 
@@ -175,7 +175,7 @@ def _blocks(
     """(shard, slots, packed): a batch's records of each range, compressed together."""
     import zstandard
 
-    pack = zstandard.ZstdCompressor(1)
+    pack = zstandard.ZstdCompressor(3)
     number, end = _begin(offsets, total)
     for batch in batches:
         records = b"".join(layout.records(x.as_py() or b"") for x in batch.column("body").cast(pa.binary()))
