@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import ship, work_path
-from shelfwise.llm.tokens import encoder, slices, splits_on_space, version_digest
+from shelfwise.llm.tokens import encoder, ranked_encoder, slices, splits_on_space, version_digest
 
 #: The byte vocabulary: ids 0 to 253 are the bytes that UTF-8 can hold, then these two.
 END, PADDING = 0xFE, 0xFF
@@ -119,7 +119,8 @@ def token_bodies(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, w
     kind = dict(docs.dtypes)[id_col]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, whole = encoder(vocabulary), not splits_on_space(vocabulary)
+        whole = not splits_on_space(vocabulary)
+        coder = encoder(vocabulary) if whole else ranked_encoder(vocabulary)
         for batch in batches:
             texts = [x.as_py() or b"" for x in batch.column("body").cast(pa.binary())]
             bodies = []
@@ -175,7 +176,7 @@ def _blocks(
     """(shard, slots, packed): a batch's records of each range, compressed together."""
     import zstandard
 
-    pack = zstandard.ZstdCompressor(3)
+    pack = zstandard.ZstdCompressor(6)
     number, end = _begin(offsets, total)
     for batch in batches:
         records = b"".join(layout.records(x.as_py() or b"") for x in batch.column("body").cast(pa.binary()))

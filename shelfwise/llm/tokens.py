@@ -19,6 +19,7 @@ MEMORY_WORDS = 400_000
 #: Longer words are encoded and not kept.
 KEPT_BYTES = 64
 ENCODE_AT_ONCE = 500
+RANKED_AT_ONCE = 50_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -156,12 +157,77 @@ class WordEncoder:
         return b" ".join([names[i] for i in ids.tolist()])
 
 
+def _latin(word: bytes) -> bool:
+    """Whether a word has letters below U+0130 only, which normalising only lower-cases."""
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0130"
+
+
+class RankedWordEncoder(WordEncoder):
+    """The same ids, with words of Latin letters merged together in one call by the vocabulary as ranks.
+
+    A line feed stands for the end of a word. Its pairs with a letter have lower ids than any merge, so they
+    are merged first, as the vocabulary's last letters of words are.
+    """
+
+    def __init__(self, name: str):
+        super().__init__(name)
+        import tiktoken
+
+        byte_of = {c: bytes([b]) for b, c in enumerate(self.letters)}
+        added = self.library.get_added_tokens_decoder()
+        ranks = {}
+        for i, token in enumerate(self.names):
+            text = token.decode()
+            stem = text.removesuffix("</w>")
+            if stem and i not in added and all(c in byte_of for c in stem):
+                raw = b"".join([byte_of[c] for c in stem])
+                if raw == b"\n" and stem == text or b"\n" not in raw:
+                    ranks[raw if stem == text else raw + b"\n"] = i
+        self.ranks = tiktoken.Encoding("words", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={})
+        self.is_end = np.zeros(len(self.names), bool)
+        self.is_end[[i for raw, i in ranks.items() if raw.endswith(b"\n")]] = True
+
+    def _library_ids(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        plain, rest = [], []
+        for i, word in enumerate(words):
+            stem = word.rstrip(b".,;:!?")
+            if len(stem) <= KEPT_BYTES and (stem.isalpha() or _latin(stem)):
+                plain.append((i, stem, word[len(stem) :]))
+            else:
+                rest.append(i)
+        closing = self.closing
+        for stop in {stop for _, _, stop in plain} - closing.keys():
+            got = self.library.encode(stop.decode(), add_special_tokens=False).ids
+            closing[stop] = np.array(got, "<u4").tobytes()
+        for low in range(0, len(plain), RANKED_AT_ONCE):
+            some = plain[low : low + RANKED_AT_ONCE]
+            lines = b"\n".join([stem for _, stem, _ in some]).decode().lower() + "\n"
+            ids = np.asarray(self.ranks.encode_to_numpy(lines), "<u4")
+            stops = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            if len(stops) != len(some):
+                raise RuntimeError(f"{len(some)} words have {len(stops)} ends")
+            raw = ids.tobytes()
+            for (i, _, stop), a, b in zip(some, [0, *stops], stops):
+                out[i] = raw[a:b] + closing[stop]
+        for i, ids in zip(rest, super()._library_ids([words[i] for i in rest])):
+            out[i] = ids
+        return out
+
+
 @lru_cache(maxsize=2)
 def encoder(name: str) -> WordEncoder:
     """This process's encoder of a vocabulary."""
     return WordEncoder(name)
 
 
+@lru_cache(maxsize=1)
+def ranked_encoder(name: str) -> RankedWordEncoder:
+    """This process's encoder of a vocabulary of words by ranks."""
+    return RankedWordEncoder(name)
+
+
 def splits_on_space(name: str) -> bool:
     """True if no token of the vocabulary's texts spans ASCII white space, which it drops."""
     return name == "word_bpe_49k.json"

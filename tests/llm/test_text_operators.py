@@ -159,6 +159,20 @@ def test_encoding_round_trip_of_odd_rows(spark, odd_docs, no_docs):
     assert chunk_encode.encode_documents(no_docs).count() == 0
 
 
+def test_words_by_ranks_equal_the_library():
+    """Every word of letters in the vocabulary, made-up Latin words and words that go to the library."""
+    own = tokens.ranked_encoder("word_bpe_49k.json")
+    names = [n.decode().removesuffix("</w>") for n in own.names]
+    rng = np.random.default_rng(4)
+    made = ["".join(rng.choice(list("aeinsthqzkßéÀÿñÞþđĮªºµÅ"), n)) for n in rng.integers(1, 64, 3000)]
+    odd = ["a.b", "x!?", "日本.", "İ.", "é,", "no²", "½", "it's", "<|endoftext|>", "</w>", "...", "x" * 900, "ÀB;:", "a\u0301."]
+    words = [w for w in names if w.isascii() and w.isalpha()] + [w + e for w in made for e in ("", ".", "!?")] + odd
+    expected = own.library.encode_batch(words, add_special_tokens=False)
+    table = own.table({w.encode() for w in words})
+    for word, ids in zip(words, expected):
+        assert np.frombuffer(table[word.encode()], "<u4").tolist() == ids.ids, word
+
+
 def test_shared_chunks_are_cut_alike():
     rng = np.random.default_rng(0)
     passage = bytes(rng.integers(97, 122, 9000, np.uint8))
